@@ -103,15 +103,31 @@ def tfidf_log2(docs: DataFrame, id_col="doc_id", tokens_col="tokens") -> DataFra
 
 
 # -- n-grams (FEA-03) ---------------------------------------------------------------------------------------
+def _not_null_field(name):
+    return lambda s: s[name].isNotNull()
+
+
+def _join_fields(names):
+    return lambda s: F.concat_ws(" ", *[s[k] for k in names])
+
+
 def ngrams(tokens_col: str, n_min: int = 1, n_max: int = 3):
-    """All n-grams of ``n_min..n_max`` tokens, joined by one space, as one array column."""
+    """All n-grams of ``n_min..n_max`` tokens, joined by one space, as one array column.
+
+    Each order zips the array with its shifted copies (``arrays_zip``), so the token array is read a
+    fixed number of times per row rather than once per position.
+    """
     t = F.col(tokens_col)
+    big = 1 << 30
     parts = []
     for n in range(n_min, n_max + 1):
-        parts.append(F.when(F.size(t) >= n,
-                            F.transform(F.sequence(F.lit(1), F.size(t) - F.lit(n - 1)),
-                                        lambda i, n=n: F.array_join(F.slice(t, i, n), " ")))
-                     .otherwise(F.array().cast(ArrayType(StringType()))))
+        if n == 1:
+            parts.append(t)
+            continue
+        shifted = [t.alias("g0")] + [F.slice(t, k + 1, big).alias(f"g{k}") for k in range(1, n)]
+        last, fields = f"g{n - 1}", [f"g{k}" for k in range(n)]
+        zipped = F.filter(F.arrays_zip(*shifted), _not_null_field(last))
+        parts.append(F.transform(zipped, _join_fields(fields)))
     return F.concat(*parts) if len(parts) > 1 else parts[0]
 
 
@@ -169,7 +185,8 @@ def token_vectors(vocab_ranked: DataFrame, vectors: DataFrame, rank_col="rank",
                   vec_col="embedding") -> DataFrame:
     """(term, dim, value): the word-vector table in long form."""
     return (vocab_ranked.join(vectors, vocab_ranked[rank_col] == vectors[vec_key])
-            .select("term", F.posexplode(vec_col).alias("dim", "value")))
+            .select("term", F.posexplode(vec_col).alias("dim", "value"))
+            .withColumn("value", F.col("value").cast("double")))
 
 
 def pooled_vectors(tf: DataFrame, vec_long: DataFrame, how: str = "mean", id_col: str = "doc_id") -> DataFrame:

@@ -309,7 +309,7 @@ SQL_VEC_BASE = f"""
 WITH {sql_doc_tokens()},
 tf AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(tokens) AS term FROM doc_tok) GROUP BY doc_id, term),
 rv AS (SELECT term, row_number() OVER (ORDER BY df DESC, term) - 1 AS rank FROM (SELECT term, count(*) AS df FROM tf GROUP BY term)),
-vl AS (SELECT term, unnest(range(0, len(embedding))) AS dim, unnest(embedding) AS value
+vl AS (SELECT term, unnest(range(0, len(embedding))) AS dim, CAST(unnest(embedding) AS DOUBLE) AS value
        FROM rv JOIN embeddings ON rv.rank = embeddings.vec_id)
 """
 
