@@ -1 +1,188 @@
-"""placeholder"""
+"""Learning queries (rows-only checks: fitted models have no SQL oracle). Label = ``lang`` (4 uneven
+classes), text features from the same normalisation as the text layer (ML-02..12, ML-19, ML-22, FEA-07/10)."""
+
+from __future__ import annotations
+
+from pyspark.ml.classification import (MultilayerPerceptronClassifier, NaiveBayes, RandomForestClassifier)
+from pyspark.ml.tuning import ParamGridBuilder
+from pyspark.sql import functions as F
+
+from ..operators import common, features as fe, metrics as me, models as mo, sampling as sa, vectors as ve
+from ..session import cut_lineage
+from .registry import query
+from .text_plans import MAX_DF, MIN_DF, processed_docs
+
+SEED = 42
+LSA_VOCAB_CAP = 3000
+
+
+def corpus(spark, sf, fit_on: str = "all"):
+    """Documents with label, split and fold, plus TF-IDF weights with a dense term index.
+
+    ``fit_on='all'`` fits the vocabulary and idf on train and test together, as the reference does (Q9);
+    ``'train'`` fits on the training rows only."""
+    docs = processed_docs(spark, sf).select("doc_id", "lang", "tokens")
+    labels = common.dense_index(docs.select("lang").distinct(), "lang", "label", prefix_len=1)
+    d = sa.split_train_test(docs, "lang", "doc_id", 0.8, SEED).join(labels, "lang")
+    d = d.withColumn("label", F.col("label").cast("double"))
+    tf = fe.term_frequencies(d.select("doc_id", "tokens"))
+    fit_docs = d if fit_on == "all" else d.filter(F.col("split") == "train")
+    tf_fit = tf.join(fit_docs.select("doc_id"), "doc_id", "left_semi")
+    model = fe.fit_tfidf(tf_fit, fe.count_documents(fit_docs), MIN_DF, MAX_DF)
+    model = common.dense_index(model, "term", "term_index")
+    w = fe.apply_tfidf(tf, model).join(model.select("term", "term_index"), "term")
+    return d.drop("tokens"), tf, w, model
+
+
+def vector_table(spark, sf):
+    d, tf, w, model = corpus(spark, sf)
+    size = model.count()
+    vec = ve.long_to_sparse(w, "doc_id", "term_index", "weight", size)
+    table_ = cut_lineage(d.join(vec, "doc_id"))
+    train = cut_lineage(sa.assign_folds(table_.filter(F.col("split") == "train"), "lang", "doc_id", 5, SEED))
+    test = table_.filter(F.col("split") == "test")
+    return train, test, size
+
+
+def _summary_with(pred, **labels):
+    s = me.summary(pred)
+    s = s.select(*[F.round(c, 6).alias(c) for c in s.columns])
+    for k, v in reversed(list(labels.items())):
+        s = s.select(F.lit(v).alias(k), *s.columns)
+    return s
+
+
+def _native_predictions(model, test):
+    out = model.transform(test).select("doc_id", F.col("label").cast("int").alias("y_true"),
+                                       F.col("prediction").cast("int").alias("y_pred"))
+    return out
+
+
+@query("nb_search", None, ops=("ML-05", "ML-10", "WIN-07"))
+def nb_search(spark, sf):
+    """Randomized search over the multinomial NB smoothing grid on stratified folds; candidates table."""
+    train, test, _ = vector_table(spark, sf)
+    nb = NaiveBayes(modelType="multinomial", featuresCol="features", labelCol="label")
+    grid = ParamGridBuilder().addGrid(nb.smoothing, [0.01, 0.1, 0.5, 1.0, 2.0]).build()
+    best, res = mo.randomized_search(nb, grid, 3, train, seed=SEED)
+    rows = [("NB", "TFIDF", p, round(m, 6), round(s, 6)) for p, m, s in res]
+    return spark.createDataFrame(rows, "algorithm string, feature string, params string, cv_mean double, cv_std double")
+
+
+@query("svm_calibrated", None, ops=("ML-06", "ML-02", "ML-03", "ML-09", "ML-14"))
+def svm_calibrated(spark, sf):
+    """One-vs-rest balanced bagging of linear SVMs with sigmoid-calibrated margins."""
+    train, test, _ = vector_table(spark, sf)
+    classes = sorted(r.label for r in train.select("label").distinct().collect())
+    models = mo.fit_ovr_bagging(train, classes, lambda: mo.calibrated_svm_factory(0.01, 30), label_col="label",
+                                n_bags=2, fraction=0.6, seed=SEED)
+    probs = mo.predict_ovr(models, test)
+    pred = mo.argmax(probs).join(test.select("doc_id", F.col("label").alias("y_true")), "doc_id")
+    return _summary_with(pred, algorithm="SVM", feature="TFIDF")
+
+
+@query("balanced_bagging", None, ops=("ML-02", "ML-03", "ML-11", "ML-12", "ML-04"))
+def balanced_bagging(spark, sf):
+    """Untuned training: one-vs-rest balanced bagging of multinomial NB (3 bags, 60 % of rows)."""
+    train, test, _ = vector_table(spark, sf)
+    classes = sorted(r.label for r in train.select("label").distinct().collect())
+    factory = lambda: NaiveBayes(modelType="multinomial", smoothing=1.0, featuresCol="features", labelCol="label")
+    models = mo.fit_ovr_bagging(train, classes, factory, label_col="label", n_bags=3, fraction=0.6, seed=SEED)
+    probs = mo.predict_ovr(models, test)
+    pred = mo.argmax(probs).join(test.select("doc_id", F.col("label").alias("y_true")), "doc_id")
+    return _summary_with(pred, algorithm="NB", feature="TFIDF")
+
+
+@query("rf_fit", None, ops=("ML-07",))
+def rf_fit(spark, sf):
+    """Random forest within MLlib's limits (depth <= 30; feature fraction 0.3; weight fraction per node)."""
+    train, test, _ = vector_table(spark, sf)
+    rf = RandomForestClassifier(numTrees=20, maxDepth=10, featureSubsetStrategy="0.3",
+                                minWeightFractionPerNode=0.0, seed=SEED, featuresCol="features", labelCol="label")
+    return _summary_with(_native_predictions(rf.fit(train), test), algorithm="RF", feature="TFIDF")
+
+
+def lsa(spark, sf, k: int = 20):
+    """LSA: TF-IDF over the most frequent LSA_VOCAB_CAP terms, truncated SVD, projection X·V."""
+    docs = processed_docs(spark, sf).select("doc_id", "tokens")
+    tf = fe.term_frequencies(docs)
+    model = common.dense_index(fe.fit_tfidf(tf, fe.count_documents(docs), MIN_DF, MAX_DF, LSA_VOCAB_CAP),
+                               "term", "term_index")
+    w = cut_lineage(fe.apply_tfidf(tf, model).join(model.select("term", "term_index"), "term"))
+    v_long, s = ve.truncated_svd(w, "doc_id", "term_index", "weight", model.count(), k)
+    return ve.project(w, v_long), v_long, s
+
+
+@query("lsa_topics", None, ops=("FEA-07", "FEA-10"))
+def lsa_topics(spark, sf):
+    x, _, _ = lsa(spark, sf)
+    return x.select("doc_id", "component", F.round("value", 6).alias("value"))
+
+
+@query("lsa_gram", None, ops=("FEA-07",))
+def lsa_gram(spark, sf):
+    """Vᵀ V over the fitted components (identity up to rounding): a sign-free check of the SVD."""
+    _, v, _ = lsa(spark, sf)
+    a, b = v.alias("a"), v.alias("b")
+    g = a.join(b, F.col("a.term_index") == F.col("b.term_index"))
+    return g.groupBy(F.col("a.component").alias("i"), F.col("b.component").alias("j")).agg(
+        F.round(F.sum(F.col("a.value") * F.col("b.value")), 6).alias("value"))
+
+
+@query("mlp_fit", None, ops=("ML-08", "FEA-11"))
+def mlp_fit(spark, sf):
+    """Perceptron on min-max scaled LSA features (MLlib has no activation / L2 / early-stopping knobs)."""
+    x, _, _ = lsa(spark, sf)
+    x = fe.minmax_scale(x, "component")
+    dense = ve.long_to_dense(x, "doc_id", "component", "value")
+    docs = processed_docs(spark, sf).select("doc_id", "lang")
+    labels = common.dense_index(docs.select("lang").distinct(), "lang", "label", prefix_len=1)
+    d = sa.split_train_test(docs, "lang", "doc_id", 0.8, SEED).join(labels, "lang").join(dense, "doc_id")
+    d = d.withColumn("label", F.col("label").cast("double"))
+    n_in = len(d.select("features").first()[0])
+    n_out = labels.count()
+    mlp = MultilayerPerceptronClassifier(layers=[n_in, 32, n_out], maxIter=100, stepSize=0.03, seed=SEED,
+                                         featuresCol="features", labelCol="label")
+    m = mlp.fit(d.filter(F.col("split") == "train"))
+    return _summary_with(_native_predictions(m, d.filter(F.col("split") == "test")), algorithm="MLP", feature="LSA")
+
+
+@query("transfer_best", None, ops=("ML-19", "ML-18", "FEA-06"))
+def transfer_best(spark, sf):
+    """Best NB smoothing from the TF-IDF search re-used on BM25 features (negative weights clipped, Q6)."""
+    train, test, size = vector_table(spark, sf)
+    nb = NaiveBayes(modelType="multinomial", featuresCol="features", labelCol="label")
+    grid = ParamGridBuilder().addGrid(nb.smoothing, [0.1, 1.0]).build()
+    best, _ = mo.randomized_search(nb, grid, 2, train, seed=SEED)
+    alpha = best.getOrDefault("smoothing")
+    out = _summary_with(_native_predictions(best, test), algorithm="NB", feature="TFIDF")
+    d, tf, _, model = corpus(spark, sf)
+    n = fe.count_documents(d)
+    idf, stats = fe.fit_bm25(tf, n, model)
+    w = fe.apply_bm25(tf.join(model.select("term"), "term"), idf, stats).join(model.select("term", "term_index"), "term")
+    w = w.withColumn("weight", F.greatest(F.col("weight"), F.lit(0.0)))
+    vec = ve.long_to_sparse(w, "doc_id", "term_index", "weight", size)
+    t = d.join(vec, "doc_id")
+    m = NaiveBayes(modelType="multinomial", smoothing=alpha, featuresCol="features", labelCol="label").fit(
+        t.filter(F.col("split") == "train"))
+    bm = _summary_with(_native_predictions(m, t.filter(F.col("split") == "test")), algorithm="NB", feature="BM25")
+    return out.unionByName(bm)
+
+
+@query("sample_size_study", None, ops=("ML-22", "AGG-19", "WIN-02"))
+def sample_size_study(spark, sf):
+    """Learning curve: n documents per class -> split -> NB -> metrics, one row per n, ordered by n."""
+    _, _, w, model = corpus(spark, sf)
+    size = model.count()
+    docs = processed_docs(spark, sf).select("doc_id", "lang")
+    labels = common.dense_index(docs.select("lang").distinct(), "lang", "label", prefix_len=1)
+    vec = ve.long_to_sparse(w, "doc_id", "term_index", "weight", size)
+    base = cut_lineage(docs.join(labels, "lang").withColumn("label", F.col("label").cast("double")).join(vec, "doc_id"))
+    out = None
+    for n in (25, 50, 100):
+        s = sa.split_train_test(sa.stratified_sample(base, "lang", "doc_id", n, SEED), "lang", "doc_id", 0.8, SEED)
+        m = NaiveBayes(modelType="multinomial", featuresCol="features", labelCol="label").fit(s.filter(F.col("split") == "train"))
+        pred = _native_predictions(m, s.filter(F.col("split") == "test"))
+        r = _summary_with(pred, algorithm="NB", feature="TFIDF").withColumn("n_per_class", F.lit(n))
+        out = r if out is None else out.unionByName(r)
+    return out.orderBy("n_per_class")
