@@ -1 +1,25 @@
-"""placeholder"""
+"""Incremental feed query (STM-01/02): the streamed, de-duplicated, normalised output table."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..sources.tables import table
+from ..streaming import incremental as inc
+from . import sqlfrag as q
+from .registry import query
+from .text_plans import STOP, _sql_stop_list
+
+
+@query("incremental_feed", f"""
+SELECT doc_id, source, CAST(len(list_filter(string_split({q.token_string('text')}, ' '),
+       lambda x: length(x) > 3 AND NOT list_contains({_sql_stop_list(STOP)}, x))) AS INTEGER) AS n_tokens
+FROM documents
+""", ops=("STM-01", "STM-02", "JN-12"))
+def incremental_feed(spark, sf):
+    """Stream the documents file through the feed twice; the second run must add nothing."""
+    schema = table(spark, sf, "documents").schema
+    paths = inc.feed_paths(spark)
+    inc.run_feed(spark, sf, schema, paths, STOP, glob="documents.parquet")
+    inc.run_feed(spark, sf, schema, paths, STOP, glob="documents.parquet")
+    return spark.read.parquet(paths["out"]).select("doc_id", "source", "n_tokens")
