@@ -32,8 +32,14 @@ class _BM25Params(HasInputCol):
         self._setDefault(k1=2.0, b=0.75, useIdf=True, minDF=1.0, maxDF=1.0, idCol="doc_id", inputCol="tokens")
 
 
-def _bound(v: float):
-    return int(v) if float(v).is_integer() and v >= 1 else float(v)
+def _min_bound(v: float):
+    """minDF: values >= 1 are document counts, smaller ones fractions."""
+    return int(v) if v >= 1 else float(v)
+
+
+def _max_bound(v: float):
+    """maxDF: values <= 1 are fractions of the documents, larger ones counts."""
+    return float(v) if v <= 1 else int(v)
 
 
 class BM25(Estimator, _BM25Params):
@@ -47,7 +53,7 @@ class BM25(Estimator, _BM25Params):
         docs = dataset.select(idc, tok)
         tf = fe.term_frequencies(docs, idc, tok)
         n = fe.count_documents(docs)
-        vocab = fe.vocabulary(tf, n, _bound(self.getOrDefault("minDF")), _bound(self.getOrDefault("maxDF")))
+        vocab = fe.vocabulary(tf, n, _min_bound(self.getOrDefault("minDF")), _max_bound(self.getOrDefault("maxDF")))
         idf, stats = fe.fit_bm25(tf, n, vocab, use_idf=self.getOrDefault("useIdf"), id_col=idc)
         avgdl = stats.first()["avgdl"]          # one scalar of the fitted model
         m = BM25Model(idf=idf, avgdl=avgdl)
