@@ -24,5 +24,5 @@ def query(name: str, sql: str | None = None, ops: tuple[str, ...] = ()):
 
 def load_all():
     """Import every plan module so that its queries register."""
-    from . import text_plans, relational_plans, analysis_plans, ml_plans, stream_plans  # noqa: F401
+    from . import text_plans, relational_plans, analysis_plans, ml_plans, stream_plans, io_plans  # noqa: F401
     return QUERIES, ORACLE

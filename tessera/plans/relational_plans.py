@@ -349,7 +349,7 @@ FROM lineitem JOIN orders ON o_orderkey = l_orderkey JOIN customer ON c_custkey
 JOIN nation ON n_nationkey = c_nationkey JOIN region ON r_regionkey = n_regionkey
 JOIN part ON p_partkey = l_partkey JOIN supplier ON s_suppkey = l_suppkey
 GROUP BY r_name, p_type, o_orderstatus
-""", ops=("JN-01", "AGG-01"))
+""", ops=("JN-01", "AGG-01", "SRC-07"))
 def star_join(spark, sf):
     t = lambda n: table(spark, sf, n)
     j = (t("lineitem").join(t("orders"), F.col("o_orderkey") == F.col("l_orderkey"))
