@@ -30,10 +30,14 @@ def letters_lower(c) -> Column:
     return F.lower(F.regexp_replace(fold_ascii(_c(c)), "[^a-zA-Z]", " "))
 
 
+def token_string(c) -> Column:
+    """Folded, lower-case letters separated by single spaces, trimmed (one regex pass for the separators)."""
+    return F.trim(F.lower(F.regexp_replace(fold_ascii(_c(c)), "[^a-zA-Z]+", " ")))
+
+
 def tokens(c) -> Column:
     """Whitespace tokens of ``letters_lower`` (array<string>, order kept, repeats kept)."""
-    s = F.trim(F.regexp_replace(letters_lower(c), " +", " "))
-    return F.filter(F.split(s, " "), lambda t: t != "")
+    return F.filter(F.split(token_string(c), " "), lambda t: t != "")
 
 
 def drop_stopwords(arr, stopwords) -> Column:
@@ -57,9 +61,10 @@ def processed_tokens(c, stopwords, longer_than: int = 3) -> Column:
     """The reference's normalisation before stemming: fold, letters, lower, split, stop words, ``len > 3``
     (one array pass: the length test runs first, then the hash-set stop-word test)."""
     sw = list(stopwords or [])
+    raw = F.split(token_string(c), " ")       # the length test also removes the empty token of an empty text
     if not sw:
-        return min_length(tokens(c), longer_than)
-    return F.filter(tokens(c), lambda t: (F.length(t) > longer_than) & ~t.isin(sw))
+        return F.filter(raw, lambda t: F.length(t) > max(longer_than, 0))
+    return F.filter(raw, lambda t: (F.length(t) > max(longer_than, 0)) & ~t.isin(sw))
 
 
 def join_tokens(arr) -> Column:

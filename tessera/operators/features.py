@@ -66,10 +66,11 @@ def smooth_idf(df_col="df", n_col="n_docs"):
 
 
 def l2_normalise(w: DataFrame, id_col: str = "doc_id", value_col: str = "weight") -> DataFrame:
-    norms = w.groupBy(id_col).agg(F.sqrt(F.sum(F.col(value_col) * F.col(value_col))).alias("_norm"))
-    return (w.join(norms, id_col)
-            .withColumn(value_col, F.when(F.col("_norm") > 0, F.col(value_col) / F.col("_norm")).otherwise(0.0))
-            .drop("_norm"))
+    """Divide by the document's L2 norm. The norm is a window over the document (one group per
+    document, bounded by its distinct terms): one shuffle, and the weights are read once."""
+    from pyspark.sql import Window
+    nrm = F.sqrt(F.sum(F.col(value_col) * F.col(value_col)).over(Window.partitionBy(id_col)))
+    return w.withColumn(value_col, F.when(nrm > 0, F.col(value_col) / nrm).otherwise(F.lit(0.0)))
 
 
 def fit_tfidf(tf_fit: DataFrame, n_docs: DataFrame, min_df=5, max_df=0.8, max_features=None) -> DataFrame:
@@ -85,9 +86,14 @@ def apply_tfidf(tf: DataFrame, model: DataFrame, id_col: str = "doc_id") -> Data
     return l2_normalise(w, id_col)
 
 
-def tfidf(docs: DataFrame, id_col="doc_id", tokens_col="tokens", min_df=5, max_df=0.8, max_features=None):
-    """Fit and transform on one frame (FEA-04)."""
+def tfidf(docs: DataFrame, id_col="doc_id", tokens_col="tokens", min_df=5, max_df=0.8, max_features=None,
+          materialize: bool = False):
+    """Fit and transform on one frame (FEA-04). ``materialize`` checkpoints the term-count table, which
+    both the fit (vocabulary) and the transform read."""
     tf = term_frequencies(docs, id_col, tokens_col)
+    if materialize:
+        from ..session import cut_lineage
+        tf = cut_lineage(tf)
     model = fit_tfidf(tf, count_documents(docs), min_df, max_df, max_features)
     return apply_tfidf(tf, model, id_col)
 
@@ -142,25 +148,35 @@ def fit_bm25(tf_fit: DataFrame, n_docs: DataFrame, vocab: DataFrame | None = Non
     """Fit BM25: returns (idf table (term, df, idf), one-row (avgdl, n_docs)).
 
     ``vocab`` restricts the terms (the columns of the reference's matrix); ``avgdl`` is the mean in-vocabulary
-    document length over all documents, documents without a vocabulary term counting as 0.
+    document length over all documents, documents without a vocabulary term counting as 0. Both the idf
+    and ``avgdl`` come from one per-term table (df, corpus count): when ``vocab`` already carries them (the
+    output of ``vocabulary``) the term counts are not read again.
     """
-    tf_v = tf_fit.join(vocab.select("term"), "term") if vocab is not None else tf_fit
-    dfr = document_frequency(tf_v).crossJoin(n_docs)
-    idf = dfr.withColumn("idf", bm25_idf() if use_idf else F.lit(1.0)).select("term", "df", "idf")
-    stats = (tf_v.agg(F.sum("tf").alias("_len")).crossJoin(n_docs)
-             .select((F.col("_len") / F.col("n_docs")).alias("avgdl"), "n_docs"))
+    if vocab is not None and {"df", "cf"} <= set(vocab.columns):
+        per_term = vocab.select("term", "df", "cf")
+    else:
+        base = tf_fit if vocab is None else tf_fit.join(vocab.select("term"), "term")
+        per_term = base.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"))
+    per_term = per_term.crossJoin(n_docs)
+    idf = per_term.select("term", "df", (bm25_idf() if use_idf else F.lit(1.0)).alias("idf"))
+    stats = per_term.agg((F.sum("cf") / F.max("n_docs")).alias("avgdl"), F.max("n_docs").alias("n_docs"))
+    if vocab is None:
+        stats = n_docs.join(stats.drop("n_docs"), how="left").select(
+            F.coalesce("avgdl", F.lit(0.0)).alias("avgdl"), "n_docs")
     return idf, stats
 
 
 def apply_bm25(tf: DataFrame, idf: DataFrame, stats: DataFrame, k1: float = 2.0, b: float = 0.75,
                id_col: str = "doc_id") -> DataFrame:
-    """(doc_id, term, weight) = tf (k1 + 1) / (tf + k1 (1 - b + b dl / avgdl)) x idf."""
-    t = tf.join(idf.select("term", "idf"), "term")
-    dl = t.groupBy(id_col).agg(F.sum("tf").alias("_dl"))
+    """(doc_id, term, weight) = tf (k1 + 1) / (tf + k1 (1 - b + b dl / avgdl)) x idf.
+
+    ``dl`` (in-vocabulary length) is a window sum over the document; ``avgdl`` is the fitted scalar."""
+    from pyspark.sql import Window
+    t = tf.join(idf.select("term", "idf"), "term").crossJoin(stats.select("avgdl"))
+    dl = F.sum("tf").over(Window.partitionBy(id_col))
     x = F.col("tf").cast("double")
-    w = x * F.lit(k1 + 1) / (x + F.lit(k1) * (F.lit(1 - b) + F.lit(b) * F.col("_dl") / F.col("avgdl")))
-    return (t.join(dl, id_col).crossJoin(stats.select("avgdl"))
-            .select(id_col, "term", (w * F.col("idf")).alias("weight")))
+    w = x * F.lit(k1 + 1) / (x + F.lit(k1) * (F.lit(1 - b) + F.lit(b) * dl / F.col("avgdl")))
+    return t.select(id_col, "term", (w * F.col("idf")).alias("weight"))
 
 
 # -- dense features -----------------------------------------------------------------------------------------

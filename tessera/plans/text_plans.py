@@ -9,6 +9,7 @@ from ..functions import stem as stem_mod
 from ..functions import stopwords as sw
 from ..functions import text as tx
 from ..operators import common, features as fe
+from ..session import cut_lineage
 from ..sources.tables import table
 from . import sqlfrag as q
 from .registry import query
@@ -23,12 +24,16 @@ TOP_TERMS = 20
 WORDS_PER_CLASS = 200
 
 
-def processed_docs(spark, sf, band: bool = False):
+def processed_docs(spark, sf, band: bool = False, materialize: bool = False):
+    """(doc_id, lang, source, tokens). With ``materialize`` the processed corpus is written once to the
+    shared checkpoint folder (as the reference hands its processed corpus to the feature stage), so the
+    regex work is not repeated by every consumer of the token table (vocabulary, weights, counts)."""
     d = table(spark, sf, "documents").select("doc_id", "lang", "source", "text")
     if band:
         wc = tx.word_count("text")
         d = d.filter((wc > BAND_LO) & (wc < BAND_HI))
-    return d.select("doc_id", "lang", "source", tx.processed_tokens("text", STOP, 3).alias("tokens"))
+    d = d.select("doc_id", "lang", "source", tx.processed_tokens("text", STOP, 3).alias("tokens"))
+    return cut_lineage(d) if materialize else d
 
 
 def _sql_stop_list(words) -> str:
@@ -57,7 +62,7 @@ tfidf AS (SELECT doc_id, term, CASE WHEN nrm > 0 THEN w / nrm ELSE 0.0 END AS we
 
 # -- flagship ---------------------------------------------------------------------------------------------
 def class_top_terms_df(spark, sf):
-    docs = processed_docs(spark, sf, band=True)
+    docs = processed_docs(spark, sf, band=True, materialize=True)
     weights = fe.tfidf(docs.select("doc_id", "tokens"), min_df=MIN_DF, max_df=MAX_DF)
     per_class = (weights.join(docs.select("doc_id", "lang"), "doc_id")
                  .groupBy("lang", "term").agg(F.sum("weight").alias("score_raw")))
@@ -195,7 +200,7 @@ WITH {sql_doc_tokens()},
 SELECT doc_id, term, round(weight, 6) AS weight FROM tfidf
 """, ops=("FEA-01", "FEA-02", "FEA-04"))
 def tfidf(spark, sf):
-    w = fe.tfidf(processed_docs(spark, sf).select("doc_id", "tokens"), min_df=MIN_DF, max_df=MAX_DF)
+    w = fe.tfidf(processed_docs(spark, sf, materialize=True).select("doc_id", "tokens"), min_df=MIN_DF, max_df=MAX_DF)
     return w.select("doc_id", "term", F.round("weight", 6).alias("weight"))
 
 
@@ -206,7 +211,7 @@ SELECT doc_id, round(sqrt(sum(weight * weight)), 6) AS norm, count(*) AS n_terms
 """, ops=("FEA-02",))
 def tfidf_norms(spark, sf):
     """Property check as a query: every document's TF-IDF vector has norm 1."""
-    w = fe.tfidf(processed_docs(spark, sf).select("doc_id", "tokens"), min_df=MIN_DF, max_df=MAX_DF)
+    w = fe.tfidf(processed_docs(spark, sf, materialize=True).select("doc_id", "tokens"), min_df=MIN_DF, max_df=MAX_DF)
     return w.groupBy("doc_id").agg(F.round(F.sqrt(F.sum(F.col("weight") ** 2)), 6).alias("norm"),
                                    F.count(F.lit(1)).alias("n_terms"))
 
@@ -236,7 +241,7 @@ SELECT doc_id, term, round(weight, 6) AS weight FROM tfidf
 """, ops=("FEA-03",))
 def tfidf_ngrams(spark, sf):
     docs = processed_docs(spark, sf).select("doc_id", fe.ngrams("tokens", 1, 3).alias("tokens"))
-    w = fe.tfidf(docs, min_df=NGRAM_MIN_DF, max_df=NGRAM_MAX_DF, max_features=NGRAM_MAX_FEATURES)
+    w = fe.tfidf(docs, min_df=NGRAM_MIN_DF, max_df=NGRAM_MAX_DF, max_features=NGRAM_MAX_FEATURES, materialize=True)
     return w.select("doc_id", "term", F.round("weight", 6).alias("weight"))
 
 
@@ -251,7 +256,7 @@ SELECT doc_id, term, round(CASE WHEN nrm > 0 THEN w / nrm ELSE 0.0 END, 6) AS we
 FROM w2 JOIN (SELECT doc_id, sqrt(sum(w * w)) AS nrm FROM w2 GROUP BY doc_id) USING (doc_id)
 """, ops=("FEA-09",))
 def tfidf_log2(spark, sf):
-    w = fe.tfidf_log2(processed_docs(spark, sf).select("doc_id", "tokens"))
+    w = fe.tfidf_log2(processed_docs(spark, sf, materialize=True).select("doc_id", "tokens"))
     return w.select("doc_id", "term", F.round("weight", 6).alias("weight"))
 
 
@@ -263,7 +268,7 @@ SELECT doc_id, term_index, tf AS count FROM tf JOIN ix USING (term)
 """, ops=("FEA-08", "AGG-01"))
 def bow(spark, sf):
     """Dictionary (dense sorted term ids) and bag of words per document."""
-    tf = fe.term_frequencies(processed_docs(spark, sf).select("doc_id", "tokens"))
+    tf = cut_lineage(fe.term_frequencies(processed_docs(spark, sf).select("doc_id", "tokens")))
     ix = common.dense_index(tf.select("term").distinct(), "term", "term_index")
     return tf.join(ix, "term").select("doc_id", "term_index", F.col("tf").alias("count"))
 
@@ -288,7 +293,7 @@ FROM tf JOIN idf USING (term) JOIN dl USING (doc_id), st
 """, ops=("FEA-05", "FEA-06", "UDF-02"))
 def bm25(spark, sf):
     docs = processed_docs(spark, sf).select("doc_id", "tokens")
-    tf = fe.term_frequencies(docs)
+    tf = cut_lineage(fe.term_frequencies(docs))
     n = fe.count_documents(docs)
     vocab = fe.vocabulary(tf, n, MIN_DF, MAX_DF)
     idf, stats = fe.fit_bm25(tf, n, vocab, BM25_K1, BM25_B)
@@ -318,7 +323,7 @@ vl AS (SELECT term, unnest(range(0, len(embedding))) AS dim, CAST(unnest(embeddi
 SELECT doc_id, CAST(dim AS INTEGER) AS dim, round(sum(tf * value) / sum(tf), 6) AS value FROM tf JOIN vl USING (term) GROUP BY doc_id, dim
 """, ops=("FEA-12",))
 def mean_vector(spark, sf):
-    tf = fe.term_frequencies(processed_docs(spark, sf).select("doc_id", "tokens"))
+    tf = cut_lineage(fe.term_frequencies(processed_docs(spark, sf).select("doc_id", "tokens")))
     vl = fe.token_vectors(ranked_vocab(tf), table(spark, sf, "embeddings"))
     return fe.pooled_vectors(tf, vl, "mean").select("doc_id", "dim", F.round("value", 6).alias("value"))
 
@@ -327,7 +332,7 @@ def mean_vector(spark, sf):
 SELECT doc_id, CAST(dim AS INTEGER) AS dim, round(sum(tf * value), 6) AS value FROM tf JOIN vl USING (term) GROUP BY doc_id, dim
 """, ops=("FEA-12",))
 def sum_vector(spark, sf):
-    tf = fe.term_frequencies(processed_docs(spark, sf).select("doc_id", "tokens"))
+    tf = cut_lineage(fe.term_frequencies(processed_docs(spark, sf).select("doc_id", "tokens")))
     vl = fe.token_vectors(ranked_vocab(tf), table(spark, sf, "embeddings"))
     return fe.pooled_vectors(tf, vl, "sum").select("doc_id", "dim", F.round("value", 6).alias("value"))
 
@@ -340,7 +345,7 @@ SELECT doc_id, CAST(dim AS INTEGER) AS dim,
 FROM mv JOIN mm USING (dim)
 """, ops=("FEA-11",))
 def minmax_scale(spark, sf):
-    tf = fe.term_frequencies(processed_docs(spark, sf).select("doc_id", "tokens"))
+    tf = cut_lineage(fe.term_frequencies(processed_docs(spark, sf).select("doc_id", "tokens")))
     vl = fe.token_vectors(ranked_vocab(tf), table(spark, sf, "embeddings"))
     mv = fe.pooled_vectors(tf, vl, "mean")
     return fe.minmax_scale(mv, "dim").select("doc_id", "dim", F.round("value", 6).alias("value"))
@@ -353,7 +358,7 @@ SELECT doc_id, CAST(dim AS INTEGER) AS dim, round(CASE WHEN m > 0 THEN value / m
 FROM mv JOIN mx USING (doc_id)
 """, ops=("FEA-11",))
 def max_normalize(spark, sf):
-    tf = fe.term_frequencies(processed_docs(spark, sf).select("doc_id", "tokens"))
+    tf = cut_lineage(fe.term_frequencies(processed_docs(spark, sf).select("doc_id", "tokens")))
     vl = fe.token_vectors(ranked_vocab(tf), table(spark, sf, "embeddings"))
     mv = fe.pooled_vectors(tf, vl, "sum")
     return fe.max_normalise(mv, "doc_id").select("doc_id", "dim", F.round("value", 6).alias("value"))
