@@ -21,7 +21,7 @@ def hash_key(id_col, seed) -> Column:
     return F.md5(F.concat(c.cast("string"), F.lit(str(seed))))
 
 
-def class_rank(df: DataFrame, class_cols, id_col: str, seed, salt_hex: int = 3,
+def class_rank(df: DataFrame, class_cols, id_col: str, seed, salt_hex: int = 4,
                rank_col: str = "_rank", size_col: str = "_class_n", order_col: str = "_h",
                max_rank: int | None = None) -> DataFrame:
     """Add the 1-based rank of each row inside its class, ordered by ``hash_key(id, seed)`` then id,
@@ -68,7 +68,7 @@ def top_k_per_group(df: DataFrame, group_cols, order_cols, k: int, salt_col=None
 
 
 def dense_index(df: DataFrame, key_col: str, index_col: str = "term_index", prefix_len: int = 2,
-                order=None, buckets=None) -> DataFrame:
+                order=None, buckets=None, max_index: int | None = None) -> DataFrame:
     """0-based dense index in sorted order (``row_number() over (order by ...) - 1``) without a global window.
 
     Rows are grouped into buckets that are a coarsening of the order (by default the first ``prefix_len``
@@ -88,10 +88,14 @@ def dense_index(df: DataFrame, key_col: str, index_col: str = "term_index", pref
     border = [F.col(n).asc() if asc else F.col(n).desc() for n, (_, asc) in zip(names, buckets)]
     wcum = Window.orderBy(*border).rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(*names, F.coalesce(F.sum("_pn").over(wcum), F.lit(0)).alias("_off"))
+    if max_index is not None:
+        # top-N use: buckets that start at or after N are dropped before any row is numbered
+        offsets = offsets.filter(F.col("_off") < max_index)
     w = Window.partitionBy(*names).orderBy(*[c.asc() if asc else c.desc() for c, asc in order])
-    return (d.join(offsets, names)
-            .withColumn(index_col, (F.col("_off") + F.row_number().over(w) - 1).cast("long"))
-            .drop(*names, "_off"))
+    out = (d.join(offsets, names)
+           .withColumn(index_col, (F.col("_off") + F.row_number().over(w) - 1).cast("long"))
+           .drop(*names, "_off"))
+    return out.filter(F.col(index_col) < max_index) if max_index is not None else out
 
 
 def scalar(df: DataFrame, name: str, expr: Column) -> DataFrame:

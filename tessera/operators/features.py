@@ -22,10 +22,26 @@ from .common import dense_index
 def term_frequencies(docs: DataFrame, id_col: str = "doc_id", tokens_col: str = "tokens",
                      term_col: str = "term") -> DataFrame:
     """(doc_id, term, tf): raw count of each term in each document (bag of words, FEA-08)."""
-    return (docs.select(id_col, F.explode(tokens_col).alias(term_col))
+    # explode_outer + a null filter: an inner explode makes the optimizer infer ``size(tokens) > 0`` below
+    # the generator, which would evaluate the whole token expression (regexes, n-grams) a second time.
+    return (docs.select(id_col, F.explode_outer(tokens_col).alias(term_col)).filter(F.col(term_col).isNotNull())
             .groupBy(id_col, term_col).agg(F.count(F.lit(1)).alias("tf")))
 
 
+def text_term_counts(docs: DataFrame, text_col: str, stopwords, longer_than: int = 3, keys=("doc_id",),
+                     term_col: str = "term") -> DataFrame:
+    """(keys..., term, tf) straight from raw text: the token string is split and exploded, and the length
+    and stop-word tests run as a row filter, so the whole pipeline stays in whole-stage codegen (an array
+    ``filter`` lambda would not). Same tokens as ``text.processed_tokens``."""
+    from ..functions import text as tx
+    sw = list(stopwords or [])
+    t = docs.select(*keys, F.explode_outer(F.split(tx.token_string(text_col), " ")).alias(term_col))
+    cond = F.length(term_col) > max(longer_than, 0)
+    if sw:
+        cond = cond & ~F.col(term_col).isin(sw)
+    return t.filter(cond).groupBy(*keys, term_col).agg(F.count(F.lit(1)).alias("tf"))
+
+
 def document_frequency(tf: DataFrame, term_col: str = "term") -> DataFrame:
     return tf.groupBy(term_col).agg(F.count(F.lit(1)).alias("df"))
 
@@ -48,9 +64,13 @@ def vocabulary(tf: DataFrame, n_docs: DataFrame, min_df=5, max_df=0.8, max_featu
     hi = F.lit(max_df) if isinstance(max_df, int) else F.lit(float(max_df)) * F.col("n_docs")
     v = v.filter((F.col("df") >= lo) & (F.col("df") <= hi))
     if max_features is not None:
-        # A global top-N by corpus count: an ordered limit is planned as TakeOrderedAndProject
-        # (per-partition top N, then a merge of N rows per partition), never a full sort in one task.
-        v = v.orderBy(F.col("cf").desc(), F.col(term_col)).limit(max_features)
+        # Exact global top-N by (corpus count desc, term): terms are bucketed by their count, a count
+        # table gives each bucket its offset, buckets starting beyond N are dropped, and rows are numbered
+        # inside the remaining buckets only -- no single task receives N rows from every partition.
+        from ..session import cut_lineage
+        v = cut_lineage(v, "vocab")          # the bounded-df vocabulary is read three times below
+        v = dense_index(v, term_col, "_top", order=[(F.col("cf"), False), (F.col(term_col), True)],
+                        buckets=[(F.col("cf"), False)], max_index=max_features).drop("_top")
     return v
 
 
@@ -79,10 +99,11 @@ def fit_tfidf(tf_fit: DataFrame, n_docs: DataFrame, min_df=5, max_df=0.8, max_fe
     return v.withColumn("idf", smooth_idf()).select("term", "df", "n_docs", "idf")
 
 
-def apply_tfidf(tf: DataFrame, model: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """(doc_id, term, weight): count x idf, L2 per document. Documents with no vocabulary term have no rows."""
+def apply_tfidf(tf: DataFrame, model: DataFrame, id_col: str = "doc_id", keep=()) -> DataFrame:
+    """(doc_id, [keep...], term, weight): count x idf, L2 per document. Documents with no vocabulary term
+    have no rows. ``keep`` carries document-level columns (e.g. the class) through."""
     w = (tf.join(model.select("term", "idf"), "term")
-         .select(id_col, "term", (F.col("tf") * F.col("idf")).alias("weight")))
+         .select(id_col, *keep, "term", (F.col("tf") * F.col("idf")).alias("weight")))
     return l2_normalise(w, id_col)
 
 
@@ -98,9 +119,10 @@ def tfidf(docs: DataFrame, id_col="doc_id", tokens_col="tokens", min_df=5, max_d
     return apply_tfidf(tf, model, id_col)
 
 
-def tfidf_log2(docs: DataFrame, id_col="doc_id", tokens_col="tokens") -> DataFrame:
-    """Second convention (FEA-09): tf x log2(n / df), L2 per document; zero weights dropped."""
-    tf = term_frequencies(docs, id_col, tokens_col)
+def tfidf_log2(docs: DataFrame, id_col="doc_id", tokens_col="tokens", tf: DataFrame | None = None) -> DataFrame:
+    """Second convention (FEA-09): tf x log2(n / df), L2 per document; zero weights dropped.
+    ``tf`` may be given precomputed (then ``docs`` is only counted)."""
+    tf = term_frequencies(docs, id_col, tokens_col) if tf is None else tf
     dfr = document_frequency(tf).crossJoin(count_documents(docs))
     w = (tf.join(dfr, "term")
          .select(id_col, "term", (F.col("tf") * F.log2(F.col("n_docs") / F.col("df"))).alias("weight"))

@@ -61,11 +61,24 @@ tfidf AS (SELECT doc_id, term, CASE WHEN nrm > 0 THEN w / nrm ELSE 0.0 END AS we
 
 
 # -- flagship ---------------------------------------------------------------------------------------------
+def band_docs(spark, sf):
+    d = table(spark, sf, "documents").select("doc_id", "lang", "source", "text")
+    wc = tx.word_count("text")
+    return d.filter((wc > BAND_LO) & (wc < BAND_HI))
+
+
+def doc_term_counts(spark, sf, band: bool = False, keys=("doc_id",)):
+    """Materialised (doc, term, tf) table of the processed corpus (one regex pass over the text), and the
+    document table it came from (for the document count, which prunes the text column away)."""
+    d = band_docs(spark, sf) if band else table(spark, sf, "documents").select("doc_id", "lang", "source", "text")
+    return cut_lineage(fe.text_term_counts(d, "text", STOP, 3, keys), "tf"), d
+
+
 def class_top_terms_df(spark, sf):
-    docs = processed_docs(spark, sf, band=True, materialize=True)
-    weights = fe.tfidf(docs.select("doc_id", "tokens"), min_df=MIN_DF, max_df=MAX_DF)
-    per_class = (weights.join(docs.select("doc_id", "lang"), "doc_id")
-                 .groupBy("lang", "term").agg(F.sum("weight").alias("score_raw")))
+    tf, docs = doc_term_counts(spark, sf, band=True, keys=("doc_id", "lang"))
+    model = fe.fit_tfidf(tf, fe.count_documents(docs), MIN_DF, MAX_DF)
+    weights = fe.apply_tfidf(tf, model, keep=("lang",))
+    per_class = weights.groupBy("lang", "term").agg(F.sum("weight").alias("score_raw"))
     ranked = common.top_k_per_group(per_class, "lang", [F.round("score_raw", 9).desc(), F.col("term")],
                                     TOP_TERMS, salt_col="term")
     return ranked.select("lang", "term", F.round("score_raw", 6).alias("score"), F.col("rank").cast("int"))
@@ -158,7 +171,7 @@ def glove_clean(spark, sf):
 
 # -- stemming as a vocabulary job (STR-06) ----------------------------------------------------------------
 def stem_vocabulary(docs):
-    vocab = docs.select(F.explode("tokens").alias("token")).distinct()
+    vocab = docs.select(F.explode_outer("tokens").alias("token")).filter(F.col("token").isNotNull()).distinct()
     return stem_mod.stem_column(vocab, "token", "stem")
 
 
@@ -172,7 +185,9 @@ voc AS (SELECT DISTINCT unnest(tokens) AS token FROM doc_tok),
 SELECT token, stem FROM {_STEM_LAST}
 """, ops=("STR-06",))
 def stem_vocab(spark, sf):
-    return stem_vocabulary(processed_docs(spark, sf))
+    d = table(spark, sf, "documents").select("text")
+    vocab = fe.text_term_counts(d, "text", STOP, 3, keys=()).select(F.col("term").alias("token"))
+    return stem_mod.stem_column(vocab, "token", "stem")
 
 
 @query("stemmed_text", f"""
@@ -187,7 +202,7 @@ def stemmed_text(spark, sf):
     """Stems per distinct token, joined back to positions and re-assembled per document in order."""
     docs = processed_docs(spark, sf)
     stems = stem_vocabulary(docs)
-    pos = docs.select("doc_id", F.posexplode("tokens").alias("pos", "token"))
+    pos = docs.select("doc_id", F.posexplode_outer("tokens").alias("pos", "token")).filter(F.col("token").isNotNull())
     joined = pos.join(stems, "token")
     return fe.assemble_array(joined, "doc_id", "pos", "stem", "_st").select(
         "doc_id", F.array_join("_st", " ").alias("stemmed"))
@@ -200,7 +215,8 @@ WITH {sql_doc_tokens()},
 SELECT doc_id, term, round(weight, 6) AS weight FROM tfidf
 """, ops=("FEA-01", "FEA-02", "FEA-04"))
 def tfidf(spark, sf):
-    w = fe.tfidf(processed_docs(spark, sf, materialize=True).select("doc_id", "tokens"), min_df=MIN_DF, max_df=MAX_DF)
+    tf, docs = doc_term_counts(spark, sf)
+    w = fe.apply_tfidf(tf, fe.fit_tfidf(tf, fe.count_documents(docs), MIN_DF, MAX_DF))
     return w.select("doc_id", "term", F.round("weight", 6).alias("weight"))
 
 
@@ -211,7 +227,8 @@ SELECT doc_id, round(sqrt(sum(weight * weight)), 6) AS norm, count(*) AS n_terms
 """, ops=("FEA-02",))
 def tfidf_norms(spark, sf):
     """Property check as a query: every document's TF-IDF vector has norm 1."""
-    w = fe.tfidf(processed_docs(spark, sf, materialize=True).select("doc_id", "tokens"), min_df=MIN_DF, max_df=MAX_DF)
+    tf, docs = doc_term_counts(spark, sf)
+    w = fe.apply_tfidf(tf, fe.fit_tfidf(tf, fe.count_documents(docs), MIN_DF, MAX_DF))
     return w.groupBy("doc_id").agg(F.round(F.sqrt(F.sum(F.col("weight") ** 2)), 6).alias("norm"),
                                    F.count(F.lit(1)).alias("n_terms"))
 
@@ -256,7 +273,8 @@ SELECT doc_id, term, round(CASE WHEN nrm > 0 THEN w / nrm ELSE 0.0 END, 6) AS we
 FROM w2 JOIN (SELECT doc_id, sqrt(sum(w * w)) AS nrm FROM w2 GROUP BY doc_id) USING (doc_id)
 """, ops=("FEA-09",))
 def tfidf_log2(spark, sf):
-    w = fe.tfidf_log2(processed_docs(spark, sf, materialize=True).select("doc_id", "tokens"))
+    tf, docs = doc_term_counts(spark, sf)
+    w = fe.tfidf_log2(docs, tf=tf)
     return w.select("doc_id", "term", F.round("weight", 6).alias("weight"))
 
 
@@ -268,7 +286,7 @@ SELECT doc_id, term_index, tf AS count FROM tf JOIN ix USING (term)
 """, ops=("FEA-08", "AGG-01"))
 def bow(spark, sf):
     """Dictionary (dense sorted term ids) and bag of words per document."""
-    tf = cut_lineage(fe.term_frequencies(processed_docs(spark, sf).select("doc_id", "tokens")))
+    tf, _ = doc_term_counts(spark, sf)
     ix = common.dense_index(tf.select("term").distinct(), "term", "term_index")
     return tf.join(ix, "term").select("doc_id", "term_index", F.col("tf").alias("count"))
 
@@ -292,8 +310,7 @@ SELECT doc_id, term,
 FROM tf JOIN idf USING (term) JOIN dl USING (doc_id), st
 """, ops=("FEA-05", "FEA-06", "UDF-02"))
 def bm25(spark, sf):
-    docs = processed_docs(spark, sf).select("doc_id", "tokens")
-    tf = cut_lineage(fe.term_frequencies(docs))
+    tf, docs = doc_term_counts(spark, sf)
     n = fe.count_documents(docs)
     vocab = fe.vocabulary(tf, n, MIN_DF, MAX_DF)
     idf, stats = fe.fit_bm25(tf, n, vocab, BM25_K1, BM25_B)
@@ -323,7 +340,7 @@ vl AS (SELECT term, unnest(range(0, len(embedding))) AS dim, CAST(unnest(embeddi
 SELECT doc_id, CAST(dim AS INTEGER) AS dim, round(sum(tf * value) / sum(tf), 6) AS value FROM tf JOIN vl USING (term) GROUP BY doc_id, dim
 """, ops=("FEA-12",))
 def mean_vector(spark, sf):
-    tf = cut_lineage(fe.term_frequencies(processed_docs(spark, sf).select("doc_id", "tokens")))
+    tf, _ = doc_term_counts(spark, sf)
     vl = fe.token_vectors(ranked_vocab(tf), table(spark, sf, "embeddings"))
     return fe.pooled_vectors(tf, vl, "mean").select("doc_id", "dim", F.round("value", 6).alias("value"))
 
@@ -332,7 +349,7 @@ def mean_vector(spark, sf):
 SELECT doc_id, CAST(dim AS INTEGER) AS dim, round(sum(tf * value), 6) AS value FROM tf JOIN vl USING (term) GROUP BY doc_id, dim
 """, ops=("FEA-12",))
 def sum_vector(spark, sf):
-    tf = cut_lineage(fe.term_frequencies(processed_docs(spark, sf).select("doc_id", "tokens")))
+    tf, _ = doc_term_counts(spark, sf)
     vl = fe.token_vectors(ranked_vocab(tf), table(spark, sf, "embeddings"))
     return fe.pooled_vectors(tf, vl, "sum").select("doc_id", "dim", F.round("value", 6).alias("value"))
 
@@ -345,7 +362,7 @@ SELECT doc_id, CAST(dim AS INTEGER) AS dim,
 FROM mv JOIN mm USING (dim)
 """, ops=("FEA-11",))
 def minmax_scale(spark, sf):
-    tf = cut_lineage(fe.term_frequencies(processed_docs(spark, sf).select("doc_id", "tokens")))
+    tf, _ = doc_term_counts(spark, sf)
     vl = fe.token_vectors(ranked_vocab(tf), table(spark, sf, "embeddings"))
     mv = fe.pooled_vectors(tf, vl, "mean")
     return fe.minmax_scale(mv, "dim").select("doc_id", "dim", F.round("value", 6).alias("value"))
@@ -358,7 +375,7 @@ SELECT doc_id, CAST(dim AS INTEGER) AS dim, round(CASE WHEN m > 0 THEN value / m
 FROM mv JOIN mx USING (doc_id)
 """, ops=("FEA-11",))
 def max_normalize(spark, sf):
-    tf = cut_lineage(fe.term_frequencies(processed_docs(spark, sf).select("doc_id", "tokens")))
+    tf, _ = doc_term_counts(spark, sf)
     vl = fe.token_vectors(ranked_vocab(tf), table(spark, sf, "embeddings"))
     mv = fe.pooled_vectors(tf, vl, "sum")
     return fe.max_normalise(mv, "doc_id").select("doc_id", "dim", F.round("value", 6).alias("value"))
@@ -373,7 +390,8 @@ r AS (SELECT lang, word, freq, row_number() OVER (PARTITION BY lang ORDER BY fre
 SELECT lang, word, freq, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= {WORDS_PER_CLASS}
 """, ops=("AGG-17", "STR-07", "WIN-06"))
 def word_freq_by_class(spark, sf):
-    d = table(spark, sf, "documents").select("lang", F.explode(tx.tokens("text")).alias("word"))
+    d = table(spark, sf, "documents").select(
+        "lang", F.explode_outer(F.split(tx.token_string("text"), " ")).alias("word"))
     c = (d.filter((F.length("word") >= 2) & ~F.col("word").isin(WF_STOP))
          .groupBy("lang", "word").agg(F.count(F.lit(1)).alias("freq")))
     r = common.top_k_per_group(c, "lang", [F.col("freq").desc(), F.col("word")], WORDS_PER_CLASS, salt_col="word")

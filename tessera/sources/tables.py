@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 # Tables whose rows carry long texts: per-row regex work on them is worth spreading over all cores.
-TEXT_TABLES = {"documents", "pages", "conversations", "benchmark"}
+TEXT_TABLES = {"documents": "doc_id", "pages": "page_id", "conversations": "conv_id", "benchmark": "item_id"}
 
 TABLES = ("region nation customer supplier part orders lineitem events documents embeddings "
           "pages benchmark labels conversations").split()
@@ -31,7 +31,10 @@ def table(spark: SparkSession, sf_dir: str, name: str, balance: bool | None = No
     if balance:
         par = spark.sparkContext.defaultParallelism
         if df.rdd.getNumPartitions() < par:
-            df = df.repartition(par)
+            # hash on the document key: later per-document aggregations (term counts, norms) then need
+            # no further exchange
+            key = TEXT_TABLES.get(name)
+            df = df.repartition(par, key) if key else df.repartition(par)
     return df
 
 
