@@ -68,3 +68,58 @@ def prediction_sink_roundtrip(spark, sf):
     path = _out(spark, "pred")
     sinks.write_predictions(p, path)
     return spark.read.parquet(path).select("doc_id", "y_true", "modelo")
+
+
+@query("regional_corpus_roundtrip", """
+SELECT doc_id AS id_processo_documento,
+       'TRT' || lpad(CAST(CAST(substr(source, 4) AS INTEGER) + 1 AS VARCHAR), 2, '0') AS sigla_trt,
+       CAST(length(text) AS INTEGER) AS n_chars, md5(text) AS text_md5, CAST(doc_id % 13 AS INTEGER) AS cd_assunto_nivel_3
+FROM documents WHERE CAST(substr(source, 4) AS INTEGER) + 1 <= 24
+""", ops=("SRC-01", "SRC-02", "SNK-01", "STR-12"))
+def regional_corpus_roundtrip(spark, sf):
+    """Documents written in the raw 14-column quoted layout, one file set per region, then scanned back
+    with the region taken from the file name; multi-line texts and quotes must survive."""
+    d = table(spark, sf, "documents")
+    raw = d.select(
+        F.col("doc_id").alias("index"), F.concat(F.lpad(F.col("doc_id").cast("string"), 7, "0"), F.lit("-00.2020.5.01.0001")).alias("nr_processo"),
+        F.col("doc_id").alias("id_processo_documento"), F.lit(None).cast("int").alias("cd_assunto_nivel_5"),
+        F.lit(None).cast("int").alias("cd_assunto_nivel_4"), (F.col("doc_id") % 13).cast("int").alias("cd_assunto_nivel_3"),
+        (F.col("doc_id") % 7).cast("int").alias("cd_assunto_nivel_2"), F.lit(9).alias("cd_assunto_nivel_1"),
+        F.col("text").alias("tx_conteudo_documento"), F.md5("text").alias("ds_identificador_unico"),
+        F.right(F.md5("text"), F.lit(7)).alias("ds_identificador_unico_simplificado"), F.col("source").alias("ds_orgao_julgador"),
+        F.col("lang").alias("ds_orgao_julgador_colegiado"), F.lit(None).cast("timestamp").alias("dt_juntada"),
+        (F.substring("source", 4, 10).cast("int") + 1).alias("region"))
+    base = _out(spark, "raw")
+    corpus.write_regional_corpus(raw, base)
+    back = corpus.read_regional_corpus(spark, base, range(1, 25), pattern="file=" + corpus.RAW_PATTERN)
+    return back.select("id_processo_documento", "sigla_trt", F.length("tx_conteudo_documento").alias("n_chars"),
+                       F.md5("tx_conteudo_documento").alias("text_md5"), "cd_assunto_nivel_3")
+
+
+@query("keyset_batches", """
+SELECT doc_id, lang, CAST((row_number() OVER (ORDER BY doc_id) - 1) // 100 AS BIGINT) AS batch
+FROM documents WHERE lang <> 'en'
+""", ops=("SRC-11", "SRC-05"))
+def keyset_batches(spark, sf):
+    """Cursor read with predicate and field list, numbered in key order in batches of 100."""
+    d = table(spark, sf, "documents")
+    return corpus.keyset_batches(d, "doc_id", F.col("lang") != "en", ["doc_id", "lang"], 100)
+
+
+@query("flag_write_back", """
+SELECT doc_id, CASE WHEN doc_id IN (SELECT doc_id FROM labels WHERE quality = 1) THEN 'S' ELSE 'N' END AS selected
+FROM documents
+""", ops=("SRC-12", "JN-02"))
+def flag_write_back(spark, sf):
+    d = table(spark, sf, "documents").select("doc_id", F.lit("N").alias("selected"))
+    ids = table(spark, sf, "labels").filter(F.col("quality") == 1).select("doc_id")
+    return corpus.flag_write_back(d, ids, "doc_id", "selected", "S")
+
+
+@query("selection_sheet", """
+SELECT p_partkey, p_name, p_brand, p_size FROM part WHERE p_type = 'PROMO'
+""", ops=("SRC-10",))
+def selection_sheet(spark, sf):
+    p = table(spark, sf, "part")
+    return corpus.selection_sheet(p, ["p_partkey", "p_name", "p_brand", "p_size", "p_type"], "p_type", "PROMO",
+                                  "p_partkey").drop("p_type")

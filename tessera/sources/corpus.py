@@ -31,14 +31,14 @@ def region_glob(base: str, regions, pattern: str = RAW_PATTERN) -> str:
     return f"{base.rstrip('/')}/" + pattern.format(region="{" + codes + "}")
 
 
-def read_regional_corpus(spark: SparkSession, base: str, regions=range(1, 25)) -> DataFrame:
+def read_regional_corpus(spark: SparkSession, base: str, regions=range(1, 25), pattern: str = RAW_PATTERN) -> DataFrame:
     """Raw regional corpus: positional 14-column CSV, all fields quoted, multi-line HTML bodies (SRC-01).
 
     Adds ``sigla_trt`` ('TRT' + two digits) from the file name.
     """
     df = (spark.read.schema(RAW_SCHEMA).option("header", False).option("multiLine", True)
           .option("quote", '"').option("escape", '"').option("mode", "PERMISSIVE")
-          .csv(region_glob(base, regions)))
+          .csv(region_glob(base, regions, pattern)))
     code = F.regexp_extract(F.col("_metadata.file_path"), REGION_REGEX, 1)
     return df.withColumn("sigla_trt", F.concat(F.lit("TRT"), code))
 
@@ -50,6 +50,15 @@ def read_processed_corpus(spark: SparkSession, path: str, schema: StructType | N
     return (r.schema(schema) if schema is not None else r.option("inferSchema", False)).csv(path)
 
 
+def write_regional_corpus(df: DataFrame, base: str, region_col: str = "region") -> None:
+    """Write rows in the raw positional layout, one folder per region named like the reference's
+    ``TRT_XX_documentosSelecionados.csv`` files (inverse of ``read_regional_corpus``)."""
+    folder = F.concat(F.lit("TRT_"), F.lpad(F.col(region_col).cast("string"), 2, "0"), F.lit("_documentosSelecionados.csv"))
+    out = df.select(*[F.col(n).cast(t) for n, t in RAW_COLUMNS], folder.alias("file"))
+    (out.write.mode("overwrite").partitionBy("file").option("header", False).option("quoteAll", True)
+     .option("escape", '"').option("timestampFormat", "yyyy-MM-dd HH:mm:ss").csv(base))
+
+
 def read_semicolon(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
     """';' separated file with header; a ragged trailing separator yields an extra empty field that the
     explicit schema leaves out (SRC-09)."""
