@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..operators import common, features as fe, metrics as me, models as mo, sampling as sa, vectors as ve
 from ..session import cut_lineage
 from .registry import query
-from .text_plans import MAX_DF, MIN_DF, processed_docs
+from .text_plans import MAX_DF, MIN_DF, doc_term_counts, processed_docs
 
 SEED = 42
 LSA_VOCAB_CAP = 3000
@@ -104,8 +104,7 @@ def rf_fit(spark, sf):
 
 def lsa(spark, sf, k: int = 20):
     """LSA: TF-IDF over the most frequent LSA_VOCAB_CAP terms, truncated SVD, projection X·V."""
-    docs = processed_docs(spark, sf).select("doc_id", "tokens")
-    tf = fe.term_frequencies(docs)
+    tf, docs = doc_term_counts(spark, sf)
     model = common.dense_index(fe.fit_tfidf(tf, fe.count_documents(docs), MIN_DF, MAX_DF, LSA_VOCAB_CAP),
                                "term", "term_index")
     w = cut_lineage(fe.apply_tfidf(tf, model).join(model.select("term", "term_index"), "term"))
