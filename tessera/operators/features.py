@@ -241,6 +241,27 @@ def pooled_vectors(tf: DataFrame, vec_long: DataFrame, how: str = "mean", id_col
     return t.groupBy(id_col, "dim").agg(agg.alias("value"))
 
 
+def vocab_vectors(vocab_ranked: DataFrame, vectors: DataFrame, rank_col="rank", vec_key="vec_id",
+                  vec_col="embedding") -> DataFrame:
+    """(term, embedding): the word-vector table keyed by term (one row per known term)."""
+    return (vocab_ranked.join(vectors, vocab_ranked[rank_col] == vectors[vec_key])
+            .select("term", F.col(vec_col).alias("embedding")))
+
+
+def pooled_vectors_wide(tf: DataFrame, term_vectors: DataFrame, dim: int, how: str = "mean",
+                        id_col: str = "doc_id") -> DataFrame:
+    """Mean (or sum) word vector per document as (doc_id, dim, value), each occurrence counted (FEA-12).
+
+    One hash aggregate per document with ``dim`` sum buffers over the (document, known term) rows, so the
+    rows are not multiplied by the vector length before the shuffle (a long (term, dim) join would be)."""
+    t = tf.join(term_vectors, "term")
+    aggs = [F.sum(F.col("tf") * F.col("embedding")[i].cast("double")).alias(f"_d{i}") for i in range(dim)]
+    g = t.groupBy(id_col).agg(F.sum("tf").alias("_n"), *aggs)
+    den = F.col("_n") if how != "sum" else F.lit(1)
+    arr = F.array(*[F.col(f"_d{i}") / den for i in range(dim)])
+    return g.select(id_col, F.posexplode(arr).alias("dim", "value"))
+
+
 def assemble_array(long_df: DataFrame, id_col: str, pos_col: str, value_col: str, out_col: str) -> DataFrame:
     """Long (id, pos, value) -> (id, array ordered by pos)."""
     return (long_df.groupBy(id_col)

@@ -341,8 +341,14 @@ SELECT doc_id, CAST(dim AS INTEGER) AS dim, round(sum(tf * value) / sum(tf), 6)
 """, ops=("FEA-12",))
 def mean_vector(spark, sf):
     tf, _ = doc_term_counts(spark, sf)
-    vl = fe.token_vectors(ranked_vocab(tf), table(spark, sf, "embeddings"))
-    return fe.pooled_vectors(tf, vl, "mean").select("doc_id", "dim", F.round("value", 6).alias("value"))
+    return _pooled(spark, sf, tf, "mean").select("doc_id", "dim", F.round("value", 6).alias("value"))
+
+
+def _pooled(spark, sf, tf, how):
+    emb = table(spark, sf, "embeddings")
+    dim = emb.agg(F.max(F.size("embedding"))).first()[0]     # the vectors' length: a model property
+    tv = fe.vocab_vectors(ranked_vocab(tf), emb)
+    return fe.pooled_vectors_wide(tf, tv, int(dim), how)
 
 
 @query("sum_vector", SQL_VEC_BASE + """
@@ -350,8 +356,7 @@ SELECT doc_id, CAST(dim AS INTEGER) AS dim, round(sum(tf * value), 6) AS value F
 """, ops=("FEA-12",))
 def sum_vector(spark, sf):
     tf, _ = doc_term_counts(spark, sf)
-    vl = fe.token_vectors(ranked_vocab(tf), table(spark, sf, "embeddings"))
-    return fe.pooled_vectors(tf, vl, "sum").select("doc_id", "dim", F.round("value", 6).alias("value"))
+    return _pooled(spark, sf, tf, "sum").select("doc_id", "dim", F.round("value", 6).alias("value"))
 
 
 @query("minmax_scale", SQL_VEC_BASE + """,
@@ -363,8 +368,7 @@ FROM mv JOIN mm USING (dim)
 """, ops=("FEA-11",))
 def minmax_scale(spark, sf):
     tf, _ = doc_term_counts(spark, sf)
-    vl = fe.token_vectors(ranked_vocab(tf), table(spark, sf, "embeddings"))
-    mv = fe.pooled_vectors(tf, vl, "mean")
+    mv = _pooled(spark, sf, tf, "mean")
     return fe.minmax_scale(mv, "dim").select("doc_id", "dim", F.round("value", 6).alias("value"))
 
 
@@ -376,8 +380,7 @@ FROM mv JOIN mx USING (doc_id)
 """, ops=("FEA-11",))
 def max_normalize(spark, sf):
     tf, _ = doc_term_counts(spark, sf)
-    vl = fe.token_vectors(ranked_vocab(tf), table(spark, sf, "embeddings"))
-    mv = fe.pooled_vectors(tf, vl, "sum")
+    mv = _pooled(spark, sf, tf, "sum")
     return fe.max_normalise(mv, "doc_id").select("doc_id", "dim", F.round("value", 6).alias("value"))
 
 
