@@ -21,11 +21,11 @@ def corpus(spark, sf, fit_on: str = "all"):
 
     ``fit_on='all'`` fits the vocabulary and idf on train and test together, as the reference does (Q9);
     ``'train'`` fits on the training rows only."""
-    docs = processed_docs(spark, sf).select("doc_id", "lang", "tokens")
+    docs = processed_docs(spark, sf, materialize=True).select("doc_id", "lang", "tokens")
     labels = common.dense_index(docs.select("lang").distinct(), "lang", "label", prefix_len=1)
     d = sa.split_train_test(docs, "lang", "doc_id", 0.8, SEED).join(labels, "lang")
     d = d.withColumn("label", F.col("label").cast("double"))
-    tf = fe.term_frequencies(d.select("doc_id", "tokens"))
+    tf = cut_lineage(fe.term_frequencies(d.select("doc_id", "tokens")), "tf")
     fit_docs = d if fit_on == "all" else d.filter(F.col("split") == "train")
     tf_fit = tf.join(fit_docs.select("doc_id"), "doc_id", "left_semi")
     model = fe.fit_tfidf(tf_fit, fe.count_documents(fit_docs), MIN_DF, MAX_DF)
@@ -34,13 +34,15 @@ def corpus(spark, sf, fit_on: str = "all"):
     return d.drop("tokens"), tf, w, model
 
 
-def vector_table(spark, sf):
+def vector_table(spark, sf, with_corpus: bool = False):
     d, tf, w, model = corpus(spark, sf)
     size = model.count()
     vec = ve.long_to_sparse(w, "doc_id", "term_index", "weight", size)
     table_ = cut_lineage(d.join(vec, "doc_id"))
     train = cut_lineage(sa.assign_folds(table_.filter(F.col("split") == "train"), "lang", "doc_id", 5, SEED))
     test = table_.filter(F.col("split") == "test")
+    if with_corpus:
+        return train, test, size, (d, tf, model)
     return train, test, size
 
 
@@ -149,13 +151,12 @@ def mlp_fit(spark, sf):
 @query("transfer_best", None, ops=("ML-19", "ML-18", "FEA-06"))
 def transfer_best(spark, sf):
     """Best NB smoothing from the TF-IDF search re-used on BM25 features (negative weights clipped, Q6)."""
-    train, test, size = vector_table(spark, sf)
+    train, test, size, (d, tf, model) = vector_table(spark, sf, with_corpus=True)
     nb = NaiveBayes(modelType="multinomial", featuresCol="features", labelCol="label")
     grid = ParamGridBuilder().addGrid(nb.smoothing, [0.1, 1.0]).build()
     best, _ = mo.randomized_search(nb, grid, 2, train, seed=SEED)
     alpha = best.getOrDefault("smoothing")
     out = _summary_with(_native_predictions(best, test), algorithm="NB", feature="TFIDF")
-    d, tf, _, model = corpus(spark, sf)
     n = fe.count_documents(d)
     idf, stats = fe.fit_bm25(tf, n, model)
     w = fe.apply_bm25(tf.join(model.select("term"), "term"), idf, stats).join(model.select("term", "term_index"), "term")
