@@ -1,15 +1,13 @@
 """Stop-word lists.
 
-The language lists are Spark's own (the files ``StopWordsRemover.loadDefaultStopWords`` reads); they are
-read straight from the MLlib jar so that the oracle SQL can embed the identical list without a JVM.
+The language lists are Apache Spark's own (what ``StopWordsRemover.loadDefaultStopWords`` returns), shipped
+as fixed text files in ``stoplists/`` so that importing the queries needs neither a JVM nor a jar.
 """
 
 from __future__ import annotations
 
 import functools
-import glob
-import os
-import zipfile
+from importlib import resources
 
 from .fold import _ascii_of
 
@@ -27,13 +25,8 @@ DOMAIN_STOPWORDS = [
 @functools.lru_cache(maxsize=None)
 def spark_default(language: str) -> tuple[str, ...]:
     """Spark's default stop-word list for ``language`` (same content as ``loadDefaultStopWords``)."""
-    import pyspark
-    jars = glob.glob(os.path.join(os.path.dirname(pyspark.__file__), "jars", "spark-mllib_*.jar"))
-    if not jars:
-        raise FileNotFoundError("spark-mllib jar not found")
-    with zipfile.ZipFile(jars[0]) as z:
-        txt = z.read(f"org/apache/spark/ml/feature/stopwords/{language}.txt").decode("utf-8")
-    return tuple(w.strip() for w in txt.splitlines() if w.strip())
+    txt = (resources.files(__package__) / "stoplists" / f"{language}.txt").read_text(encoding="utf-8")
+    return tuple(w for w in txt.splitlines() if w)
 
 
 def folded(words) -> list[str]:
