@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import substring_dedup
+from . import lm_scoring, substring_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -28,3 +28,8 @@ def query(name: str, sql: str | None = None):
 @query("op4_substring_dedup")
 def op4(spark, sf_dir):
     return substring_dedup.digest(substring_dedup.duplicate_spans(table(spark, sf_dir, "documents")))
+
+
+@query("op3_lm_scoring")
+def op3(spark, sf_dir):
+    return lm_scoring.score(table(spark, sf_dir, "documents"), lm_scoring.crc_remainder("doc_id", 7) == 2)
