@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import lm_scoring, substring_dedup
+from . import line_dedup, lm_scoring, substring_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -33,3 +34,26 @@ def op4(spark, sf_dir):
 @query("op3_lm_scoring")
 def op3(spark, sf_dir):
     return lm_scoring.score(table(spark, sf_dir, "documents"), lm_scoring.crc_remainder("doc_id", 7) == 2)
+
+
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+BLANKS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+
+OP8_SQL = f"""
+WITH lines AS (
+    SELECT doc_id, n, line, translate(trim(line, {BLANKS}), '{UPPER}', '{LOWER}') AS k
+    FROM (SELECT doc_id, unnest(l) AS line, generate_subscripts(l, 1) AS n
+          FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents))),
+common AS (SELECT k, max(doc_id) AS last_doc FROM lines WHERE length(k) >= 40
+           GROUP BY k HAVING count(DISTINCT doc_id) >= 5)
+SELECT doc_id, CAST(count(*) AS BIGINT) AS n_lines,
+       CAST(count(*) FILTER (WHERE c.k IS NOT NULL AND doc_id <> last_doc) AS BIGINT) AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY n) FILTER (WHERE c.k IS NULL OR doc_id = last_doc), ''))
+           AS kept_sha256
+FROM lines LEFT JOIN common c USING (k) GROUP BY doc_id"""
+
+
+@query("op8_line_dedup", OP8_SQL)
+def op8(spark, sf_dir):
+    out = line_dedup.dedup_lines(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
