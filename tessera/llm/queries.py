@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import line_dedup, lm_scoring, substring_dedup
+from . import line_dedup, lm_scoring, ngram_jaccard, substring_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -57,3 +57,9 @@ FROM lines LEFT JOIN common c USING (k) GROUP BY doc_id"""
 def op8(spark, sf_dir):
     out = line_dedup.dedup_lines(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+@query("op6_ngram_jaccard")
+def op6(spark, sf_dir):
+    return ngram_jaccard.jaccard_components(table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_shingles", "component_id", "class_id")
