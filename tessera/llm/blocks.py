@@ -4,8 +4,8 @@ Documents are dealt to blocks by a hash of their id. A block turns its words int
 distinct key once and sends its sorted keys, range by range, to key buckets. A bucket merges the keys of all
 blocks and answers every block in that block's own key order, so an answer needs no key again. A key
 that occurs everywhere costs one entry per block, never one row per occurrence, and no task sees more
-than one block or one key range. The block count follows the number of input splits, so block and
-bucket sizes do not grow with the input.
+than one block or one key range. The block count follows the bytes of text, so block and bucket sizes do not
+grow with the input.
 """
 
 from __future__ import annotations
@@ -20,6 +20,9 @@ U = np.uint64
 MIX1, MIX2 = U(0xFF51AFD7ED558CCD), U(0xC4CEB9FE1A85EC53)
 #: Most words a worker keeps the hashes of; beyond it the table starts afresh (a cache, not a limit on words).
 CACHE_WORDS = 200_000
+#: Text in a block. A block sends one row to each key range, as many as there are blocks: a larger input may want
+#: larger blocks (and workers with the memory for them), so that these rows stay long.
+BLOCK_BYTES = 6_000_000
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -112,18 +115,43 @@ def bounds(sorted_keys: np.ndarray, buckets: int) -> np.ndarray:
     return np.concatenate(([0], np.searchsorted(sorted_keys, cuts), [len(sorted_keys)])).astype(np.int64)
 
 
-def block_count(docs: DataFrame, per_split: int = 2) -> int:
-    """Blocks for a table: ``per_split`` for every input split, and no fewer than the shuffle partitions ask for."""
-    spark = docs.sparkSession
-    return per_split * max(docs.rdd.getNumPartitions(), int(spark.conf.get("spark.sql.shuffle.partitions")))
+def block_count(docs: DataFrame, text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> int:
+    """Blocks of about ``block_bytes`` of text: one count over the text column, so the number follows the data alone."""
+    total = docs.agg(F.sum(F.octet_length(F.col(text_col)))).first()[0]
+    return max(1, -(-(total or 0) // block_bytes))
 
 
 def in_blocks(docs: DataFrame, blocks: int, id_col: str = "doc_id", text_col: str = "text",
               extra: tuple = ()) -> DataFrame:
-    """(block, doc, text, ...) with a null text read as empty."""
-    c = F.col(text_col)
-    return docs.select(F.pmod(F.xxhash64(F.col(id_col)), F.lit(blocks)).cast("int").alias("block"),
-                       F.col(id_col).alias("doc"), F.coalesce(c, F.lit("")).alias("text"), *extra)
+    """(block, part): the rows (doc, text, ...) of each block, a null text read as empty, in compressed parts.
+
+    A part holds what one batch of the scan has for a block, so similar texts are compressed together before
+    they are shuffled. ``unpack`` reads the parts of a block.
+    """
+    rows = docs.select(F.pmod(F.xxhash64(F.col(id_col)), F.lit(blocks)).cast("int").alias("block"),
+                       F.col(id_col).cast("long").alias("doc"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), *extra)
+    return rows.mapInArrow(_pack, "block int, part binary")
+
+
+def _pack(batches):
+    options = pa.ipc.IpcWriteOptions(compression="zstd")
+    for batch in batches:
+        of = batch.column(0).to_numpy()
+        order = np.argsort(of, kind="stable")
+        rows = batch.select(batch.schema.names[1:])
+        edge = np.flatnonzero(np.diff(of[order])) + 1
+        blocks, parts = [], []
+        for at in np.split(order, edge) if len(order) else []:
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, rows.schema, options=options) as out:
+                out.write_batch(rows.take(pa.array(at)))
+            blocks.append(int(of[at[0]])), parts.append(sink.getvalue().to_pybytes())
+        yield pa.record_batch([pa.array(blocks, pa.int32()), pa.array(parts, pa.binary())], names=["block", "part"])
+
+
+def unpack(table: pa.Table) -> pa.Table:
+    """The rows of a block from its parts (every block that is asked about has some)."""
+    return pa.concat_tables([pa.ipc.open_stream(x).read_all() for x in table.column("part").to_pylist()])
 
 
 def texts_of(table: pa.Table, name: str = "text") -> list[bytes]:
@@ -143,3 +171,78 @@ def pack_bits(x: np.ndarray) -> bytes:
 
 def unpack_bits(b: bytes, n: int) -> np.ndarray:
     return np.unpackbits(np.frombuffer(b, dtype=np.uint8), count=n).astype(bool)
+
+
+def answers(table: pa.Table | None, kind: int, keys: np.ndarray, buckets: int) -> np.ndarray:
+    """One flag for each sorted key of a block, from the answers of its buckets."""
+    out = np.zeros(len(keys), dtype=bool)
+    if table is None or not table.num_rows:
+        return out
+    b = bounds(keys, buckets)
+    kinds, bucket, bits = (table.column(c).to_pylist() for c in ("kind", "bucket", "bits"))
+    for k, i, x in zip(kinds, bucket, bits):
+        if k == kind:
+            out[b[i]:b[i + 1]] = unpack_bits(x, b[i + 1] - b[i])
+    return out
+
+
+def references(table: pa.Table, keys: np.ndarray, buckets: int) -> np.ndarray:
+    out = np.full(len(keys), -1, dtype=np.int32)
+    b = bounds(keys, buckets)
+    for k, i, x in zip(*(table.column(c).to_pylist() for c in ("kind", "bucket", "refs"))):
+        if k == 0:
+            out[b[i]:b[i + 1]] = np.frombuffer(x, dtype=np.int32)
+    return out
+
+
+SENT = "bucket int, block int, k1 binary, k2 binary, many binary"
+TOLD = "kind int, block int, bucket int, bits binary, refs binary"
+
+
+def send(block: int, k1: np.ndarray, k2: np.ndarray | None, many: np.ndarray, buckets: int) -> pa.Table:
+    b = bounds(k1, buckets)
+    rows = [(i, block, pack_keys(k1[s:e]), b"" if k2 is None else k2[s:e].tobytes(), pack_bits(many[s:e]))
+            for i, (s, e) in enumerate(zip(b[:-1], b[1:])) if e > s]
+    cols = list(zip(*rows)) or [[]] * 5
+    return pa.table([pa.array(c, t) for c, t in zip(cols, (pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary()))],
+                    names=["bucket", "block", "k1", "k2", "many"])
+
+
+def merge(kind: int):
+    """A bucket's answer to each block: which of its keys occur at more than one place, and where first."""
+    def merge(table: pa.Table) -> pa.Table:
+        bucket = table.column("bucket")[0].as_py()
+        block = table.column("block").to_numpy()
+        k1 = [unpack_keys(x) for x in table.column("k1").to_pylist()]
+        sizes = np.array([len(x) for x in k1])
+        many = np.concatenate([unpack_bits(x, n) for x, n in zip(table.column("many").to_pylist(), sizes)])
+        k1 = np.concatenate(k1)
+        source = np.repeat(block, sizes).astype(np.int32)
+        if kind:
+            k2 = np.frombuffer(b"".join(table.column("k2").to_pylist()), dtype=np.uint32)
+            order = np.lexsort((k2, k1))
+            s1, s2 = k1[order], k2[order]
+            new = np.ones(len(s1), dtype=bool)
+            new[1:] = (s1[1:] != s1[:-1]) | (s2[1:] != s2[:-1])
+        else:
+            order = np.argsort(k1, kind="stable")
+            s1 = k1[order]
+            new = np.ones(len(s1), dtype=bool)
+            new[1:] = s1[1:] != s1[:-1]
+        first = np.flatnonzero(new)
+        places = np.add.reduceat(1 + many[order].astype(np.int64), first)
+        group = np.empty(len(k1), dtype=np.int64)
+        group[order] = np.cumsum(new) - 1
+        repeated = (places > 1)[group]
+        ends = np.cumsum(sizes)
+        refs = [b""] * len(sizes)
+        if not kind:
+            least = np.minimum.reduceat(source[order], first)[group]
+            least[~repeated] = -1
+            refs = [least[e - n:e].astype(np.int32).tobytes() for n, e in zip(sizes, ends)]
+        m = len(sizes)
+        return pa.table({"kind": pa.array([kind] * m, pa.int32()), "block": pa.array(block, pa.int32()),
+                         "bucket": pa.array([bucket] * m, pa.int32()),
+                         "bits": pa.array([pack_bits(repeated[e - n:e]) for n, e in zip(sizes, ends)], pa.binary()),
+                         "refs": pa.array(refs, pa.binary())})
+    return merge

@@ -131,16 +131,16 @@ def walk(grams: Grams, totals: list[np.ndarray], n: int, v: int, prior: float) -
 
 
 def score(docs: DataFrame, held_out: Column, order: int = 2, prior: float = 64.0, id_col: str = "doc_id",
-          text_col: str = "text", per_split: int = 2) -> DataFrame:
+          text_col: str = "text", block_bytes: int = B.BLOCK_BYTES) -> DataFrame:
     """Score every document with the model of those where ``held_out`` is not true.
 
     ``order``: words of the longest n-grams; ``prior``: how many observations the shorter suffix is worth.
     """
-    n = B.block_count(docs, per_split)
+    n = B.block_count(docs, text_col, block_bytes)
     texts = B.in_blocks(docs, n, id_col, text_col, (F.coalesce(held_out, F.lit(False)).alias("held"),))
 
     def index(t: pa.Table) -> pa.Table:
-        block, g, rows = t.column("block")[0].as_py(), Grams(t, order), []
+        block, g, rows = t.column("block")[0].as_py(), Grams(B.unpack(t), order), []
         for k in range(order):
             b = B.bounds(g.keys[k], n)
             rows += [(i, block, k + 1, B.pack_keys(g.keys[k][s:e]), g.counts[k][s:e].tobytes())
@@ -150,7 +150,7 @@ def score(docs: DataFrame, held_out: Column, order: int = 2, prior: float = 64.0
                         names=["bucket", "block", "level", "keys", "counts"])
 
     def traverse(t: pa.Table, told: pa.Table) -> pa.Table:
-        g = Grams(t, order)
+        g = Grams(B.unpack(t), order)
         totals = [np.zeros(len(k), dtype=np.uint64) for k in g.keys]
         cuts = [B.bounds(k, n) for k in g.keys]
         size, types = 0, 0

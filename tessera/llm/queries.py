@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import line_dedup, lm_scoring, ngram_jaccard, substring_dedup
+from . import bpe, line_dedup, lm_scoring, ngram_jaccard, substring_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -63,3 +63,10 @@ def op8(spark, sf_dir):
 def op6(spark, sf_dir):
     return ngram_jaccard.jaccard_components(table(spark, sf_dir, "documents")).select(
         "doc_id", "n_shingles", "component_id", "class_id")
+
+
+@query("op7_bpe")
+def op7(spark, sf_dir):
+    return bpe.encode(table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))

@@ -86,110 +86,35 @@ class Parsed:
         return at, s1[first], s2[first], group, many
 
 
-def _answers(table: pa.Table | None, kind: int, keys: np.ndarray, buckets: int) -> np.ndarray:
-    """One flag for each sorted key of a block, from the answers of its buckets."""
-    out = np.zeros(len(keys), dtype=bool)
-    if table is None or not table.num_rows:
-        return out
-    b = B.bounds(keys, buckets)
-    kinds, bucket, bits = (table.column(c).to_pylist() for c in ("kind", "bucket", "bits"))
-    for k, i, x in zip(kinds, bucket, bits):
-        if k == kind:
-            out[b[i]:b[i + 1]] = B.unpack_bits(x, b[i + 1] - b[i])
-    return out
-
-
-def _references(table: pa.Table, keys: np.ndarray, buckets: int) -> np.ndarray:
-    out = np.full(len(keys), -1, dtype=np.int32)
-    b = B.bounds(keys, buckets)
-    for k, i, x in zip(*(table.column(c).to_pylist() for c in ("kind", "bucket", "refs"))):
-        if k == 0:
-            out[b[i]:b[i + 1]] = np.frombuffer(x, dtype=np.int32)
-    return out
-
-
-SENT = "bucket int, block int, k1 binary, k2 binary, many binary"
-TOLD = "kind int, block int, bucket int, bits binary, refs binary"
-
-
-def _send(block: int, k1: np.ndarray, k2: np.ndarray | None, many: np.ndarray, buckets: int) -> pa.Table:
-    b = B.bounds(k1, buckets)
-    rows = [(i, block, B.pack_keys(k1[s:e]), b"" if k2 is None else k2[s:e].tobytes(), B.pack_bits(many[s:e]))
-            for i, (s, e) in enumerate(zip(b[:-1], b[1:])) if e > s]
-    cols = list(zip(*rows)) or [[]] * 5
-    return pa.table([pa.array(c, t) for c, t in zip(cols, (pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary()))],
-                    names=["bucket", "block", "k1", "k2", "many"])
-
-
-def _merge(kind: int):
-    """A bucket's answer to each block: which of its keys occur at more than one place, and where first."""
-    def merge(table: pa.Table) -> pa.Table:
-        bucket = table.column("bucket")[0].as_py()
-        block = table.column("block").to_numpy()
-        k1 = [B.unpack_keys(x) for x in table.column("k1").to_pylist()]
-        sizes = np.array([len(x) for x in k1])
-        many = np.concatenate([B.unpack_bits(x, n) for x, n in zip(table.column("many").to_pylist(), sizes)])
-        k1 = np.concatenate(k1)
-        source = np.repeat(block, sizes).astype(np.int32)
-        if kind:
-            k2 = np.frombuffer(b"".join(table.column("k2").to_pylist()), dtype=np.uint32)
-            order = np.lexsort((k2, k1))
-            s1, s2 = k1[order], k2[order]
-            new = np.ones(len(s1), dtype=bool)
-            new[1:] = (s1[1:] != s1[:-1]) | (s2[1:] != s2[:-1])
-        else:
-            order = np.argsort(k1, kind="stable")
-            s1 = k1[order]
-            new = np.ones(len(s1), dtype=bool)
-            new[1:] = s1[1:] != s1[:-1]
-        first = np.flatnonzero(new)
-        places = np.add.reduceat(1 + many[order].astype(np.int64), first)
-        group = np.empty(len(k1), dtype=np.int64)
-        group[order] = np.cumsum(new) - 1
-        repeated = (places > 1)[group]
-        ends = np.cumsum(sizes)
-        refs = [b""] * len(sizes)
-        if not kind:
-            least = np.minimum.reduceat(source[order], first)[group]
-            least[~repeated] = -1
-            refs = [least[e - n:e].astype(np.int32).tobytes() for n, e in zip(sizes, ends)]
-        m = len(sizes)
-        return pa.table({"kind": pa.array([kind] * m, pa.int32()), "block": pa.array(block, pa.int32()),
-                         "bucket": pa.array([bucket] * m, pa.int32()),
-                         "bits": pa.array([B.pack_bits(repeated[e - n:e]) for n, e in zip(sizes, ends)], pa.binary()),
-                         "refs": pa.array(refs, pa.binary())})
-    return merge
-
-
 def duplicate_spans(docs: DataFrame, window: int = 35, gram: int = 8, id_col: str = "doc_id", text_col: str = "text",
-                    per_split: int = 2) -> DataFrame:
+                    block_bytes: int = B.BLOCK_BYTES) -> DataFrame:
     """One row per document: its duplicate word spans ``[start, end)``, the reference block of each, and the
     text that is left (words outside the spans joined by one space, UTF-8 bytes)."""
     if not 1 <= gram <= window:
         raise ValueError("gram must be between 1 and window")
-    n = B.block_count(docs, per_split)
+    n = B.block_count(docs, text_col, block_bytes)
     texts = B.in_blocks(docs, n, id_col, text_col)
 
     def index(t: pa.Table) -> pa.Table:
-        p = Parsed(t, window, gram)
-        return _send(t.column("block")[0].as_py(), p.keys, None, p.again, n)
+        p = Parsed(B.unpack(t), window, gram)
+        return B.send(t.column("block")[0].as_py(), p.keys, None, p.again, n)
 
     def fingerprints(t: pa.Table, told: pa.Table) -> pa.Table:
-        p = Parsed(t.slice(0), window, gram)
-        _, k1, k2, _, many = p.windows(_answers(told, 0, p.keys, n))
-        return _send(t.column("block")[0].as_py() if t.num_rows else -1, k1, k2, many, n)
+        p = Parsed(B.unpack(t), window, gram)
+        _, k1, k2, _, many = p.windows(B.answers(told, 0, p.keys, n))
+        return B.send(t.column("block")[0].as_py() if t.num_rows else -1, k1, k2, many, n)
 
     def spans(t: pa.Table, told: pa.Table) -> pa.Table:
-        p = Parsed(t, window, gram)
-        at, k1, _, group, _ = p.windows(_answers(told, 0, p.keys, n))
+        p = Parsed(B.unpack(t), window, gram)
+        at, k1, _, group, _ = p.windows(B.answers(told, 0, p.keys, n))
         dup = np.zeros(len(p.h) + 1, dtype=np.int64)
-        found = at[_answers(told, 1, k1, n)[group]] if len(at) else at
+        found = at[B.answers(told, 1, k1, n)[group]] if len(at) else at
         np.add.at(dup, found, 1)
         np.add.at(dup, found + window, -1)
         covered = np.cumsum(dup[:-1]) > 0 if len(p.h) else np.empty(0, dtype=bool)
         ref = np.full(len(p.h) + 1, -1, dtype=np.int32)
         if len(p.valid):
-            ref[p.valid] = _references(told, p.keys, n)[p.key_of]
+            ref[p.valid] = B.references(told, p.keys, n)[p.key_of]
         return _rows(p, covered, ref)
 
     def _rows(p: Parsed, covered: np.ndarray, ref: np.ndarray) -> pa.Table:
@@ -213,9 +138,9 @@ def duplicate_spans(docs: DataFrame, window: int = 35, gram: int = 8, id_col: st
                          "starts": pa.array(starts, pa.list_(pa.int32())), "ends": pa.array(ends, pa.list_(pa.int32())),
                          "reference_blocks": pa.array(refs, pa.list_(pa.int32())), "kept": pa.array(kept, pa.binary())})
 
-    told = texts.groupBy("block").applyInArrow(index, SENT).groupBy("bucket").applyInArrow(_merge(0), TOLD)
-    again = (texts.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(fingerprints, SENT)
-             .groupBy("bucket").applyInArrow(_merge(1), TOLD))
+    told = texts.groupBy("block").applyInArrow(index, B.SENT).groupBy("bucket").applyInArrow(B.merge(0), B.TOLD)
+    again = (texts.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(fingerprints, B.SENT)
+             .groupBy("bucket").applyInArrow(B.merge(1), B.TOLD))
     return texts.groupBy("block").cogroup(told.unionByName(again).groupBy("block")).applyInArrow(spans, SPANS)
 
 

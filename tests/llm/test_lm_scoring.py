@@ -40,7 +40,7 @@ def brute(rows, order, prior):
 
 @pytest.mark.parametrize("order", [1, 2, 3])
 def test_against_brute_force(docs, rows, order):
-    got = {r.doc_id: tuple(r)[1:] for r in score(docs, crc_remainder("doc_id", 7) == 2, order, 2.0).collect()}
+    got = {r.doc_id: tuple(r)[1:] for r in score(docs, crc_remainder("doc_id", 7) == 2, order, 2.0, block_bytes=4000).collect()}
     want = brute(rows, order, 2.0)
     assert got.keys() == want.keys()
     for d in want:

@@ -25,7 +25,7 @@ def brute(rows, k=35):
 
 
 def test_against_brute_force(docs, rows):
-    got = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in digest(duplicate_spans(docs)).collect()}
+    got = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in digest(duplicate_spans(docs, block_bytes=4000)).collect()}
     assert got == brute(rows)
 
 
@@ -35,7 +35,7 @@ def test_random_small_alphabet(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     for k, gram in ((6, 3), (9, 9), (5, 1)):
         got = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256)
-               for r in digest(duplicate_spans(df, window=k, gram=gram)).collect()}
+               for r in digest(duplicate_spans(df, window=k, gram=gram, block_bytes=500)).collect()}
         assert got == brute(rows, k)
 
 
@@ -45,7 +45,7 @@ def test_empty(no_docs):
 
 def test_spans_name_words(docs, rows):
     text = dict(rows)
-    for r in duplicate_spans(docs).collect():
+    for r in duplicate_spans(docs, block_bytes=9000).collect():
         words, cut = text[r.doc_id].encode().split(), set()
         for s, e in zip(r.starts, r.ends):
             assert e - s >= 35
