@@ -36,6 +36,8 @@ WINDOW = 16
 BASE = 0x9E3779B97F4A7C15
 BLANK = np.zeros(256, dtype=bool)
 BLANK[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
+LONG_RUN = 100_000
+LONG_BLANK = re.compile(r"\s{%d}" % LONG_RUN)
 ENCODED = "doc_id long, n_tokens long, ids binary, decoded string"
 ASKED = "bucket int, block int, k1 binary, k2 binary, many binary"
 GIVEN = "bucket int, k1 binary, sizes binary, ids binary"
@@ -67,6 +69,7 @@ class Codec:
         if [vocab[t] for t in joined] != sorted(vocab[t] for t in joined):
             raise ValueError("the file's merges are not in the order of their ids")
         self.coder = tiktoken.Encoding("file", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+        self.path, self.library = path, None
         self.bytes = [b""] * (max([*ranks.values(), *self.added.values()]) + 1)
         for b, i in [*ranks.items(), *self.added.items()]:
             self.bytes[i] = b
@@ -75,12 +78,18 @@ class Codec:
 
     def encode(self, text: bytes) -> np.ndarray:
         if self.cut is None or not any(x in text for x in self.added):
-            return self.coder.encode_to_numpy(text.decode(), disallowed_special=()).astype(np.uint32, copy=False)
-        parts = [np.array([self.added[x]], dtype=np.uint32) if x in self.added
-                 else self.coder.encode_to_numpy(x.decode(), disallowed_special=()).astype(np.uint32, copy=False)
+            return self._plain(text.decode())
+        parts = [np.array([self.added[x]], dtype=np.uint32) if x in self.added else self._plain(x.decode())
                  for x in self.cut.split(text) if x]
         return np.concatenate(parts) if parts else np.empty(0, dtype=np.uint32)
 
+    def _plain(self, text: str) -> np.ndarray:
+        if len(text) >= LONG_RUN and LONG_BLANK.search(text):      # the rank table's pattern search recurses on these
+            from tokenizers import Tokenizer
+            self.library = self.library or Tokenizer.from_file(self.path)
+            return np.array(self.library.encode(text, add_special_tokens=False).ids, dtype=np.uint32)
+        return self.coder.encode_to_numpy(text, disallowed_special=()).astype(np.uint32, copy=False)
+
     def decode(self, ids: np.ndarray) -> bytes:
         return b"".join(map(self.bytes.__getitem__, ids.tolist()))
 

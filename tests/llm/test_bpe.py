@@ -32,7 +32,8 @@ def test_codec_agrees_on_every_kind_of_character(library):
     chars = [chr(c) for c in range(sys.maxunicode + 1) if not 0xD800 <= c < 0xE000]
     texts = ["a".join(chars[i:i + 400]) for i in range(0, 70000, 400)]
     texts += ["".join(rnd.choice(" \n\t\r'sx1.é 　 \x85\x1c<|endoftext|>") for _ in range(60)) for _ in range(3000)]
-    texts += ["a<|endoftext|>  b", "  <|endoftext|><|endoftext|>", "x  <|endoftext|> y  ", "<|endoftext|", " " * 3000 + "x"]
+    texts += ["a<|endoftext|>  b", "  <|endoftext|><|endoftext|>", "x  <|endoftext|> y  ", "<|endoftext|", " " * 3000 + "x",
+              " " * 700_000 + "x", "!" * 700_000, "\u00a0" * 300_000, "a" * 700_000, "1" * 300_000]
     for t, ids in zip(texts, ids_of(library, texts)):
         assert tool.encode(t.encode()).tolist() == ids, repr(t[:80])
 
