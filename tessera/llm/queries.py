@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontamination, line_dedup, lm_scoring, ngram_jaccard, substring_dedup
+from . import bpe, decontamination, license_scan, line_dedup, lm_scoring, ngram_jaccard, substring_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -76,3 +76,8 @@ def op7(spark, sf_dir):
 def op1(spark, sf_dir):
     found = decontamination.leaks(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", F.explode("leaks").alias("leak")).select("doc_id", "leak.*")
+
+
+@query("op2_license_scan")
+def op2(spark, sf_dir):
+    return license_scan.digest(license_scan.scan(table(spark, sf_dir, "documents")))
