@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontamination, license_scan, line_dedup, lm_scoring, ngram_jaccard, substring_dedup
+from . import bpe, decontamination, license_scan, line_dedup, lm_scoring, ngram_jaccard, substring_dedup, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -81,3 +81,11 @@ def op1(spark, sf_dir):
 @query("op2_license_scan")
 def op2(spark, sf_dir):
     return license_scan.digest(license_scan.scan(table(spark, sf_dir, "documents")))
+
+
+@query("op10_toxicity")
+def op10(spark, sf_dir):
+    docs, held = table(spark, sf_dir, "documents").select("doc_id", "text"), lm_scoring.crc_remainder("doc_id", 5) == 0
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"), held)
+    return toxicity.score(docs, model, score_col="score").select(
+        "doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
