@@ -14,8 +14,9 @@ A document's set is its distinct ``width``-word shingles. Two documents link whe
 4. *Hubs first, then the rest.* Groups are first paired only with the least group of each shingle's list, and a group's
    members with its least one; the pairs are verified on the texts. Then, per shingle, groups are split by the
    components so far and all pairs of parts from different components are expanded to their members and
-   verified. Pairs within one component are never looked at: they cannot change a component. So a group of
-   thousands of near copies costs thousands of pairs, not millions, and no link that matters is lost.
+   verified; a pair is taken up where its last shared shingle is not the same on both sides, so once and not for every
+   shingle. Pairs within the largest component of a list are never formed: they cannot change a component. So a group
+   of thousands of near copies costs thousands of pairs, not millions, and no link that matters is lost.
 
 Edge cases: a document with fewer words than ``width`` has its whole sequence as its one shingle; one without words or
 text has an empty set, links with nothing and is its own component; repeated rows are each returned;
@@ -149,7 +150,8 @@ def jaccard_components(docs: DataFrame, width: int = 3, percent: int = 90, id_co
     shared = postings.groupBy("token").agg(F.count(F.lit(1)).alias("c"), F.min("gid").alias("hub")).filter("c > 1")
     by_group = Window.partitionBy("gid").orderBy("at")                 # at most one prefix a group
     lists = cut_lineage(postings.join(shared.select("token", "hub"), "token")
-                        .withColumn("among", F.row_number().over(by_group) - 1), "lists")
+                        .withColumn("among", F.row_number().over(by_group) - 1)
+                        .withColumn("prev", F.lag("token").over(by_group)), "lists")
 
     def room(x: str, y: str):
         """Sizes and places of a shared shingle leave room for the overlap that a link needs."""
@@ -169,18 +171,17 @@ def jaccard_components(docs: DataFrame, width: int = 3, percent: int = 90, id_co
 
     parts = cut_lineage(in_group.join(roots, F.col("cls") == F.col("node"), "left")
                         .select("gid", "cls", F.coalesce("root", "cls").alias("comp")), "parts")
+    # per shingle: parts of groups by component; the component with most parts is only paired with the others
     split = lists.join(parts.select("gid", "comp").distinct(), "gid")
-    open_lists = split.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi")
-    split = cut_lineage(split.join(open_lists.select("token"), "token"), "open-lists")
-    comps = split.select("token", "comp").distinct()
-    meet = (comps.alias("x").join(comps.alias("y"), (F.col("x.token") == F.col("y.token"))
-                                  & (F.col("x.comp") < F.col("y.comp")))
-            .select(F.col("x.token").alias("token"), F.col("x.comp").alias("c1"), F.col("y.comp").alias("c2")))
-    left = split.alias("x").join(meet.alias("m"), (F.col("x.token") == F.col("m.token")) & (F.col("x.comp") == F.col("m.c1")))
-    across = (left.join(split.alias("y"), (F.col("m.token") == F.col("y.token")) & (F.col("m.c2") == F.col("y.comp")))
-              .filter(room("x", "y"))
-              .select(F.col("x.gid").alias("g1"), F.col("m.c1").alias("c1"), F.col("y.gid").alias("g2"),
-                      F.col("m.c2").alias("c2")).distinct())
+    held = split.groupBy("token", "comp").agg(F.count(F.lit(1)).alias("c"))
+    most = held.groupBy("token").agg(F.max(F.struct("c", "comp")).alias("most"), F.count(F.lit(1)).alias("comps")).filter("comps > 1")
+    split = cut_lineage(split.join(most.select("token", (F.col("most.comp")).alias("most")), "token"), "open-lists")
+    few = split.filter("comp <> most")
+    # a pair whose last shared shingles are the same has been met there
+    fresh = (F.col("x.token") == F.col("y.token")) & ~(F.col("x.prev") == F.col("y.prev")).eqNullSafe(True) & room("x", "y")
+    pair = [F.col("x.gid").alias("g1"), F.col("x.comp").alias("c1"), F.col("y.gid").alias("g2"), F.col("y.comp").alias("c2")]
+    across = (few.alias("x").join(few.alias("y"), fresh & (F.col("x.comp") < F.col("y.comp"))).select(pair)
+              .unionByName(split.filter("comp = most").alias("x").join(few.alias("y"), fresh).select(pair)).distinct())
     within = (in_group.groupBy("gid").agg(F.count(F.lit(1)).alias("size")).filter("size > 1").join(parts, "gid")
               .select("gid", "comp").distinct())
     inside = (within.alias("x").join(within.alias("y"), (F.col("x.gid") == F.col("y.gid")) & (F.col("x.comp") < F.col("y.comp")))

@@ -8,9 +8,8 @@ one class, D the discount, N and T the tokens and distinct words of the class:
     P(w)     = max(c(w) - D, 0) / N + D * T / N * S(w),   S(w) = (|{v: v w}| + 1) / (|{v w}| + words + 1)
 
 An expression seen ``rare`` times or fewer in both classes together has no entry of its own, so it is scored by the shared counts. The log-likelihood
-difference of a text, normalised by its length, is the main feature; its sum over the square root of
-the length and the best mean of ``SPAN`` consecutive words help on long texts with a few such expressions. A logistic
-curve, fitted on training documents that were not counted, turns the features into a score.
+difference of a text, normalised by its length, is the first feature; the same for its best ``SPANS`` consecutive words and
+for its ``TOP`` single words tell a long text with a few such expressions from an ordinary one. A logistic fitted on training documents that were not counted, turns the features into a score.
 
 Labels are learned from a bounded sample: of each class, ``sample_rows`` training rows are drawn by a hash of the id
 (all, if there are fewer), and the classes are weighted back. So the label table that is broadcast, the model and what
@@ -38,7 +37,9 @@ from .license_scan import words_of
 
 BEGIN = 0x452821E638D01377
 BASE = 0x9E3779B97F4A7C15
-SPAN = 30
+SPANS = (5, 30)
+TOP = (1, 3, 8)
+FEATURES = 1 + len(SPANS) + len(TOP)
 
 
 def pair_keys(h: np.ndarray) -> np.ndarray:
@@ -73,10 +74,12 @@ class Model:
         h = B.hash_words(words_of(text))
         n = len(h)
         if not n:
-            return np.zeros(3)
-        total = np.concatenate(([0.0], np.cumsum(self.differences(h))))
-        span = min(SPAN, n)
-        return np.array([total[-1] / n, total[-1] / np.sqrt(n), (total[span:] - total[:-span]).max() / SPAN])
+            return np.zeros(FEATURES)
+        x = self.differences(h)
+        total = np.concatenate(([0.0], np.cumsum(x)))
+        spans = [(total[min(k, n):] - total[:-min(k, n)]).max() / k for k in SPANS]
+        most = np.sort(np.partition(x, n - min(n, TOP[-1]))[-min(n, TOP[-1]):])[::-1]
+        return np.array([total[-1] / n, *spans, *(np.maximum(most[:k], 0).sum() / k for k in TOP)])
 
     def score(self, text: bytes) -> float:
         x = float(self.features(text) @ self.weights[:-1] + self.weights[-1])
@@ -127,7 +130,7 @@ def fit(docs: DataFrame, labels: DataFrame, held_out: Column, sample_rows: int =
     none = np.empty(0, dtype=np.uint64)
     if not n0 or not n1:
         share = np.clip(n1 / max(1, n0 + n1), 1e-9, 1 - 1e-9)
-        return Model(none, np.empty(0), np.empty(0), none, np.empty(0), 0.0, np.array([0, 0, 0, np.log(share / (1 - share))]))
+        return Model(none, np.empty(0), np.empty(0), none, np.empty(0), 0.0, np.append(np.zeros(FEATURES), np.log(share / (1 - share))))
     draw = [min(1.0, sample_rows / n) for n in (n0, n1)]
     place = F.pmod(F.xxhash64(F.lit(seed), F.col("__id")), F.lit(1 << 30)) / F.lit(float(1 << 30))
     drawn = marked.filter(place < F.when(F.col("label") == 1, draw[1]).otherwise(draw[0]))       # about 2 * sample_rows at most
@@ -178,18 +181,17 @@ def fit(docs: DataFrame, labels: DataFrame, held_out: Column, sample_rows: int =
     keys = B.mix(v * B.U(BASE) + w)
     order = np.argsort(keys)
     model = Model(words, np.log(p[1]) - np.log(p[0]), np.log(leave[1]) - np.log(leave[0]), keys[order],
-                  (np.log(both[1]) - np.log(both[0]))[order], float(np.log(unseen[1]) - np.log(unseen[0])), np.zeros(4))
+                  (np.log(both[1]) - np.log(both[0]))[order], float(np.log(unseen[1]) - np.log(unseen[0])), np.zeros(FEATURES + 1))
 
     shown = docs.sparkSession.sparkContext.broadcast(model)
 
     def features(batches):
         for b in batches:
             x = [shown.value.features(t or b"") for t in b.column("text").cast(pa.large_binary()).to_pylist()]
-            x = np.array(x).reshape(-1, 3)
-            yield pa.record_batch([b.column("label"), *(pa.array(x[:, i]) for i in range(3))], names=["label", "f0", "f1", "f2"])
+            yield pa.record_batch([b.column("label"), pa.array(x, pa.list_(pa.float64()))], names=["label", "features"])
 
-    tune = rows.filter("tune").select("text", "label").mapInArrow(features, "label int, f0 double, f1 double, f2 double").toPandas()
-    x, y = tune[["f0", "f1", "f2"]].to_numpy(), tune.label.to_numpy()
+    tune = rows.filter("tune").select("text", "label").mapInArrow(features, "label int, features array<double>").toPandas()
+    x, y = np.array(tune.features.to_list()).reshape(-1, FEATURES), tune.label.to_numpy()
     model.weights = logistic(x, y, np.where(y == 1, 1 / draw[1], 1 / draw[0]))
     return model
 
