@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontamination, license_scan, line_dedup, lm_scoring, ngram_jaccard, substring_dedup, toxicity
+from . import (ann, bpe, decontamination, license_scan, line_dedup, lm_scoring, ngram_jaccard, substring_dedup,
+               toxicity)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -89,3 +90,8 @@ def op10(spark, sf_dir):
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"), held)
     return toxicity.score(docs, model, score_col="score").select(
         "doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+@query("op5_ann")
+def op5(spark, sf_dir):
+    return ann.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
