@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import (ann, bpe, decontamination, license_scan, line_dedup, lm_scoring, ngram_jaccard, substring_dedup,
-               toxicity)
+from . import (ann, bpe, decontamination, license_scan, line_dedup, lm_scoring, ngram_jaccard, pii,
+               substring_dedup, toxicity)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -95,3 +95,14 @@ def op10(spark, sf_dir):
 @query("op5_ann")
 def op5(spark, sf_dir):
     return ann.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+@query("op9_pii")
+def op9(spark, sf_dir):
+    """The key is a parameter of the operator; the query uses a fixed one so that its result can be repeated."""
+    out = pii.pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"), b"op9 query key")
+    kinds = F.transform("found", lambda x: x.kind)
+    return out.select("doc_id", F.size("found").cast("long").alias("n_found"),
+                      F.array_join(F.array_sort(F.array_distinct(kinds)), ",").alias("kinds"),
+                      F.array_join(F.transform("found", lambda x: x.pseudonym), "\n").alias("pseudonyms"),
+                      F.sha2(F.col("clean_text").cast("binary"), 256).alias("clean_sha256"), F.col("clean_text").alias("text"))
