@@ -8,6 +8,7 @@ from pyspark.sql import Window
 from ..functions import stem as stem_mod
 from ..functions import stopwords as sw
 from ..functions import text as tx
+from ..functions.entities import sql_decode_references
 from ..operators import common, features as fe
 from ..session import cut_lineage
 from ..sources.tables import table
@@ -139,13 +140,10 @@ def light_clean(spark, sf):
     return table(spark, sf, "documents").select("doc_id", tx.letters_lower("text").alias("cleaned"))
 
 
-_ENT = "".join(f"replace(" for _ in tx.HTML_ENTITIES)
 _SQL_HTML = "regexp_replace(html, '[\\n\\t]', ' ', 'g')"
 for _p in ("(?is)<script\\b.*?</script\\s*>", "(?is)<style\\b.*?</style\\s*>", "(?s)<!--.*?-->", "<[^>]*>"):
     _SQL_HTML = f"regexp_replace({_SQL_HTML}, {q.lit(_p)}, ' ', 'g')"
-for _e, _r in tx.HTML_ENTITIES:
-    _SQL_HTML = f"replace({_SQL_HTML}, {q.lit(_e)}, {q.lit(_r)})"
-_SQL_HTML = f"trim(regexp_replace({_SQL_HTML}, '[ \\r\\f\\x0B]+', ' ', 'g'))"
+_SQL_HTML = f"trim(regexp_replace({sql_decode_references(_SQL_HTML)}, '[ \\t\\n\\r\\f\\x0B\\xA0]+', ' ', 'g'))"
 
 
 @query("html_to_text", f"SELECT page_id, {_SQL_HTML} AS text FROM pages", ops=("STR-01",))

@@ -67,3 +67,41 @@ def test_stem_rules(spark):
 def test_spark_stopword_list_matches_jvm(spark):
     from pyspark.ml.feature import StopWordsRemover
     assert list(stopwords.spark_default("portuguese")) == StopWordsRemover.loadDefaultStopWords("portuguese")
+
+
+# -- golden values from the standard library, not from the package's own tables ------------------------------------------
+def test_fold_equals_nfkd_for_every_character(spark):
+    import sys
+    import unicodedata
+    chars = [chr(c) for c in range(0x20, sys.maxunicode + 1) if not 0xD800 <= c < 0xE000]
+    rows = [("x".join(chars[i:i + 700]),) for i in range(0, len(chars), 700)] + [("fim…recurso ﬁm № ế Ａ ½",)]
+    for r in spark.createDataFrame(rows, "t string").select("t", fold.fold_ascii("t").alias("f")).collect():
+        assert r.f == unicodedata.normalize("NFKD", r.t).encode("ascii", "ignore").decode()
+
+
+def test_character_references_equal_the_standard_library(spark):
+    import html
+    from html.entities import html5
+
+    from tessera.functions.entities import decode_references, sql_decode_references
+    texts = ["peti&ccedil;&atilde;o n&uacute;mero &#225; &#xE1; &amp;lt; a&b &notit; &eacute, &copy2 &nosuch; & &; &#; &#x; &&amp;&#38;lt;",
+             "&#0;&#13;&#128;&#150;&#x9f;&#55296;&#x110000;&#99999999999999;&#xFDD0;&#65534;&#11;&#x1F600; 100%&hellip;"]
+    texts += [f"<{a}&{n} &{n};x" for a, n in enumerate(sorted(html5)) for n in [n.rstrip(";")]]
+    texts = [t for t in texts if "&#;" not in t] + ["&# 5", "x&"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    for r in df.select("t", decode_references(df.t).alias("d")).collect():
+        assert r.d == html.unescape(r.t), r.t
+    import duckdb
+    con = duckdb.connect()
+    con.execute("CREATE TABLE x (t VARCHAR)")
+    con.executemany("INSERT INTO x VALUES (?)", [[t] for t in texts[:60]])
+    for t, d in con.execute(f"SELECT t, {sql_decode_references('t')} FROM x").fetchall():
+        assert d == html.unescape(t), t
+
+
+def test_clean_for_embeddings_golden(spark):
+    cases = {"Olá MUNDO…": "olá mundo", " {a}b{c}  x\n": "x", "\n a – b \n": "a - b", "12 d'água 'x' “y”": "00 d'água x y",
+             "<p>um</p> dois": "um dois", "fim.. aí": "fim . aí", "a;;, b": "a ; b", "e -mail": "e - mail",
+             "x (nota) fim.": "x ( nota ) fim .", "http://a.b/1 c@d.e": "URL EMAIL", "": "", "  ": ""}
+    for t, want in cases.items():
+        assert one(spark, tx.clean_for_embeddings, t) == want, t
