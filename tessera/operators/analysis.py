@@ -76,8 +76,12 @@ def boxplot_stats(df: DataFrame, group_col: str, value_col: str) -> DataFrame:
 
 
 def chi_square(observed_expected: DataFrame, obs_col: str = "observed", exp_col: str = "expected") -> DataFrame:
-    """Goodness of fit Σ (o − e)² / e with the given expected values, not rescaled (AGG-16); dof = k − 1."""
-    o, e = F.col(obs_col), F.col(exp_col)
+    """Goodness of fit Σ (o − e)² / e with the given expected values, not rescaled (AGG-16); dof = k − 1.
+
+    A class without observations counts as 0 observed. A class without an expected value has no finite term: it
+    counts in dof and adds nothing to the statistic.
+    """
+    o, e = F.coalesce(F.col(obs_col), F.lit(0)), F.nullif(F.col(exp_col), F.lit(0))
     return observed_expected.agg(F.sum((o - e) * (o - e) / e).alias("statistic"),
                                  (F.count(F.lit(1)) - 1).alias("dof"))
 

@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 from .common import class_rank
 
+COPY_BLOCK = 10_000
+
 
 def stratified_sample(df: DataFrame, class_cols, id_col: str, n: int, seed=42) -> DataFrame:
     """At most ``n`` rows per class (all rows of smaller classes), without replacement."""
@@ -22,8 +24,15 @@ def stratified_sample(df: DataFrame, class_cols, id_col: str, n: int, seed=42) -
 def _replicate(ranked: DataFrame, target) -> DataFrame:
     """Replicate each class to ``target`` rows: copies = ceil(target / size); the row order is
     (copy, hash, id), i.e. every row once before any row twice."""
-    copies = F.ceil(target / F.col("_class_n")).cast("int")
-    out = ranked.withColumn("copy", F.explode(F.sequence(F.lit(1), F.greatest(copies, F.lit(1)))))
+    copies = F.greatest(F.ceil(target / F.col("_class_n")).cast("long"), F.lit(1))
+    block = F.lit(COPY_BLOCK)
+    # copies are dealt out in blocks, spread over the cluster, and each block is then unfolded: no row holds an array of
+    # all its copies and a class of one row is not one task's work
+    out = ranked.withColumn("_copies", copies).withColumn(
+        "_block", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("_copies") - 1) / block))))
+    out = out.repartition(F.col("_block"), F.col("_h")).withColumn(
+        "copy", F.explode(F.sequence(F.col("_block") * block + 1, F.least((F.col("_block") + 1) * block, F.col("_copies")))))
+    out = out.drop("_copies", "_block")
     out = out.withColumn("_final", (F.col("copy") - 1) * F.col("_class_n") + F.col("_rank"))
     return out.filter(F.col("_final") <= target).drop("_rank", "_class_n", "_h", "_final")
 

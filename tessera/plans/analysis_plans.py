@@ -57,7 +57,7 @@ pred AS (SELECT doc_id, model, y_true, arg_max(class, prob) AS y_pred FROM pr GR
 
 
 SQL_PER_CLASS = """
-t AS (SELECT y_true AS label, count(*) AS support, count_if(y_true = y_pred) AS tp FROM pred GROUP BY y_true),
+t AS (SELECT y_true AS label, count(*) AS support, CAST(count_if(y_true = y_pred) AS BIGINT) AS tp FROM pred GROUP BY y_true),
 p AS (SELECT y_pred AS label, count(*) AS predicted FROM pred GROUP BY y_pred),
 pc0 AS (SELECT coalesce(t.label, p.label) AS label, coalesce(tp, 0) AS tp, coalesce(support, 0) AS support,
                coalesce(predicted, 0) AS predicted FROM t FULL OUTER JOIN p ON t.label = p.label),
@@ -113,8 +113,11 @@ def binary_confusions(spark, sf):
 
 @query("confusion_normalized", f"""
 WITH {sql_pred()}
-SELECT y_true, y_pred, n, round(n / sum(n) OVER (PARTITION BY y_true), 6) AS share
-FROM (SELECT y_true, y_pred, count(*) AS n FROM pred GROUP BY y_true, y_pred)
+, l AS (SELECT y_true AS label FROM pred UNION SELECT y_pred FROM pred),
+c AS (SELECT y_true, y_pred, count(*) AS n FROM pred GROUP BY y_true, y_pred)
+SELECT a.label AS y_true, b.label AS y_pred, coalesce(n, 0) AS n,
+       coalesce(round(coalesce(n, 0) / nullif(sum(coalesce(n, 0)) OVER (PARTITION BY a.label), 0), 6), 0.0) AS share
+FROM l a CROSS JOIN l b LEFT JOIN c ON c.y_true = a.label AND c.y_pred = b.label
 """, ops=("ML-17",))
 def confusion_normalized(spark, sf):
     c = me.confusion_normalized(predictions(spark, sf))
@@ -247,7 +250,7 @@ qs AS (SELECT lang, quantile_cont(wc, 0.25) AS q25, quantile_cont(wc, 0.5) AS q5
 SELECT lang, q25, q50, q75,
        min(CASE WHEN wc >= q25 - 1.5 * (q75 - q25) AND wc <= q75 + 1.5 * (q75 - q25) THEN wc END) AS whisker_lo,
        max(CASE WHEN wc >= q25 - 1.5 * (q75 - q25) AND wc <= q75 + 1.5 * (q75 - q25) THEN wc END) AS whisker_hi,
-       count_if(NOT (wc >= q25 - 1.5 * (q75 - q25) AND wc <= q75 + 1.5 * (q75 - q25))) AS n_outliers, count(*) AS n
+       CAST(count_if(NOT (wc >= q25 - 1.5 * (q75 - q25) AND wc <= q75 + 1.5 * (q75 - q25))) AS BIGINT) AS n_outliers, count(*) AS n
 FROM w JOIN qs USING (lang) GROUP BY lang, q25, q50, q75
 """, ops=("AGG-12", "STR-09"))
 def boxplot_words(spark, sf):
@@ -271,15 +274,16 @@ def mean_words_by_class(spark, sf):
 WITH d AS (SELECT lang, CAST(substr(source, 4) AS INTEGER) >= 10 AS late FROM documents),
 e AS (SELECT lang, count(*) AS expected FROM d WHERE NOT late GROUP BY lang),
 o AS (SELECT lang, count(*) AS observed FROM d WHERE late GROUP BY lang)
-SELECT round(sum((observed - expected) * (observed - expected) / expected), 6) AS statistic, count(*) - 1 AS dof
-FROM o JOIN e USING (lang)
+SELECT round(sum((coalesce(observed, 0) - expected) * (coalesce(observed, 0) - expected) / expected), 6) AS statistic,
+       count(*) - 1 AS dof
+FROM o FULL JOIN e USING (lang)
 """, ops=("AGG-16", "NUM-01"))
 def chi_square_drift(spark, sf):
     """Class distribution of the later half of the sources against the earlier half, not rescaled."""
-    d = table(spark, sf, "documents").select("lang", (F.substring("source", 4, 10).cast("int") >= 10).alias("late"))
+    d = table(spark, sf, "documents").select("lang", (F.substring("source", 4, 10).try_cast("int") >= 10).alias("late"))
     e = d.filter(~F.col("late")).groupBy("lang").agg(F.count(F.lit(1)).alias("expected"))
     o = d.filter(F.col("late")).groupBy("lang").agg(F.count(F.lit(1)).alias("observed"))
-    r = an.chi_square(o.join(e, "lang"))
+    r = an.chi_square(o.join(e, "lang", "full"))
     return r.select(F.round("statistic", 6).alias("statistic"), F.col("dof").cast("long"))
 
 
@@ -309,7 +313,7 @@ SELECT doc_id, source, lang FROM r WHERE rk <= 5
 """, ops=("WIN-02", "SRC-02"))
 def stratified_sample(spark, sf):
     d = table(spark, sf, "documents").select("doc_id", "source", "lang")
-    return sa.stratified_sample(d, ["source", "lang"], "doc_id", 5, SEED)
+    return sa.stratified_sample(d, ["source", "lang"], "doc_id", 5, SEED).select("doc_id", "source", "lang")
 
 
 @query("oversample_min", f"""

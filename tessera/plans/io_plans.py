@@ -88,7 +88,7 @@ def regional_corpus_roundtrip(spark, sf):
         F.col("text").alias("tx_conteudo_documento"), F.md5("text").alias("ds_identificador_unico"),
         F.right(F.md5("text"), F.lit(7)).alias("ds_identificador_unico_simplificado"), F.col("source").alias("ds_orgao_julgador"),
         F.col("lang").alias("ds_orgao_julgador_colegiado"), F.lit(None).cast("timestamp").alias("dt_juntada"),
-        (F.substring("source", 4, 10).cast("int") + 1).alias("region"))
+        (F.substring("source", 4, 10).try_cast("int") + 1).alias("region"))
     base = _out(spark, "raw")
     corpus.write_regional_corpus(raw, base)
     back = corpus.read_regional_corpus(spark, base, range(1, 25), pattern="file=" + corpus.RAW_PATTERN)

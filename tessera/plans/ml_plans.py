@@ -13,7 +13,6 @@ from .registry import query
 from .text_plans import MAX_DF, MIN_DF, doc_term_counts, processed_docs
 
 SEED = 42
-LSA_VOCAB_CAP = 3000
 
 
 def corpus(spark, sf, fit_on: str = "all"):
@@ -105,10 +104,9 @@ def rf_fit(spark, sf):
 
 
 def lsa(spark, sf, k: int = 20):
-    """LSA: TF-IDF over the most frequent LSA_VOCAB_CAP terms, truncated SVD, projection X·V."""
+    """LSA: TF-IDF over the whole vocabulary, truncated SVD to ``k`` components, projection X·V."""
     tf, docs = doc_term_counts(spark, sf)
-    model = common.dense_index(fe.fit_tfidf(tf, fe.count_documents(docs), MIN_DF, MAX_DF, LSA_VOCAB_CAP),
-                               "term", "term_index")
+    model = common.dense_index(fe.fit_tfidf(tf, fe.count_documents(docs), MIN_DF, MAX_DF), "term", "term_index")
     w = cut_lineage(fe.apply_tfidf(tf, model).join(model.select("term", "term_index"), "term"))
     v_long, s = ve.truncated_svd(w, "doc_id", "term_index", "weight", model.count(), k)
     return ve.project(w, v_long), v_long, s
@@ -133,14 +131,14 @@ def lsa_gram(spark, sf):
 @query("mlp_fit", None, ops=("ML-08", "FEA-11"))
 def mlp_fit(spark, sf):
     """Perceptron on min-max scaled LSA features (MLlib has no activation / L2 / early-stopping knobs)."""
-    x, _, _ = lsa(spark, sf)
+    x, _, s = lsa(spark, sf)
     x = fe.minmax_scale(x, "component")
     dense = ve.long_to_dense(x, "doc_id", "component", "value")
     docs = processed_docs(spark, sf).select("doc_id", "lang")
     labels = common.dense_index(docs.select("lang").distinct(), "lang", "label", prefix_len=1)
     d = sa.split_train_test(docs, "lang", "doc_id", 0.8, SEED).join(labels, "lang").join(dense, "doc_id")
     d = d.withColumn("label", F.col("label").cast("double"))
-    n_in = len(d.select("features").first()[0])
+    n_in = len(s)
     n_out = labels.count()
     mlp = MultilayerPerceptronClassifier(layers=[n_in, 32, n_out], maxIter=100, stepSize=0.03, seed=SEED,
                                          featuresCol="features", labelCol="label")

@@ -420,7 +420,8 @@ def region_partial_sum(spark, sf):
 
 
 @query("cond_counts", """
-SELECT source, count_if(text ILIKE '%http%') AS n_with_link, count_if(NOT (text ILIKE '%http%')) AS n_without_link
+SELECT source, CAST(count_if(text ILIKE '%http%') AS BIGINT) AS n_with_link,
+       CAST(count_if(NOT (text ILIKE '%http%')) AS BIGINT) AS n_without_link
 FROM documents GROUP BY source
 """, ops=("AGG-09",))
 def cond_counts(spark, sf):
@@ -507,7 +508,7 @@ def big_classes(spark, sf):
     """Keep classes with more than N rows: aggregate + semi-join (no window holding a class in one task)."""
     d = table(spark, sf, "documents").select("doc_id", "lang")
     big = d.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > 120)
-    return d.join(big, "lang", "left_semi")
+    return d.join(big, "lang", "left_semi").select("doc_id", "lang")
 
 
 # -- scans (SRC-04..06) ------------------------------------------------------------------------------------

@@ -49,11 +49,13 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
-    The cluster's value always wins. Only when the setting is absent (local runs and tests) is a fresh
-    scratch folder created and recorded in the session.
+    The cluster's value always wins. Only when the setting is absent in local mode (tests) is a fresh scratch
+    folder created and recorded in the session; elsewhere each executor would write to its own disk, so it is an error.
     """
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         path = tempfile.mkdtemp(prefix="tessera-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
         spark.conf.set("spark.checkpoint.dir", path)
     if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
@@ -61,6 +63,13 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return path
 
 
+def remove_at_exit(spark: SparkSession, path: str) -> None:
+    """Have the file system delete an intermediate table when the driver ends."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(conf).deleteOnExit(where)
+
+
 def cut_lineage(df: DataFrame, name: str = "t") -> DataFrame:
     """Materialise ``df`` as a parquet table in the shared checkpoint folder and read it back.
 
@@ -71,4 +80,5 @@ def cut_lineage(df: DataFrame, name: str = "t") -> DataFrame:
     root = ensure_checkpoint_dir(df.sparkSession)
     path = os.path.join(root, "tables", f"{name}-{uuid.uuid4().hex}")
     df.write.mode("overwrite").parquet(path)
+    remove_at_exit(df.sparkSession, path)
     return df.sparkSession.read.parquet(path)

@@ -8,37 +8,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-# Tables whose rows carry long texts: per-row regex work on them is worth spreading over all cores.
-TEXT_TABLES = {"documents": "doc_id", "pages": "page_id", "conversations": "conv_id", "benchmark": "item_id"}
-
 TABLES = ("region nation customer supplier part orders lineitem events documents embeddings "
           "pages benchmark labels conversations").split()
 
 
-def table(spark: SparkSession, sf_dir: str, name: str, balance: bool | None = None) -> DataFrame:
-    """Lazy parquet scan of a driver table.
-
-    ``balance``: when the scan yields fewer input splits than the cluster has cores (a single large row
-    group cannot be split), rows are spread round-robin over ``defaultParallelism`` partitions so that the
-    per-row work (regexes, tokenisation) is not serialised in one task. On large inputs the scan already
-    has many more splits than cores and nothing is added. Column pruning and filters still reach the scan.
-    """
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """Lazy parquet scan of a driver table; the plan is the same whatever the size or the number of splits."""
     if name not in TABLES:
         raise KeyError(f"unknown table {name!r}")
-    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
-    if balance is None:
-        balance = name in TEXT_TABLES
-    if balance:
-        par = spark.sparkContext.defaultParallelism
-        if df.rdd.getNumPartitions() < par:
-            # hash on the document key: later per-document aggregations (term counts, norms) then need
-            # no further exchange
-            key = TEXT_TABLES.get(name)
-            df = df.repartition(par, key) if key else df.repartition(par)
-    return df
-
-
-def register_views(spark: SparkSession, sf_dir: str, names=TABLES) -> None:
-    """Expose the tables to ``spark.sql`` under their own names."""
-    for n in names:
-        table(spark, sf_dir, n).createOrReplaceTempView(n)
+    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")

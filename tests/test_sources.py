@@ -76,3 +76,31 @@ def test_incremental_feed_idempotent(spark, tmpdir_path):
     assert sorted(r.doc_id for r in out.collect()) == [1, 2, 3]
     log = spark.read.parquet(paths["log"])
     assert log.count() == 3 and {r.cd_tipo_documento for r in log.collect()} <= set(inc.LOG_TYPES)
+
+
+def test_replay_of_a_half_written_batch(spark, tmpdir_path):
+    """A batch that crashed after its output was written leaves no second copy when it is tried again."""
+    paths = {k: os.path.join(tmpdir_path, k) for k in ("out", "status", "log", "checkpoint")}
+    df = spark.createDataFrame([(1, "some words here", "a"), (2, None, "a"), (3, "<p>more</p>", "b")], "doc_id long, text string, source string")
+    inc.process_batch(df, 0, paths, [])
+    first = spark.read.parquet(paths["out"]).count()
+    import shutil
+    shutil.rmtree(paths["status"])                              # as if the crash came before the status
+    inc.process_batch(df, 0, paths, [])
+    assert spark.read.parquet(paths["out"]).count() == first == 2
+    inc.process_batch(df, 1, paths, [])
+    assert spark.read.parquet(paths["out"]).filter("batch_id = 1").count() == 0
+    log = {(r.doc_id, r.batch_id): r for r in spark.read.parquet(paths["log"]).collect()}
+    assert log[2, 0].in_sucesso == "N" and log[2, 0].ds_erro and log[1, 0].in_sucesso == "S" and log[1, 0].duration_us > 0
+
+
+def test_no_machine_local_scratch_on_a_cluster():
+    from types import SimpleNamespace
+
+    import pytest
+
+    from tessera.session import ensure_checkpoint_dir
+    conf = SimpleNamespace(get=lambda *a: None)
+    spark = SimpleNamespace(conf=conf, sparkContext=SimpleNamespace(getConf=lambda: conf, master="spark://host:7077"))
+    with pytest.raises(RuntimeError):
+        ensure_checkpoint_dir(spark)
