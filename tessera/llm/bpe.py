@@ -114,6 +114,8 @@ class Chunked:
         at = np.flatnonzero((rolled >> B.U(40)) & B.U(mask) == 0) + WINDOW      # high bits: they depend on all bytes
         at = at[at < len(raw)]
         at = at[(raw[at] & 0xC0) != 0x80]                                      # between characters only
+        if len(at):                        # by the document's own bytes only, whatever stands next to it in the block
+            at = at[at - WINDOW >= self.doc_begin[np.searchsorted(self.doc_end, at - 1, side="right")]]
         edges = np.unique(np.concatenate(([0], at, self.doc_begin, self.doc_end)))
         edges = edges[edges <= len(raw)]
         self.begin, self.end = edges[:-1], edges[1:]

@@ -38,5 +38,14 @@ def test_codec_agrees_on_every_kind_of_character(library):
         assert tool.encode(t.encode()).tolist() == ids, repr(t[:80])
 
 
+def test_cuts_do_not_depend_on_the_neighbours():
+    import pyarrow as pa
+    from tessera.llm.bpe import Chunked
+    rnd = random.Random(8)
+    texts = ["".join(rnd.choice("ab é") for _ in range(rnd.randrange(200))) for _ in range(60)]
+    keys = [Chunked(pa.table({"doc": range(60), "text": x}), 7).keys.tolist() for x in (texts, texts[::-1])]
+    assert keys[0] == keys[1] and len(keys[0]) > 300
+
+
 def test_empty(no_docs):
     assert encode(no_docs).count() == 0
