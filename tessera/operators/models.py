@@ -35,12 +35,15 @@ def positive_probability(model_out: DataFrame, kind: str) -> F.Column:
     return vector_to_array("probability")[1]
 
 
-def bag_members(train: DataFrame, id_col: str, label_col: str, positive, bag: int, fraction: float, seed) -> DataFrame:
-    """One balanced bag for class ``positive``: a ``fraction`` of the rows without replacement (hash
-    threshold), then the majority side undersampled to the minority side's size (hash order)."""
+def bag_members(train: DataFrame, id_col: str, label_col: str, positive, bag: int, fraction: float, seed,
+                balanced: bool = True) -> DataFrame:
+    """One bag for class ``positive``: a ``fraction`` of the rows without replacement (hash threshold); if ``balanced``,
+    then the majority side undersampled to the minority side's size (hash order)."""
     h = hash_key(id_col, f"{seed}:{bag}")
     b = train.withColumn("_h", h).withColumn("_u", F.conv(F.substring("_h", 1, 8), 16, 10).cast("long") / 4294967296.0)
     b = b.filter(F.col("_u") < fraction).withColumn("label", (F.col(label_col) == F.lit(positive)).cast("double"))
+    if not balanced:
+        return b.drop("_h", "_u")
     sizes = b.groupBy("label").agg(F.count(F.lit(1)).alias("_sz"))
     m = sizes.agg(F.min("_sz").alias("_min"))      # one row
     from .common import class_rank
@@ -49,13 +52,13 @@ def bag_members(train: DataFrame, id_col: str, label_col: str, positive, bag: in
 
 
 def fit_ovr_bagging(train: DataFrame, classes, base_factory, id_col: str = "doc_id", label_col: str = "label_str",
-                    n_bags: int = 3, fraction: float = 0.6, seed=42, parallelism: int = 4):
+                    n_bags: int = 3, fraction: float = 0.6, seed=42, parallelism: int = 4, balanced: bool = True):
     """Fit one binary base model per (class, bag); returns [(class, bag, model)] (ML-02, ML-03, ML-11)."""
     jobs = [(c, b) for c in classes for b in range(n_bags)]
 
     def fit(job):
         c, b = job
-        return c, b, base_factory().fit(bag_members(train, id_col, label_col, c, b, fraction, seed))
+        return c, b, base_factory().fit(bag_members(train, id_col, label_col, c, b, fraction, seed, balanced))
     with ThreadPoolExecutor(max_workers=parallelism) as ex:
         return list(ex.map(fit, jobs))
 

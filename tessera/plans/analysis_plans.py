@@ -96,7 +96,7 @@ rep AS (
   UNION ALL SELECT 'accuracy', avg(CASE WHEN y_true = y_pred THEN 1.0 ELSE 0.0 END), avg(CASE WHEN y_true = y_pred THEN 1.0 ELSE 0.0 END),
                    avg(CASE WHEN y_true = y_pred THEN 1.0 ELSE 0.0 END), count(*) FROM pred)
 SELECT label, round(precision, 6) AS precision, round(recall, 6) AS recall, round(f1, 6) AS f1, CAST(support AS BIGINT) AS support FROM rep
-""", ops=("ML-15", "SNK-02"))
+""", ops=("ML-15",))
 def class_report(spark, sf):
     r = me.report(predictions(spark, sf))
     return r.select("label", *[F.round(c, 6).alias(c) for c in ("precision", "recall", "f1")],

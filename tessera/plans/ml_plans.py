@@ -3,7 +3,8 @@ classes), text features from the same normalisation as the text layer (ML-02..12
 
 from __future__ import annotations
 
-from pyspark.ml.classification import (MultilayerPerceptronClassifier, NaiveBayes, RandomForestClassifier)
+from pyspark.ml.classification import (LinearSVC, MultilayerPerceptronClassifier, NaiveBayes, OneVsRest,
+                                       RandomForestClassifier)
 from pyspark.ml.tuning import ParamGridBuilder
 from pyspark.sql import functions as F
 
@@ -70,7 +71,7 @@ def nb_search(spark, sf):
     return spark.createDataFrame(rows, "algorithm string, feature string, params string, cv_mean double, cv_std double")
 
 
-@query("svm_calibrated", None, ops=("ML-06", "ML-02", "ML-03", "ML-09", "ML-14"))
+@query("svm_calibrated", None, ops=("ML-06", "ML-02", "ML-03", "ML-14"))
 def svm_calibrated(spark, sf):
     """One-vs-rest balanced bagging of linear SVMs with sigmoid-calibrated margins."""
     train, test, _ = vector_table(spark, sf)
@@ -82,7 +83,7 @@ def svm_calibrated(spark, sf):
     return _summary_with(pred, algorithm="SVM", feature="TFIDF")
 
 
-@query("balanced_bagging", None, ops=("ML-02", "ML-03", "ML-11", "ML-12", "ML-04"))
+@query("balanced_bagging", None, ops=("ML-02", "ML-03", "ML-11"))
 def balanced_bagging(spark, sf):
     """Untuned training: one-vs-rest balanced bagging of multinomial NB (3 bags, 60 % of rows)."""
     train, test, _ = vector_table(spark, sf)
@@ -94,6 +95,27 @@ def balanced_bagging(spark, sf):
     return _summary_with(pred, algorithm="NB", feature="TFIDF")
 
 
+@query("plain_bagging", None, ops=("ML-04", "ML-12", "SNK-04", "JN-13"))
+def plain_bagging(spark, sf):
+    """Plain (unbalanced) bagging of one-vs-rest NB; the table of one probability per class and document is written, read
+    back and joined with the documents by id."""
+    train, test, _ = vector_table(spark, sf)
+    classes = sorted(r.label for r in train.select("label").distinct().collect())
+    factory = lambda: NaiveBayes(modelType="multinomial", smoothing=1.0, featuresCol="features", labelCol="label")
+    models = mo.fit_ovr_bagging(train, classes, factory, label_col="label", n_bags=3, fraction=0.6, seed=SEED, balanced=False)
+    probs = cut_lineage(mo.predict_ovr(models, test), "probabilities")
+    return probs.join(test.select("doc_id", "label"), "doc_id").select(
+        "doc_id", F.col("label").cast("int").alias("y_true"), F.col("class").cast("int").alias("class"), F.round("prob", 6).alias("prob"))
+
+
+@query("svm_baseline", None, ops=("ML-09", "ML-02"))
+def svm_baseline(spark, sf):
+    """Untuned linear baseline: one-vs-rest SVMs with default parameters (MLlib has no kernel SVM)."""
+    train, test, _ = vector_table(spark, sf)
+    model = OneVsRest(classifier=LinearSVC(maxIter=20), featuresCol="features", labelCol="label").fit(train)
+    return _summary_with(_native_predictions(model, test), algorithm="SVC", feature="TFIDF")
+
+
 @query("rf_fit", None, ops=("ML-07",))
 def rf_fit(spark, sf):
     """Random forest within MLlib's limits (depth <= 30; feature fraction 0.3; weight fraction per node)."""
@@ -112,12 +134,23 @@ def lsa(spark, sf, k: int = 20):
     return ve.project(w, v_long), v_long, s
 
 
-@query("lsa_topics", None, ops=("FEA-07", "FEA-10"))
+@query("lsa_topics", None, ops=("FEA-07",))
 def lsa_topics(spark, sf):
     x, _, _ = lsa(spark, sf)
     return x.select("doc_id", "component", F.round("value", 6).alias("value"))
 
 
+@query("lsi_topics", None, ops=("FEA-10", "FEA-09"))
+def lsi_topics(spark, sf, k: int = 20):
+    """LSI: truncated SVD of the log2 TF-IDF matrix over the whole vocabulary."""
+    tf, docs = doc_term_counts(spark, sf)
+    w = fe.tfidf_log2(docs, tf=tf)
+    index = cut_lineage(common.dense_index(w.select("term").distinct(), "term", "term_index"), "terms")
+    w = cut_lineage(w.join(index, "term"), "weights")
+    v, _ = ve.truncated_svd(w, "doc_id", "term_index", "weight", index.count(), k)
+    return ve.project(w, v).select("doc_id", "component", F.round("value", 6).alias("value"))
+
+
 @query("lsa_gram", None, ops=("FEA-07",))
 def lsa_gram(spark, sf):
     """Vᵀ V over the fitted components (identity up to rounding): a sign-free check of the SVD."""

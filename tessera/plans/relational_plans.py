@@ -533,7 +533,7 @@ PAGE = 500
 
 @query("ordered_page", f"""
 SELECT o_orderkey, CAST((row_number() OVER (ORDER BY o_orderkey) - 1) // {PAGE} AS BIGINT) AS page FROM orders
-""", ops=("SRC-05", "LIM-01"))
+""", ops=("SRC-05",))
 def ordered_page(spark, sf):
     """Every row's page under key order (pages of PAGE rows), via the bucketed dense index."""
     o = table(spark, sf, "orders").select("o_orderkey")
@@ -542,6 +542,30 @@ def ordered_page(spark, sf):
     return ix.select("o_orderkey", (F.col("_ix") / PAGE).cast("long").alias("page"))
 
 
+@query("first_orders", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_orderkey LIMIT 25", ops=("LIM-01", "SRT-01"))
+def first_orders(spark, sf):
+    """LIMIT n under key order (the limit is the feature; a per-partition top-25)."""
+    return table(spark, sf, "orders").select("o_orderkey", "o_totalprice").orderBy("o_orderkey").limit(25)
+
+
+@query("run_date_text", """
+SELECT o_orderkey, strftime(CAST(o_orderdate AS TIMESTAMP), '%d/%m/%Y %H:%M:%S') AS run_date FROM orders
+""", ops=("DT-01",))
+def run_date_text(spark, sf):
+    return table(spark, sf, "orders").select(
+        "o_orderkey", F.date_format(F.col("o_orderdate").cast("timestamp"), "dd/MM/yyyy HH:mm:ss").alias("run_date"))
+
+
+@query("drop_null_rows", """
+SELECT d.doc_id, d.lang, l.quality, l.toxic FROM documents d LEFT JOIN labels l USING (doc_id)
+WHERE d.doc_id IS NOT NULL AND d.lang IS NOT NULL AND l.quality IS NOT NULL AND l.toxic IS NOT NULL
+""", ops=("FLT-02", "JN-02"))
+def drop_null_rows(spark, sf):
+    """Null-row removal on any column, after an outer join that leaves nulls."""
+    d = table(spark, sf, "documents").select("doc_id", "lang")
+    return d.join(table(spark, sf, "labels"), "doc_id", "left").select("doc_id", "lang", "quality", "toxic").dropna("any")
+
+
 @query("region_scan_status", f"""
 WITH exp(source) AS (VALUES {", ".join(f"('{s}')" for s in EXPECTED_SOURCES)}),
 got AS (SELECT source, count(*) AS n_docs FROM documents GROUP BY source)

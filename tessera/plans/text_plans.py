@@ -306,7 +306,7 @@ dl AS (SELECT doc_id, sum(tf) AS dl FROM tf GROUP BY doc_id)
 SELECT doc_id, term,
        round(tf * {BM25_K1 + 1} / (tf + {BM25_K1} * ({1 - BM25_B} + {BM25_B} * dl / avgdl)) * idf, 6) AS weight
 FROM tf JOIN idf USING (term) JOIN dl USING (doc_id), st
-""", ops=("FEA-05", "FEA-06", "UDF-02"))
+""", ops=("FEA-05", "FEA-06"))
 def bm25(spark, sf):
     tf, docs = doc_term_counts(spark, sf)
     n = fe.count_documents(docs)
@@ -389,7 +389,7 @@ c AS (SELECT lang, word, count(*) AS freq FROM t
       WHERE length(word) >= 2 AND NOT list_contains({_sql_stop_list(WF_STOP)}, word) GROUP BY lang, word),
 r AS (SELECT lang, word, freq, row_number() OVER (PARTITION BY lang ORDER BY freq DESC, word) AS rank FROM c)
 SELECT lang, word, freq, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= {WORDS_PER_CLASS}
-""", ops=("AGG-17", "STR-07", "WIN-06"))
+""", ops=("AGG-17", "STR-07"))
 def word_freq_by_class(spark, sf):
     d = table(spark, sf, "documents").select(
         "lang", F.explode_outer(F.split(tx.token_string("text"), " ")).alias("word"))
