@@ -11,6 +11,8 @@ A line's key is the line without the white space ``[\\x20\\x09-\\x0D]`` at both
 least ``min_chars`` code points found in at least ``min_docs`` documents lose all their lines except in the
 document with the largest id that holds them. Keys are told apart by 128-bit hashes.
 
+The last join shuffles the texts by id at every size (a merge join, not a broadcast that a larger input would not get).
+
 Hot lines: the distinct (line, document) step shuffles by both, the count is combined before its shuffle, and
 the join back of a line that a third of the documents hold is an ordinary equi-join that adaptive execution splits.
 
@@ -131,7 +133,7 @@ def dedup_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, batches
     cut = cut_lineage(cut.select(F.col("doc").alias("__doc"), "cut"), "cut-lines")
 
     own = docs.columns
-    joined = docs.join(cut, F.col(id_col) == F.col("__doc"), "left").select(
+    joined = docs.join(cut.hint("merge"), F.col(id_col) == F.col("__doc"), "left").select(
         F.struct(*[F.col(f"`{c}`") for c in own]).alias("row"), F.col(text_col).alias("text"), "cut")
 
     def apply(found):
