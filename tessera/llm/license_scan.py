@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 from ..session import cut_lineage
 from . import blocks as B
 from .decontamination import PLAIN
+from .member_filter import maybe_among, member_filter
 
 BASE = 0x9E3779B97F4A7C15
 MOST_ROWS = 100_000
@@ -147,7 +148,7 @@ def scan(docs: DataFrame, phrases: dict[str, str] = PHRASES, notices: list[tuple
 
     # a row is named by its id and its text, so that rows with one id keep their own spans
     keyed = own.select("doc", F.xxhash64("text").alias("tkey"), "text")
-    checked = (keyed.alias("d").join(candidates.alias("c"), F.col("d.doc").eqNullSafe(F.col("c.doc")))
+    checked = (_near(keyed, candidates).alias("d").join(candidates.hint("merge").alias("c"), F.col("d.doc").eqNullSafe(F.col("c.doc")))
                .select("d.doc", "tkey", "text", "candidates").mapInArrow(verify, FOUND)
                .filter(F.size("spans") > 0).dropDuplicates(["doc", "tkey"]))
     counted = keyed.mapInArrow(count, SCANNED)
@@ -156,6 +157,11 @@ def scan(docs: DataFrame, phrases: dict[str, str] = PHRASES, notices: list[tuple
                     F.coalesce("spans", F.array().cast(checked.schema["spans"].dataType)).alias("spans")))
 
 
+def _near(rows: DataFrame, candidates: DataFrame) -> DataFrame:
+    """Rows whose id may have candidates, and those without an id."""
+    return maybe_among(rows, "doc", member_filter(candidates.select("doc"))).unionByName(rows.filter(F.col("doc").isNull()))
+
+
 def _joined(rows, most: int = 500_000):
     """Small batches of one generator put together, so that a batch holds some hundred thousand rows at most."""
     def run(batches):
