@@ -35,9 +35,10 @@ from pyspark.sql import Window
 from ..session import cut_lineage
 from . import blocks as B
 from .components import connected_components
+from .member_filter import maybe_among, maybe_repeated, member_filter, repeated_filter
 
 BASE = 0x9E3779B97F4A7C15
-SKETCH_BITS = 20
+SKETCH_BITS = 24
 SLICES = 64
 
 
@@ -56,38 +57,37 @@ def need(size: int, percent: int) -> int:
 
 
 def _sketch(docs: DataFrame, width: int) -> np.ndarray:
-    """Counters over every shingle of every document: a fixed 8 MB at the end, whatever the input."""
+    """A level of frequency, about 8 to a doubling, for each of the counters over every shingle of every document: a fixed
+    16 MB at the end, whatever the input."""
     size = 1 << SKETCH_BITS
 
     def count(batches):
-        total = np.zeros(size, dtype=np.int64)
+        total = np.zeros(size, dtype=np.uint32)
         for b in batches:
             for text in b.column(0).cast(pa.large_binary()).to_pylist():
                 h = shingles(text or b"", width) >> B.U(64 - SKETCH_BITS)
-                if len(h) > size // 8:
-                    total += np.bincount(h.astype(np.int64), minlength=size)
-                else:
-                    np.add.at(total, h.astype(np.int64), 1)
+                np.add.at(total, h.astype(np.int64), 1)
         parts = np.split(total, SLICES)
-        yield pa.record_batch([pa.array(range(SLICES), pa.int32()), pa.array([p.tobytes() for p in parts], pa.binary())],
-                              names=["slice", "counts"])
+        yield pa.record_batch([pa.array(range(SLICES), pa.int32()), pa.array([pa.compress(p.tobytes(), "zstd", asbytes=True) for p in parts],
+                                                                        pa.binary())], names=["slice", "counts"])
 
     def add(key, table):
         total = np.zeros(size // SLICES, dtype=np.int64)
         for x in table.column("counts").to_pylist():
-            total += np.frombuffer(x, dtype=np.int64)
+            total += np.frombuffer(pa.decompress(x, 4 * len(total), "zstd"), dtype=np.uint32)
+        total = np.minimum(np.log2(total + 1.0) * 8, 255).astype(np.uint8)
         return pa.table({"slice": pa.array([key[0].as_py()], pa.int32()), "counts": pa.array([total.tobytes()], pa.binary())})
 
     rows = (docs.mapInArrow(count, "slice int, counts binary")
             .groupBy("slice").applyInArrow(add, "slice int, counts binary").collect())
-    out = np.zeros(size, dtype=np.int64)
+    out = np.zeros(size, dtype=np.uint8)
     for r in rows:
-        out[r.slice * (size // SLICES):(r.slice + 1) * (size // SLICES)] = np.frombuffer(bytes(r.counts), dtype=np.int64)
+        out[r.slice * (size // SLICES):(r.slice + 1) * (size // SLICES)] = np.frombuffer(bytes(r.counts), dtype=np.uint8)
     return out
 
 
 def _prepared(docs: DataFrame, width: int, percent: int, sketch: np.ndarray, id_col: str, text_col: str) -> DataFrame:
-    order = docs.sparkSession.sparkContext.broadcast(np.minimum(sketch, 2**32 - 1).astype(np.uint32))   # 4 MB
+    order = docs.sparkSession.sparkContext.broadcast(sketch)            # 16 MB
 
     def rows(batches):
         for b in batches:
@@ -113,10 +113,11 @@ def verify(pairs: DataFrame, docs: DataFrame, width: int, percent: int, id_col:
     pairs = cut_lineage(pairs.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
                         .distinct(), "pairs")
     asked = pairs.select(F.explode(F.array("a", "b")).alias("doc")).distinct()
-    texts = cut_lineage(docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text")).join(asked, "doc", "left_semi")
+    texts = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
+    texts = cut_lineage(maybe_among(texts, "doc", member_filter(asked)).join(asked.hint("merge"), "doc", "left_semi")
                         .dropDuplicates(["doc"]), "pair-texts")
-    both = (pairs.join(texts.select(F.col("doc").alias("a"), F.col("text").alias("ta")), "a")
-            .join(texts.select(F.col("doc").alias("b"), F.col("text").alias("tb")), "b"))
+    both = (pairs.join(texts.select(F.col("doc").alias("b"), F.col("text").alias("tb")).hint("merge"), "b")
+            .join(texts.select(F.col("doc").alias("a"), F.col("text").alias("ta")).hint("merge"), "a"))
 
     def linked(batches):
         last = None, None
@@ -133,6 +134,21 @@ def verify(pairs: DataFrame, docs: DataFrame, width: int, percent: int, id_col:
     return both.select("a", "b", "ta", "tb").mapInArrow(linked, "a long, b long")
 
 
+def _postings(groups: DataFrame, shared) -> DataFrame:
+    """(gid, n, at, token) of every prefix shingle that may be in another prefix too."""
+    def explode(batches):
+        for b in batches:
+            prefix = b.column("prefix")
+            token, size = prefix.flatten().to_numpy(), prefix.value_lengths().to_numpy()
+            at = np.arange(len(token)) - np.repeat(np.cumsum(size) - size, size)
+            keep = maybe_repeated(token, shared.value)
+            row = np.repeat(np.arange(len(size)), size)[keep]
+            yield pa.record_batch([b.column("gid").take(pa.array(row)), b.column("n").take(pa.array(row)),
+                                   pa.array(at[keep].astype(np.int32)), pa.array(token[keep])], names=["gid", "n", "at", "token"])
+
+    return groups.select("gid", "n", "prefix").mapInArrow(explode, "gid long, n long, at int, token long")
+
+
 def jaccard_components(docs: DataFrame, width: int = 3, percent: int = 90, id_col: str = "doc_id",
                        text_col: str = "text") -> DataFrame:
     """One row per document: ``doc_id``, ``n_shingles``, ``class_id`` (least document with the same set) and
@@ -143,10 +159,10 @@ def jaccard_components(docs: DataFrame, width: int = 3, percent: int = 90, id_co
         F.min("doc").alias("cls"), F.first("n").alias("n"), F.first("prefix").alias("prefix")), "classes")
     members = classes.select("cls", "n", F.xxhash64("prefix").alias("p1"),
                              F.xxhash64("prefix", F.lit(1)).alias("p2"), "prefix")
-    groups = members.groupBy("n", "p1", "p2").agg(F.min("cls").alias("gid"), F.first("prefix").alias("prefix"))
+    groups = cut_lineage(members.groupBy("n", "p1", "p2").agg(F.min("cls").alias("gid"), F.first("prefix").alias("prefix")), "groups")
     in_group = cut_lineage(members.drop("prefix").join(groups.drop("prefix"), ["n", "p1", "p2"]).select("gid", "cls"), "members")
 
-    postings = groups.select("gid", "n", F.posexplode("prefix").alias("at", "token"))
+    postings = _postings(groups, repeated_filter(groups.select("prefix")))
     shared = postings.groupBy("token").agg(F.count(F.lit(1)).alias("c"), F.min("gid").alias("hub")).filter("c > 1")
     by_group = Window.partitionBy("gid").orderBy("at")                 # at most one prefix a group
     lists = cut_lineage(postings.join(shared.select("token", "hub"), "token")
@@ -167,7 +183,11 @@ def jaccard_components(docs: DataFrame, width: int = 3, percent: int = 90, id_co
     pairs = (star.join(in_group, "gid").select("a", F.col("cls").alias("b"))
              .unionByName(in_group.select(F.col("gid").alias("a"), F.col("cls").alias("b"))))
     links = cut_lineage(verify(pairs, own, width, percent, "doc_id", "text"), "links")
-    roots = connected_components(links)
+    # groundwork for the second round: documents known to be connected, by the hub of their hub (any such
+    # relation will do, a coarser one only leaves more pairs to look at)
+    up = links.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("root"))
+    roots = up.join(up.select(F.col("node").alias("root"), F.col("root").alias("above")), "root", "left").select(
+        "node", F.coalesce("above", "root").alias("root"))
 
     parts = cut_lineage(in_group.join(roots, F.col("cls") == F.col("node"), "left")
                         .select("gid", "cls", F.coalesce("root", "cls").alias("comp")), "parts")
