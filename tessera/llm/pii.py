@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import datetime
 import hashlib
+import math
 import re
 from collections.abc import Callable
 
@@ -38,12 +39,10 @@ class Permutation:
 
     def __init__(self, key: bytes, kind: str, size: int):
         self.key, self.tweak, self.size = key, f"{kind}:{size}".encode(), size
-        self.a = max(1, int(size ** 0.5))
-        while self.a * self.a < size:
-            self.a += 1
+        self.a = math.isqrt(max(0, size - 1)) + 1              # least a with a * a >= size
 
     def _round(self, i: int, x: int) -> int:
-        h = hashlib.blake2b(b"%s|%d|%d" % (self.tweak, i, x), key=self.key, digest_size=16).digest()
+        h = hashlib.blake2b(b"%s|%d|%d" % (self.tweak, i, x), key=self.key, digest_size=64).digest()
         return int.from_bytes(h, "big") % self.a
 
     def _once(self, x: int) -> int:
