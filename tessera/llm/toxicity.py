@@ -2,14 +2,16 @@
 
 Two interpolated Kneser-Ney word bigram models, one of toxic and one of ordinary documents, share their lowest order: the
 continuation counts (before how many words of both classes together a word was seen). With c the counts of
-one class, D the discount, N and T the tokens and distinct words of the class:
+one class, D the discount and N the tokens of the class:
 
-    P(w | v) = max(c(v w) - D, 0) / c(v .) + D * |{w: c(v w) > 0}| / c(v .) * P(w)
-    P(w)     = max(c(w) - D, 0) / N + D * T / N * S(w),   S(w) = (|{v: v w}| + 1) / (|{v w}| + words + 1)
+    P(w | v) = max(c(v w) - D, 0) / c(v .) + rest(v) * P(w)
+    P(w)     = max(c(w) - D, 0) / N + rest * S(w),   S(w) = (|{v: v w}| + 1) / (|{v w}| + words + 1)
 
-An expression seen ``rare`` times or fewer in both classes together has no entry of its own, so it is scored by the shared counts. The log-likelihood
-difference of a text, normalised by its length, is the first feature; the same for its best ``SPANS`` consecutive words and
-for its ``TOP`` single words tell a long text with a few such expressions from an ordinary one. A logistic fitted on training documents that were not counted, turns the features into a score.
+where rest is what the discounts leave, so that each sums to one. Words seen ``rare`` times and word pairs seen ``rare_pairs`` times
+or fewer in both classes together have no counts of their own: rare expressions are left to the shared counts, which say
+nothing for either class. The log-likelihood difference of a text, normalised by its length, is the first feature; the same for its
+best ``SPANS`` consecutive words and its ``TOP`` single words tells a long text with a few such expressions from an
+ordinary one. A logistic curve, fitted on training documents that were not counted, turns the features into a score.
 
 Labels are learned from a bounded sample: of each class, ``sample_rows`` training rows are drawn by a hash of the id
 (all, if there are fewer), and the classes are weighted back. So the label table that is broadcast, the model and what
@@ -120,8 +122,14 @@ def _pairs(batches):
                                pa.array(np.bincount(group) - ones), pa.array(ones)], names=["v", "w", "c0", "c1"])
 
 
-def fit(docs: DataFrame, labels: DataFrame, held_out: Column, sample_rows: int = 8000, discount: float = 0.75,
-        rare: int = 1, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", seed: int = 17) -> Model:
+def _columns(df: DataFrame) -> dict[str, np.ndarray]:
+    """A bounded table on the driver: hashes as they are, counts in 32 bits."""
+    t = df.select(*[F.col(c) if c in "hvw" else F.col(c).cast("int") for c in df.columns]).toArrow()
+    return {c: t.column(c).to_numpy() for c in t.column_names}
+
+
+def fit(docs: DataFrame, labels: DataFrame, held_out: Column, sample_rows: int = 12_000, discount: float = 0.75,
+        rare: int = 5, rare_pairs: int = 30, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", seed: int = 17) -> Model:
     """Learn from labelled rows where ``held_out`` (a condition on the id column) is not true."""
     marked = labels.filter(F.col(label_col).isin(0, 1) & ~F.coalesce(held_out, F.lit(False)) & F.col(id_col).isNotNull()).select(
         F.col(id_col).alias("__id"), F.col(label_col).cast("int").alias("label"))
@@ -141,43 +149,29 @@ def fit(docs: DataFrame, labels: DataFrame, held_out: Column, sample_rows: int =
                         .groupBy("v", "w").agg(F.sum("c0").alias("c0"), F.sum("c1").alias("c1")), "pairs")
     total = pairs.agg(F.count(F.lit(1)).alias("n"), F.sum("c0").alias("n0"), F.sum("c1").alias("n1")).first()
     seen = pairs.groupBy(F.col("w").alias("h")).agg(F.sum("c0").alias("c0"), F.sum("c1").alias("c1"), F.count(F.lit(1)).alias("kinds"))
-    after = pairs.groupBy(F.col("v").alias("h")).agg(
-        F.sum("c0").alias("t0"), F.sum("c1").alias("t1"), F.sum((F.col("c0") > 0).cast("long")).alias("d0"),
-        F.sum((F.col("c1") > 0).cast("long")).alias("d1"))
-    types = seen.agg(F.count(F.lit(1)).alias("all"), F.sum((F.col("c0") > 0).cast("long")).alias("t0"),
-                     F.sum((F.col("c1") > 0).cast("long")).alias("t1")).first()
-    word = (seen.join(after, "h", "full").na.fill(0)
-            .filter((F.col("c0") + F.col("c1") > rare) | (F.col("t0") + F.col("t1") > rare)).toPandas())
-    pair = pairs.filter(F.col("c0") + F.col("c1") > rare).toPandas()
-
-    words = word.h.to_numpy().view(np.uint64)
+    after = pairs.groupBy(F.col("v").alias("h")).agg(F.sum("c0").alias("t0"), F.sum("c1").alias("t1"))
+    kinds = seen.count()
+    least = min(rare, rare_pairs)
+    word = _columns(seen.join(after, "h", "full").na.fill(0)
+                    .filter((F.col("c0") + F.col("c1") > least) | (F.col("t0") + F.col("t1") > least)))
+    pair = _columns(pairs.filter(F.col("c0") + F.col("c1") > rare_pairs))
+
+    words = word["h"].view(np.uint64)
     order = np.argsort(words)
-    words, word = words[order], word.iloc[order]
-    tokens, kinds = (total.n0 or 0, total.n1 or 0), (types.t0 or 0, types.t1 or 0)
-    shared = (word.kinds.to_numpy() + 1.0) / ((total.n or 0) + types.all + 1.0)
-    one = 1.0 / ((total.n or 0) + types.all + 1.0)
-    often = (word.c0 + word.c1).to_numpy() > rare
-    p, unseen, leave = [], [], []
+    words, word = words[order], {c: x[order] for c, x in word.items()}
+    tokens, places = (total.n0 or 0, total.n1 or 0), (total.n or 0) + kinds + 1.0
+    shared, one = (word["kinds"] + 1.0) / places, 1.0 / places
+    often = word["c0"] + word["c1"] > rare
+    v, w = pair["v"].view(np.uint64), pair["w"].view(np.uint64)
+    at_v, at_w = np.searchsorted(words, v), np.searchsorted(words, w)     # both words of such a pair are in the table
+    p, unseen, leave, both = [], [], [], []
     for k in (0, 1):
-        back = discount * kinds[k] / max(1, tokens[k])
-        c = np.where(often, word[f"c{k}"].to_numpy(), 0)
-        p.append(np.maximum(c - discount, 0) / max(1, tokens[k]) + max(back, 1e-12) * shared)
-        unseen.append(max(back, 1e-12) * one)
-        t, d = word[f"t{k}"].to_numpy(), word[f"d{k}"].to_numpy()
-        known = t > rare
-        leave.append(np.where(known, discount * d / np.maximum(t, 1), 1.0))
-    v, w = pair.v.to_numpy().view(np.uint64), pair.w.to_numpy().view(np.uint64)
-    both = []
-    for k in (0, 1):
-        def of(values, x, other):
-            if not len(words):
-                return np.full(len(x), other)
-            i = np.minimum(np.searchsorted(words, x), len(words) - 1)
-            return np.where(words[i] == x, values[i], other)
-        context = of(word[f"t{k}"].to_numpy().astype(float), v, 0.0)
-        low = of(p[k], w, unseen[k])
-        own = np.maximum(pair[f"c{k}"].to_numpy() - discount, 0) / np.maximum(context, 1)
-        both.append(np.where(context > rare, own + of(leave[k], v, 1.0) * low, low))
+        own = np.where(often, np.maximum(word[f"c{k}"] - discount, 0) / max(1, tokens[k]), 0.0)
+        back = max(1.0 - own.sum(), 1e-9)                                   # what discounts and rare words leave
+        p.append(own + back * shared), unseen.append(back * one)
+        arc = np.maximum(pair[f"c{k}"] - discount, 0) / np.maximum(word[f"t{k}"][at_v], 1)
+        rest = np.maximum(1.0 - np.bincount(at_v, arc, minlength=len(words)), 1e-9)
+        leave.append(rest), both.append(arc + rest[at_v] * p[k][at_w])
     keys = B.mix(v * B.U(BASE) + w)
     order = np.argsort(keys)
     model = Model(words, np.log(p[1]) - np.log(p[0]), np.log(leave[1]) - np.log(leave[0]), keys[order],
@@ -190,8 +184,8 @@ def fit(docs: DataFrame, labels: DataFrame, held_out: Column, sample_rows: int =
             x = [shown.value.features(t or b"") for t in b.column("text").cast(pa.large_binary()).to_pylist()]
             yield pa.record_batch([b.column("label"), pa.array(x, pa.list_(pa.float64()))], names=["label", "features"])
 
-    tune = rows.filter("tune").select("text", "label").mapInArrow(features, "label int, features array<double>").toPandas()
-    x, y = np.array(tune.features.to_list()).reshape(-1, FEATURES), tune.label.to_numpy()
+    tune = rows.filter("tune").select("text", "label").mapInArrow(features, "label int, features array<double>").toArrow()
+    x, y = np.array(tune.column("features").to_pylist()).reshape(-1, FEATURES), tune.column("label").to_numpy()
     model.weights = logistic(x, y, np.where(y == 1, 1 / draw[1], 1 / draw[0]))
     return model
 
