@@ -25,6 +25,8 @@ from pyspark.sql import functions as F
 
 Q = 8
 CHUNK = 1 << 18
+COUNTERS = 21
+LEAD = 1 << 20                 # keeps band numbers above zero; more than any window
 LEAK = "struct<item_id:bigint,n_windows:int,of_windows:int,edits:int,first_byte:int,last_byte:int>"
 PLAIN = bytes(c + 32 if 0x41 <= c <= 0x5A else c if c >= 0x80 or chr(c).isalnum() else 0x20 for c in range(256))
 
@@ -135,27 +137,30 @@ def find(index: Index, texts: list[bytes]) -> list[list[tuple]]:
     raw = np.frombuffer(b"\x00".join(clean) + b"\x00", dtype=np.uint8)
     place, code = index.hits(raw)
     n = index.first[code + 1] - index.first[code]
-    each = np.repeat(np.arange(len(place)), n)
-    slot = np.arange(len(each)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(index.first[code], n)
-    owner, diagonal = index.owner[slot].astype(np.int64), place[each] - index.at[slot]
-    doc = np.searchsorted(begin, place[each], side="right") - 1
-    k = index.bound[owner, 0]
-    low = diagonal // (k + 1)
-    key = np.concatenate((low, low - 1))
-    owner, doc = np.tile(owner, 2), np.tile(doc, 2)
-    order = np.lexsort((key, owner, doc))
-    key, owner, doc = key[order], owner[order], doc[order]
-    new = np.ones(len(key), dtype=bool)
-    new[1:] = (key[1:] != key[:-1]) | (owner[1:] != owner[:-1]) | (doc[1:] != doc[:-1])
-    first = np.flatnonzero(new)
-    count = np.diff(np.append(first, len(key)))
-    first = first[count >= index.bound[owner[first], 1]]
+    slot = np.arange(n.sum()) + np.repeat(index.first[code] - np.cumsum(n) + n, n)
+    owner = index.owner[slot]
+    # a band is named by its window and number; places in the joined texts tell documents apart as well
+    low = (np.repeat(place, n) - index.at[slot] + LEAD) // (index.bound[:, 0] + 1)[owner]
+    key = (owner.astype(np.int64) << 40) | low
+    # counts of hashed bands rule out nearly all bands, none that reaches its bound
+    bucket = ((key.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - COUNTERS)).astype(np.int64)
+    before = (((key - 1).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - COUNTERS)).astype(np.int64)
+    count = np.bincount(bucket, minlength=1 << COUNTERS) + np.bincount(before, minlength=1 << COUNTERS)
+    bound = index.bound[:, 1][owner]
+    key = np.concatenate((key[count[bucket] >= bound], key[count[before] >= bound] - 1))
+    key, count = np.unique(key, return_counts=True)
+    owner = key >> 40
+    enough = count >= index.bound[owner, 1]
+    key, owner = key[enough], owner[enough]
     cases = []
-    for f in first.tolist():
-        d, o, k = int(doc[f]), int(owner[f]), int(index.bound[owner[f], 0])
-        lo = int(key[f]) * (k + 1)
+    for o, band in zip(owner.tolist(), (key & ((1 << 40) - 1)).tolist()):
+        k = int(index.bound[o, 0])
+        lo = band * (k + 1) - LEAD
         size = len(index.text[o])
-        cases.append((d, o, lo - k, lo + 2 * (k + 1) + size + k))      # all diagonals that a match here can take
+        s, e = lo - k, lo + 2 * (k + 1) + size + k             # all diagonals that a match here can take
+        for d in range(np.searchsorted(begin, max(s, 0), side="right") - 1, np.searchsorted(begin, e)):
+            if d < len(clean):
+                cases.append((d, o, s, e))
     for at in range(0, len(cases), 512):
         part = cases[at:at + 512]
         edits = align([index.text[o] for _, o, _, _ in part], [_region(clean[d], s - int(begin[d]), e - int(begin[d])) for d, _, s, e in part])
@@ -194,9 +199,9 @@ def _search(df: DataFrame, own: list[str], parts: list[str], text_col: str, name
         for b in batches:
             texts = [t or b"" for t in b.column(1).cast(pa.large_binary()).to_pylist()]
             found, at = [], 0
-            while at < len(texts):                  # a few MB of text at a time, or one long text
+            while at < len(texts):                  # 2 MB of text at a time, or one long text
                 end, size = at, 0
-                while end < len(texts) and (end == at or size + len(texts[end]) < 4_000_000):
+                while end < len(texts) and (end == at or size + len(texts[end]) < 2_000_000):
                     size, end = size + len(texts[end]), end + 1
                 found += find(index.value, texts[at:end])
                 at = end
