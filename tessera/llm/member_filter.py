@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from .blocks import U, mix
 
 BITS = 26
+WIDE_BITS = 27
 SLICES = 64
 HASHES = 4
 
@@ -68,37 +69,44 @@ def maybe_among(df: DataFrame, id_col: str, shared) -> DataFrame:
 
 
 def repeated_filter(values: DataFrame):
-    """Broadcast filter over the first column (arrays of longs): passes every value that occurs twice or more in the rows, and a
-    few others. Two bits a place: met once, met again."""
-    part = (1 << BITS) // SLICES
+    """Broadcast filter (16 MB) over the first column (arrays of longs): passes every value that occurs twice or more in the
+    rows, and a few others. Two bits a place while it is filled: met once, met again."""
+    size = 1 << WIDE_BITS
+    part = size // 8 // SLICES
 
     def fill(batches):
-        once, again = np.zeros(1 << BITS, dtype=bool), np.zeros(1 << BITS, dtype=bool)
+        once, again = np.zeros(size // 8, dtype=np.uint8), np.zeros(size // 8, dtype=np.uint8)
         for b in batches:
-            p, n = np.unique(_places(b.column(0).flatten().to_numpy())[0], return_counts=True)
-            again[p] |= once[p] | (n > 1)
-            once[p] = True
-        cut = lambda x, i: np.packbits(x[i * part:(i + 1) * part]).tobytes()
-        used = [i for i in range(SLICES) if once[i * part:(i + 1) * part].any()]
-        yield pa.record_batch([pa.array(used, pa.int32()), pa.array([cut(once, i) for i in used], pa.binary()),
-                               pa.array([cut(again, i) for i in used], pa.binary())], names=["slice", "once", "again"])
+            p, n = np.unique(_wide(b.column(0).flatten().to_numpy()), return_counts=True)
+            byte, bit = p >> 3, (128 >> (p & 7)).astype(np.uint8)
+            met = (once[byte] & bit > 0) | (n > 1)
+            np.bitwise_or.at(again, byte[met], bit[met])
+            np.bitwise_or.at(once, byte, bit)
+        pack = lambda x, i: pa.compress(x[i * part:(i + 1) * part].tobytes(), "zstd", asbytes=True)
+        yield pa.record_batch([pa.array(range(SLICES), pa.int32()), pa.array([pack(once, i) for i in range(SLICES)], pa.binary()),
+                               pa.array([pack(again, i) for i in range(SLICES)], pa.binary())], names=["slice", "once", "again"])
 
     def join(key, table):
-        once, again = np.zeros(part // 8, dtype=np.uint8), np.zeros(part // 8, dtype=np.uint8)
+        once, again = np.zeros(part, dtype=np.uint8), np.zeros(part, dtype=np.uint8)
+        read = lambda x: np.frombuffer(pa.decompress(x, part, "zstd"), dtype=np.uint8)
         for x, y in zip(table.column("once").to_pylist(), table.column("again").to_pylist()):
-            x = np.frombuffer(x, dtype=np.uint8)
-            again |= np.frombuffer(y, dtype=np.uint8) | (once & x)
+            x = read(x)
+            again |= read(y) | (once & x)
             once |= x
         return pa.table({"slice": pa.array([key[0].as_py()], pa.int32()), "bits": pa.array([again.tobytes()], pa.binary())})
 
     rows = (values.mapInArrow(fill, "slice int, once binary, again binary").groupBy("slice")
             .applyInArrow(join, "slice int, bits binary").collect())
-    bits = np.zeros((SLICES, part // 8), dtype=np.uint8)
+    bits = np.zeros((SLICES, part), dtype=np.uint8)
     for r in rows:
         bits[r.slice] = np.frombuffer(bytes(r.bits), dtype=np.uint8)
     return values.sparkSession.sparkContext.broadcast(bits.ravel())
 
 
+def _wide(values: np.ndarray) -> np.ndarray:
+    return (mix(values.astype(np.int64).view(np.uint64) + U(0xD6E8FEB86659FD93)) >> U(64 - WIDE_BITS)).astype(np.int64)
+
+
 def maybe_repeated(values: np.ndarray, bits: np.ndarray) -> np.ndarray:
-    p = _places(values)[0]
-    return (bits[p >> 3] >> (7 - (p & 7)).astype(np.uint8)) & 1 == 1
+    p = _wide(values)
+    return bits[p >> 3] & (128 >> (p & 7)).astype(np.uint8) > 0
