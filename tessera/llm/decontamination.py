@@ -1,18 +1,22 @@
 """Benchmark decontamination with the q-gram lemma.
 
 Texts are normalised: A-Z lower-cased, runs of ASCII characters other than letters and digits become one space.
-Every benchmark item is cut into overlapping windows of ``window`` bytes. A place in a document that is within k edits of
+A document leaks an item if some ``window`` bytes of it, at whatever place of the item (``step`` = 1), or all of an item that
+is shorter, occur in the document with at most k edits. With 80 bytes and k = 8 the shortest verbatim passage that counts has
+72 bytes, as the 8 that lack are edits; with e edits inside it has 72 + e. A place in a document that is within k edits of
 a window of w bytes shares at least ``w - q + 1 - k * q`` of its q-grams with it, on diagonals that differ by
 at most k. So the document's q-grams (q = 8: one 64-bit word each, compared exactly) are looked up among those of
-the windows, hits are counted in overlapping diagonal bands, 2(k + 1) wide and k + 1 apart, so that one band
-holds all hits of a match; bands that reach the bound are kept and verified by banded alignment, with
-free ends in the document. A document leaks an item if at least one of its windows is verified.
+the items, and hits are counted in overlapping diagonal bands, 2(k + 1) wide and k + 1 apart, so that one band
+holds all hits of a match. Windows that begin within ``SPAN`` bytes are counted together over the stretch they cover; in
+bands that reach the bound each of them is counted alone, and those that reach it are verified by banded alignment, with
+free ends in the document, neighbours first by the bytes they share, which can need no more edits than the whole.
+
+An item shorter than ``min_bytes`` when normalised is found where its normalised text stands, unchanged, as whole words.
 
 The documents are never shuffled: a block of the benchmark's windows, at most ``block_bytes`` of text by a size check, is
 broadcast; a larger benchmark is taken block by block over the documents, a stated query set against all rows.
 
-Edge cases: a null or empty text leaks nothing; an item shorter than ``min_bytes`` when normalised, null or empty has no
-window and is never found; repeated items are each reported; repeated documents each get their leaks; an empty table on
+Edge cases: a null or empty text leaks nothing; an item that is null, or empty when normalised, is never found; repeated items are each reported; repeated documents each get their leaks; an empty table on
 either side gives no leaks; other columns of the documents are passed through.
 """
 
@@ -26,6 +30,8 @@ from pyspark.sql import functions as F
 Q = 8
 CHUNK = 1 << 18
 COUNTERS = 21
+SPAN = 80                      # starts of windows that are counted together
+BASE = 0x9E3779B97F4A7C15      # of the hashes of short items; odd
 LEAD = 1 << 20                 # keeps band numbers above zero; more than any window
 LEAK = "struct<item_id:bigint,n_windows:int,of_windows:int,edits:int,first_byte:int,last_byte:int>"
 PLAIN = bytes(c + 32 if 0x41 <= c <= 0x5A else c if c >= 0x80 or chr(c).isalnum() else 0x20 for c in range(256))
@@ -50,21 +56,25 @@ def budget(size: int, rate: float) -> tuple[int, int]:
 
 
 class Index:
-    """Windows of a block of items with their q-grams, sorted, and a bit table that rules most others out."""
+    """Stretches of a block of items, with the windows in them and their q-grams, sorted, and a bit table that rules most others out."""
 
-    def __init__(self, items: list[tuple[int, bytes]], window: int, step: int, rate: float, min_bytes: int):
-        self.item, self.text, self.of = [], [], {}
+    def __init__(self, items: list[tuple[int, bytes]], window: int, step: int, rate: float, min_bytes: int, exact: bool = False):
+        self.item, self.text, self.starts, self.width, self.of, self.short = [], [], [], [], {}, {}
         for place, (_, text) in enumerate(items):
             t = normalise(text)
             if len(t) < max(min_bytes, Q):
+                if exact and t:
+                    self.short.setdefault(t, []).append(place)
+                    self.of[place] = 1
                 continue
             last = max(0, len(t) - window)
-            starts = sorted({*range(0, last, step), last})
+            starts = np.array(sorted({*range(0, last, step), last}))
             self.of[place] = len(starts)
-            for s in starts:
-                self.item.append(place), self.text.append(t[s:s + window])
+            for part in np.split(starts, np.flatnonzero(np.diff(starts // SPAN)) + 1):
+                self.item.append(place), self.text.append(t[part[0]:part[-1] + window])
+                self.starts.append(part - part[0]), self.width.append(min(window, len(t)))
         self.ids = [i for i, _ in items]
-        self.bound = np.array([budget(len(t), rate) for t in self.text], dtype=np.int64).reshape(-1, 2)
+        self.bound = np.array([budget(w, rate) for w in self.width], dtype=np.int64).reshape(-1, 2)
         parts = [grams(np.frombuffer(t, dtype=np.uint8)) for t in self.text]
         codes = np.concatenate(parts) if parts else np.empty(0, dtype=np.uint64)
         owner = np.repeat(np.arange(len(parts)), [len(p) for p in parts]).astype(np.int32)
@@ -76,6 +86,13 @@ class Index:
         self.bits = min(28, max(16, int(max(1, len(self.codes)) * 64 - 1).bit_length()))
         self.maybe = np.zeros(1 << self.bits, dtype=bool)
         self.maybe[self._slot(self.codes)] = True
+        self.longest = max(map(len, self.short), default=0)
+        self.words = max((t.count(b" ") + 1 for t in self.short), default=0)
+        self.sizes = np.isin(np.arange(self.longest + 1), list(map(len, self.short)))
+        power = np.full(CHUNK + self.longest if self.short else 0, BASE, dtype=np.uint64)
+        self.power = np.cumprod(np.append(np.uint64(1), power))
+        self.inverse = np.cumprod(np.append(np.uint64(1), np.full_like(power, pow(BASE, -1, 2**64))))
+        self.hashes = np.unique(np.array([(np.frombuffer(t, dtype=np.uint8) * self.power[:len(t)]).sum() for t in self.short], dtype=np.uint64))
 
     def _slot(self, codes: np.ndarray) -> np.ndarray:
         return ((codes * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
@@ -95,6 +112,28 @@ class Index:
         return np.concatenate(place), np.concatenate(code)
 
 
+    def whole(self, raw: np.ndarray, joined: bytes):
+        """(first byte, byte after the last, item) wherever a short item stands as whole words."""
+        if not self.short:
+            return
+        border = np.concatenate(([True], (raw == 0x20) | (raw == 0)))          # the bytes end with a border
+        first = np.flatnonzero(border[:-1] & ~border[1:])
+        end = np.flatnonzero(~border[:-1] & border[1:])
+        for c in range(0, len(raw), CHUNK):
+            part = raw[c:c + CHUNK + self.longest]
+            total = np.append(np.uint64(0), np.cumsum(part * self.power[:len(part)]))
+            word = np.arange(*np.searchsorted(first, (c, c + CHUNK)))
+            for n in range(self.words):
+                word = word[word + n < len(end)]
+                word = word[end[word + n] - first[word] <= self.longest]
+                w = word[self.sizes[end[word + n] - first[word]]]
+                s, e = first[w], end[w + n]
+                found = np.isin((total[e - c] - total[s - c]) * self.inverse[s - c], self.hashes)
+                for s, e in zip(s[found].tolist(), e[found].tolist()):
+                    for item in self.short.get(joined[s:e], ()):
+                        yield s, e, item
+
+
 def align(windows: list[bytes], regions: list[bytes]) -> np.ndarray:
     """Least edits of each window against any part of its region, on diagonals 0 .. len(region) - len(window).
 
@@ -127,54 +166,99 @@ def _region(text: bytes, s: int, e: int) -> bytes:
     return b"\xff" * max(0, -s) + text[max(0, s):max(0, e)] + b"\xff" * max(0, e - max(len(text), s))
 
 
+def _aligned(index: Index, clean: list[bytes], begin: np.ndarray, cases: list[tuple]):
+    """Each case (stretch, lowest diagonal, any, first, past the last byte) with every text its region meets, and the least edits."""
+    k = index.bound[:, 0]
+    todo = []
+    for case in cases:
+        o, lo, _, x, end = case
+        s, e = lo + x - int(k[o]), lo + end + 2 * (int(k[o]) + 1) + int(k[o])      # all diagonals that a match here can take
+        for d in range(np.searchsorted(begin, max(s, 0), side="right") - 1, np.searchsorted(begin, e)):
+            if d < len(clean):
+                todo.append((case, d, s - int(begin[d]), e - int(begin[d])))
+    for i in range(0, len(todo), 512):
+        part = todo[i:i + 512]
+        edits = align([index.text[c[0]][c[3]:c[4]] for c, *_ in part], [_region(clean[d], s, e) for _, d, s, e in part])
+        for (case, d, _, _), y in zip(part, edits.tolist()):
+            yield case, d, y
+
+
 def find(index: Index, texts: list[bytes]) -> list[list[tuple]]:
     """For each text its leaks (item, windows found, windows, edits, first byte, last byte)."""
     out: list[dict] = [{} for _ in texts]
-    if not index.text:
+    if not index.of:
         return [[] for _ in texts]
     clean = [normalise(t) for t in texts]
     begin = np.cumsum([0] + [len(t) + 1 for t in clean])
-    raw = np.frombuffer(b"\x00".join(clean) + b"\x00", dtype=np.uint8)
+    joined = b"\x00".join(clean) + b"\x00"
+    raw = np.frombuffer(joined, dtype=np.uint8)
+
+    def add(d: int, item: int, which: int, x: int, lo: int, hi: int) -> None:
+        was = out[d].setdefault(item, [set(), x, lo, hi])
+        was[0].add(which)
+        was[1:] = [min(was[1], x), min(was[2], lo), max(was[3], hi)]
+
+    for s, e, item in index.whole(raw, joined):
+        d = int(np.searchsorted(begin, s, side="right")) - 1
+        add(d, item, 0, 0, s - int(begin[d]), e - int(begin[d]))
     place, code = index.hits(raw)
     n = index.first[code + 1] - index.first[code]
     slot = np.arange(n.sum()) + np.repeat(index.first[code] - np.cumsum(n) + n, n)
     owner = index.owner[slot]
-    # a band is named by its window and number; places in the joined texts tell documents apart as well
-    low = (np.repeat(place, n) - index.at[slot] + LEAD) // (index.bound[:, 0] + 1)[owner]
+    at = index.at[slot].astype(np.int64)
+    diagonal = np.repeat(place, n) - at
+    # a band is named by its stretch and number; places in the joined texts tell documents apart as well
+    low = (diagonal + LEAD) // (index.bound[:, 0] + 1)[owner]
     key = (owner.astype(np.int64) << 40) | low
     # counts of hashed bands rule out nearly all bands, none that reaches its bound
     bucket = ((key.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - COUNTERS)).astype(np.int64)
     before = (((key - 1).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - COUNTERS)).astype(np.int64)
     count = np.bincount(bucket, minlength=1 << COUNTERS) + np.bincount(before, minlength=1 << COUNTERS)
     bound = index.bound[:, 1][owner]
-    key = np.concatenate((key[count[bucket] >= bound], key[count[before] >= bound] - 1))
-    key, count = np.unique(key, return_counts=True)
+    here, also = np.flatnonzero(count[bucket] >= bound), np.flatnonzero(count[before] >= bound)
+    hit = np.concatenate((here, also))
+    key = np.concatenate((key[here], key[also] - 1))
+    order = np.lexsort((at[hit], key))
+    hit, key = hit[order], key[order]
+    key, first, count = np.unique(key, return_index=True, return_counts=True)
     owner = key >> 40
     enough = count >= index.bound[owner, 1]
-    key, owner = key[enough], owner[enough]
     cases = []
-    for o, band in zip(owner.tolist(), (key & ((1 << 40) - 1)).tolist()):
-        k = int(index.bound[o, 0])
-        lo = band * (k + 1) - LEAD
-        size = len(index.text[o])
-        s, e = lo - k, lo + 2 * (k + 1) + size + k             # all diagonals that a match here can take
-        for d in range(np.searchsorted(begin, max(s, 0), side="right") - 1, np.searchsorted(begin, e)):
-            if d < len(clean):
-                cases.append((d, o, s, e))
-    for at in range(0, len(cases), 512):
-        part = cases[at:at + 512]
-        edits = align([index.text[o] for _, o, _, _ in part], [_region(clean[d], s - int(begin[d]), e - int(begin[d])) for d, _, s, e in part])
-        for (d, o, s, e), x in zip(part, edits.tolist()):
-            if x <= index.bound[o, 0]:
-                item, b = index.item[o], int(begin[d])
-                lo, hi = max(0, s - b), min(len(clean[d]), e - b)
-                was = out[d].setdefault(item, [set(), x, lo, hi])
-                was[0].add(o)
-                was[1:] = [min(was[1], x), min(was[2], lo), max(was[3], hi)]
+    for o, band, f, c in zip(owner[enough].tolist(), (key[enough] & ((1 << 40) - 1)).tolist(), first[enough].tolist(), count[enough].tolist()):
+        k, least = index.bound[o].tolist()
+        lo, size, text, mine = band * (k + 1) - LEAD, index.width[o], index.text[o], hit[f:f + c]
+        x = index.starts[o]
+        a = at[mine]
+        x = x[np.searchsorted(a, x + size - Q + 1) - np.searchsorted(a, x) >= least]
+        if not len(x):
+            continue
+        ways, votes = np.unique(diagonal[mine], return_counts=True)
+        most = int(ways[votes.argmax()])
+        left = []
+        for x in x.tolist():
+            place = most + x
+            if place >= 0 and joined[place:place + size] == text[x:x + size]:      # unchanged: no need to align
+                d = int(np.searchsorted(begin, place, side="right")) - 1
+                b = int(begin[d])
+                add(d, index.item[o], (o, x), 0, max(0, lo + x - k - b), min(len(clean[d]), lo + x + 3 * k + 2 + size - b))
+            else:
+                left.append(x)
+        while left:                                          # neighbours are tried by the bytes they share first
+            some = [x for x in left if x - left[0] < size // 3]
+            cases.append((o, lo, some, some[-1], some[0] + size))
+            left = left[len(some):]
+    likely = []
+    for (o, lo, some, _, _), d, edits in _aligned(index, clean, begin, cases):
+        if edits <= index.bound[o, 0]:
+            likely += [(o, lo, d, x, x + index.width[o]) for x in some]
+    for (o, lo, of, x, _), d, edits in _aligned(index, clean, begin, likely):
+        k, b = int(index.bound[o, 0]), int(begin[d])
+        if d == of and edits <= k:
+            add(d, index.item[o], (o, x), edits, max(0, lo + x - k - b), min(len(clean[d]), lo + x + 3 * k + 2 + index.width[o] - b))
     return [[(index.ids[i], len(v[0]), index.of[i], v[1], v[2], v[3]) for i, v in sorted(x.items())] for x in out]
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, window: int = 80, step: int = 40, rate: float = 0.1, min_bytes: int = 32,
+def leaks(docs: DataFrame, benchmark: DataFrame, window: int = 80, step: int = 1, rate: float = 0.1, min_bytes: int = 32,
           text_col: str = "text", item_col: str = "item_id", item_text: str = "text", block_bytes: int = 8_000_000) -> DataFrame:
     """``docs`` with an array column ``leaks``: the items found, with how many of their windows, the fewest edits of
     one, and the bytes of the normalised text between which they lie."""
@@ -186,7 +270,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, window: int = 80, step: int = 4
     for b in range(blocks):
         part = items.filter(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == b).collect()     # at most a block, by hash
         index = sc.broadcast(Index([(r.item, r.text.encode()) for r in sorted(part, key=lambda r: (r.item is None, r.item, r.text))],
-                                   window, step, rate, min_bytes))
+                                   window, step, rate, min_bytes, exact=True))
         out = _search(out, own, parts, text_col, f"__leaks{b}", index)
         parts.append(f"__leaks{b}")
     return out.select(*[F.col(f"`{c}`") for c in own], F.concat(*parts).alias("leaks"))

@@ -84,3 +84,41 @@ def test_normalise():
     assert normalise(b"  A,b--C\t\n9  ") == b"a b c 9"
     assert normalise("Été, à".encode()) == "Été à".encode()
     assert np.array_equal(np.frombuffer(normalise(b"a.b"), np.uint8), np.frombuffer(b"a b", np.uint8))
+
+
+def test_fragments_at_every_alignment(spark):
+    """No window is shared with the operator: a verbatim run of 72 bytes counts wherever it begins, one of 71 does not."""
+    rnd = random.Random(12)
+    item = "".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(260))
+    around = "".join(rnd.choice("0123456789") for _ in range(300))
+    rows = [(size * 1000 + s, around + item[s:s + size] + around) for size in (71, 72, 78, 90) for s in range(len(item) - size + 1)]
+    rows += [(72_900_000 + s, item[s:s + 72]) for s in range(0, 189, 9)]                # nothing around
+    found = {r.doc_id: r.leaks for r in leaks(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(
+        [(1, item)], "item_id long, text string")).collect()}
+    assert all(bool(x) == (d // 1000 != 71) for d, x in found.items())
+    assert {len(x) for x in found.values()} == {0, 1}
+
+
+def test_every_start_against_brute_force():
+    rnd = random.Random(13)
+    items = [(i, words(rnd, 36)) for i in range(3)]
+    index = Index([(i, t.encode()) for i, t in items], 80, 1, 0.1, 32)
+    for n in range(6):
+        t = list(items[n % 3][1][n * 7:n * 7 + 95])
+        for _ in range(n):
+            t[rnd.randrange(len(t))] = rnd.choice(("", "x", "xy"))
+        text = words(rnd, 6) + "".join(t) + words(rnd, 6)
+        assert {y[0]: y[1] for y in find(index, [text.encode()])[0]} == brute([items[n % 3]], text, step=1)
+
+
+def test_short_items_as_whole_words(spark):
+    items = spark.createDataFrame([(1, "The answer: 42!"), (2, "yes"), (3, "the ANSWER 42"), (4, ""), (5, None), (6, " ?! "), (7, "été à la mer")],
+                                  "item_id long, text string")
+    texts = ["so the answer 42 it is", "The answer is 42", "eyes yesterday", "Yes", "oh, yes.", None, "", "the answer 421", "en été, à la mer",
+             "a" * 400_000 + " yes the answer 42", "y " * 200_000 + "yes", "the", "answer 42"]
+    want = [{1, 3}, set(), set(), {2}, {2}, set(), set(), set(), {7}, {1, 2, 3}, {2}, set(), set()]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for block_bytes in (10**6, 20):
+        got = {r.doc_id: r.leaks for r in leaks(docs, items, block_bytes=block_bytes).collect()}
+        assert [{x.item_id for x in got[i]} for i in range(len(texts))] == want
+        assert [(x.n_windows, x.of_windows, x.edits, x.first_byte, x.last_byte) for x in got[4]] == [(1, 1, 0, 3, 6)]
