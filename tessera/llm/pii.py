@@ -1,8 +1,8 @@
 """PII replaced by format-preserving Feistel pseudonyms.
 
 Identifiers are found by pattern and validated: card numbers (13 to 19 digits, Luhn), IBANs (mod 97), US social security
-numbers, phone numbers with a country code or an area code, IPv4 addresses, calendar dates (year first, or day and
-month first), mail addresses, cloud access keys and assigned secrets. Each value is read as a number (or as the
+numbers, phone numbers with a country code or an area code, IPv4 addresses, calendar dates (year first, day first,
+or month first where that alone is a date), mail addresses, cloud access keys and assigned secrets. Each value is read as a number (or as the
 rank of its string) in the domain of its format and moved by a keyed permutation of that domain: an alternating
 Feistel network of ``ROUNDS`` rounds over two halves of the number, its round function a keyed BLAKE2 hash, walked on
 until it falls into the domain. Check digits are computed anew, punctuation and letter case stay.
@@ -11,15 +11,23 @@ As the permutation depends on the key, the kind and the value alone, equal value
 (however they are punctuated), so they stay linked, different ones never collide within a format, and who
 holds the key can reverse them (``restore``). Documents are independent: nothing is shuffled.
 
+A card number may stand among other digit groups: at every group start the longest valid run of whole groups is taken. Where
+a pseudonym would make another run the first valid one, and for month-first dates that would read as day-first, the walk goes on, as
+``restore`` must find the same places again: there equal values can get different pseudonyms. Secrets of any length are moved whole, in
+pieces that depend on the ones before.
+
 Edge cases: null text stays null with nothing found; an empty text has none; texts are searched whole, however long;
-overlapping finds go to the one that begins first, then to the longer; repeated rows are each returned; an empty table
+overlapping finds go to the one that begins first, then to the longer, and
+cards are sought among the digits that are left, as no other kind depends on a check that a neighbour's pseudonym could change; repeated rows are each returned; an empty table
 gives an empty result; other columns are passed through.
 """
 
 from __future__ import annotations
 
+import bisect
 import datetime
 import hashlib
+import itertools
 import math
 import re
 from collections.abc import Callable
@@ -89,12 +97,61 @@ def _number(key: bytes, kind: str, digits: str, back: bool) -> str:
     return str(Permutation(key, kind, 10 ** len(digits)).move(int(digits), back)).zfill(len(digits))
 
 
-def _card(key: bytes, s: str, back: bool) -> str | None:
-    d = _digits(s)
-    if not 13 <= len(d) <= 19 or luhn_digit(d[:-1]) != d[-1] or len(set(d)) == 1:
-        return None
-    body = _number(key, "card", d[:-1], back)
-    return _fill(s, body + luhn_digit(body))
+def _card_spans(groups: list[str], i: int):
+    """(first, past the last) group of each card from group ``i`` on: at each start the longest valid run of 13 to 19 digits."""
+    while i < len(groups):
+        ends, size = [], 0
+        for j in range(i, len(groups)):
+            size += len(groups[j])
+            if size > 19:
+                break
+            if size >= 13:
+                ends.append(j + 1)
+        for j in reversed(ends):
+            d = "".join(groups[i:j])
+            if luhn_digit(d[:-1]) == d[-1] and len(set(d)) > 1:
+                yield i, j
+                i = j - 1
+                break
+        i += 1
+
+
+def _digit_groups(text: str, taken: list[tuple[int, int]]):
+    """Lists of (first character, digits) of groups in a row, apart from the places taken (in order)."""
+    for run in RUN.finditer(text):
+        if run.end() - run.start() < 13:
+            continue
+        row = []
+        for m in DIGITS.finditer(text, run.start(), run.end()):
+            before = bisect.bisect_left(taken, (m.end(), 0)) - 1         # the last that begins before the group's end
+            if before >= 0 and taken[before][1] > m.start():
+                yield row
+                row = []
+            else:
+                row.append((m.start(), m[0]))
+        yield row
+
+
+def _cards(text: str, key: bytes, back: bool, taken: list[tuple[int, int]]):
+    """(start, end, pseudonym) of the cards; each is walked on until the same groups are found in its place."""
+    for row in _digit_groups(text, taken):
+        at, groups = [a for a, _ in row], [g for _, g in row]
+        spans = list(_card_spans(groups, 0))
+        for n in reversed(range(len(spans))) if back else range(len(spans)):
+            i, j = spans[n]
+            begin = spans[n - 2][1] if n > 1 else 0                # what begins before does not reach this card
+            same = spans[max(0, n - 1):n + 1]
+            shape = re.sub(r"\d", "0", " ".join(groups[i:j]))
+            d = "".join(groups[i:j])
+            while True:
+                body = _number(key, "card", d[:-1], back)
+                d = body + luhn_digit(body)
+                groups[i:j] = _fill(shape, d).split(" ")
+                if len(set(d)) > 1 and list(itertools.islice(_card_spans(groups, begin), len(same))) == same:
+                    break
+        for i, j in spans:
+            start, end = at[i], at[j - 1] + len(groups[j - 1])
+            yield start, end, _fill(text[start:end], "".join(groups[i:j]))
 
 
 def _iban(key: bytes, s: str, back: bool) -> str | None:
@@ -139,15 +196,21 @@ def _date(key: bytes, s: str, back: bool) -> str | None:
     a, b, c = re.split(r"[-/.]", s)
     first = len(a) == 4
     y, m, d = (a, b, c) if first else (c, b, a)
+    month_first = not first and int(m) > 12
+    if month_first:
+        m, d = d, m
     try:
         day = datetime.date(int(y), int(m), int(d)).toordinal() - FIRST_DAY
     except ValueError:
         return None
     if not 0 <= day < DAYS:
         return None
-    new = datetime.date.fromordinal(FIRST_DAY + Permutation(key, "date", DAYS).move(day, back))
-    sep = s[len(a)]
-    return sep.join([f"{new.year:04d}", f"{new.month:02d}", f"{new.day:02d}"][::1 if first else -1])
+    moves = Permutation(key, "date", DAYS)
+    new = datetime.date.fromordinal(FIRST_DAY + moves.move(day, back))
+    while month_first and new.day <= 12:                   # would be read as day first
+        new = datetime.date.fromordinal(FIRST_DAY + moves.move(new.toordinal() - FIRST_DAY, back))
+    sep, parts = s[len(a)], (f"{new.year:04d}", f"{new.month:02d}", f"{new.day:02d}")
+    return sep.join(parts if first else (parts[1], parts[2], parts[0]) if month_first else parts[::-1])
 
 
 def _rank_text(key: bytes, kind: str, s: str, back: bool) -> str:
@@ -180,23 +243,31 @@ def _cloud(key: bytes, s: str, back: bool) -> str | None:
 
 def _secret(key: bytes, s: str, back: bool) -> str | None:
     head = re.match(r"[A-Za-z_]+\s?[=:]\s?[\"']?", s)[0]
-    return head + _rank_text(key, "secret", s[len(head):], back)
+    out, before = [head], hashlib.blake2b(key=key, digest_size=16)
+    for i in range(len(head), len(s), PIECE):
+        old = s[i:i + PIECE]
+        new = _rank_text(key, "secret" if i == len(head) else f"secret:{before.hexdigest()}", old, back)
+        before.update((new if back else old).encode())           # the clear text before, known when going back as well
+        out.append(new)
+    return "".join(out)
 
 
 # kind, pattern, pseudonym (None: not valid, left alone)
 KINDS: list[tuple[str, str, Callable]] = [
     ("mail", r"[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}", _mail),
-    ("secret", r"\b(?:password|passwd|secret|token|api_?key)\s?[=:]\s?[\"']?[A-Za-z0-9/+_-]{8,128}", _secret),
+    ("secret", r"(?i:password|passwd|secret|token|api_?key)\s?[=:]\s?[\"']?[A-Za-z0-9/+_-]{8,}", _secret),
     ("key", r"\b(?:AKIA|ASIA)[A-Z0-9]{16}\b", _cloud),
     ("iban", r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b", _iban),
     ("ip", r"(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?![\d.]*\d)", _ip),
     ("date", r"(?<![\d./-])(?:\d{4}([-/.])\d{2}\1\d{2}|\d{2}([-/.])\d{2}\2\d{4})(?![./-]?\d)", _date),
     ("ssn", r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])", _ssn),
-    ("card", r"(?<![\dA-Za-z.])\d(?:[ -]?\d){12,18}(?![\dA-Za-z])", _card),
     ("phone", r"(?<![\dA-Za-z.])(?:\+\d{1,3}[ -]?)?\(\d{3}\)[ -]?\d{3}[ -]?\d{4}(?!\d)|(?<![\dA-Za-z.])\+\d{1,3}(?:[ -]?\d){10}(?!\d)"
               r"|(?<![\dA-Za-z.-])\d{3}[ -]\d{3}[ -]\d{4}(?![\d-])", _phone),
 ]
 DIGIT = re.compile(r"\d")
+DIGITS = re.compile(r"[0-9]+")
+RUN = re.compile(r"(?<![\dA-Za-z.])[0-9]++(?:[ -][0-9]++(?![A-Za-z]))*+(?![\dA-Za-z])")     # digit groups in a row
+PIECE = 128                                                      # characters of a secret moved together
 MARKS = {"mail": "@", "secret": "=:", "key": ("AKIA", "ASIA")}   # other kinds: a digit
 PATTERNS = [(kind, re.compile(p), f) for kind, p, f in KINDS]
 
@@ -216,6 +287,10 @@ def finds(text: str, key: bytes, back: bool = False) -> list[tuple[str, int, int
         if start >= end:
             out.append((kind, start, -minus, new))
             end = start - minus
+    if digit:
+        cards = _cards(text, key, back, [(start, start + size) for _, start, size, _ in out])
+        out += [("card", start, end - start, new) for start, end, new in cards]
+        out.sort(key=lambda x: x[1])
     return out
 
 

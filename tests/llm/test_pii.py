@@ -59,3 +59,33 @@ def test_frames(spark, docs, no_docs):
 def test_long_texts():
     for t in ("1" * 300_000, "a" * 300_000, "1 " * 100_000, "a.b@" * 50_000, "1.2." * 50_000, "AB12 " * 50_000, "-" * 300_000):
         finds(t, KEY)
+
+
+def test_nothing_is_left_of_an_identifier():
+    card, long = "4845168114407329", "Ab1x" * 50
+    for t, kind, value in ((f"{card} 97.51", "card", card), (f"12 {card}", "card", card), ("4111 1111 1111 1111 12/25", "card", "4111 1111 1111 1111"),
+                           (f"7 {card} 97 1", "card", card), (f"{card} 12abc", "card", card), (f"PASSWORD={long}", "secret", long),
+                           (f"AWS_SECRET={long}", "secret", long), ("myToken: abcdefgh1", "secret", "abcdefgh1"), ("due 12/25/2024.", "date", "12/25/2024")):
+        found = finds(t, KEY)
+        assert [f[0] for f in found] == [kind] and all(a <= t.index(value) and t.index(value) + len(value) <= a + n for _, a, n, _ in found)
+        new = replace(t, found)
+        assert value not in new and (kind != "secret" or long[-72:] not in new) and restore(new, KEY) == t
+    assert finds("13/13/2024 and 4845168114407328 97 and 48451681144073291111", KEY) == []
+
+
+def test_round_trip_among_other_groups():
+    rnd = random.Random(3)
+    for _ in range(300):
+        t = []
+        for _ in range(rnd.randrange(1, 5)):
+            body = "".join(rnd.choice("0123456789") for _ in range(rnd.randrange(12, 19)))
+            card = body + luhn_digit(body)
+            t += [rnd.choice((card, " ".join(card[i:i + 4] for i in range(0, len(card), 4)))), *(str(rnd.randrange(1000)) for _ in range(rnd.randrange(3)))]
+        t = " ".join(t) + f" x {rnd.randrange(1, 13):02d}/{rnd.randrange(13, 29)}/{rnd.randrange(1900, 2100)} token={'aB3' * rnd.randrange(3, 200)}"
+        new = replace(t, finds(t, KEY))
+        assert restore(new, KEY) == t and [f[:3] for f in finds(new, KEY)] == [f[:3] for f in finds(t, KEY)]
+
+
+def test_long_runs_and_secrets():
+    for t in ("4111 1111 1111 1111 " * 500, "token=" + "a1" * 20_000):
+        assert restore(replace(t, finds(t, KEY)), KEY) == t
