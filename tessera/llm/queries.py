@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import (ann, bpe, decontamination, license_scan, line_dedup, lm_scoring, ngram_jaccard, pii,
-               substring_dedup, toxicity)
+from . import (ann, bpe, conversation_repair, decontamination, license_scan, line_dedup, lm_scoring, ngram_jaccard, pii,
+               spelling_variants, substring_dedup, superminhash, toxicity)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -106,3 +106,18 @@ def op9(spark, sf_dir):
                       F.array_join(F.array_sort(F.array_distinct(kinds)), ",").alias("kinds"),
                       F.array_join(F.transform("found", lambda x: x.pseudonym), "\n").alias("pseudonyms"),
                       F.sha2(F.col("clean_text").cast("binary"), 256).alias("clean_sha256"), F.col("clean_text").alias("text"))
+
+
+@query("op11_spelling_variants")
+def op11(spark, sf_dir):
+    return spelling_variants.variant_groups(table(spark, sf_dir, "documents"))
+
+
+@query("op12_superminhash")
+def op12(spark, sf_dir):
+    return superminhash.near_duplicates(table(spark, sf_dir, "documents"), width=4)
+
+
+@query("op13_conversation_repair")
+def op13(spark, sf_dir):
+    return conversation_repair.repair_report(table(spark, sf_dir, "conversations"))
