@@ -10,11 +10,11 @@ A document's set is its distinct ``width``-word shingles. Two documents link whe
 3. *Banding.* ``BANDS`` bands of ``ROWS`` places; classes that agree in a band share its bucket. At a similarity of 0.8 all
    bands miss a pair with a probability of 3 in a million, at 0.3 one of thirty pairs meets.
 4. *Verification.* Pairs are first held against their signatures (a pair at the threshold passes but for one in 10**9), then against
-   the full sets of both texts. Pairs come in three rounds, each of them verified and grouped before the next: every class with
-   the one bucket leader that it shares most bands with; with its other leaders, where it is not yet in the same group; and,
-   for buckets that then still hold several groups, members of the smaller groups with members of the other ones.
-   Members of a bucket's largest group are never paired with each other, so a group of thousands of copies costs thousands
-   of pairs. No round has a cap.
+   the full sets of both texts. Every class is paired with the leaders of its buckets: in each the class that lies in most and
+   largest buckets, so the text that a group of copies goes back to. Buckets that still hold several groups are then searched
+   whole: members of the smaller groups are compared with all members of other groups, ``TILE`` by ``TILE``, by signatures of
+   ``LONG`` places (a link passes but for one pair in three million), and what passes is verified too. Members of a bucket's largest
+   group are never compared with each other, so a group of thousands of copies costs thousands of pairs. No round has a cap.
 5. *Union-find grouping.* Each task links its pairs in a union-find forest and hands on the forest alone; the forests meet in
    alternating star contractions (``components``).
 
@@ -41,8 +41,11 @@ from .member_filter import maybe_among, member_filter
 
 ROWS, BANDS = 6, 42
 PLACES = ROWS * BANDS
+#: Places of the signatures that tell apart the members of a bucket with several groups; the first PLACES are the others'.
+LONG = 1024
+TILE = 1024
 BASE = 0x9E3779B97F4A7C15
-#: Shingles worked on at a time: the orders that they have dealt so far take PLACES bytes each.
+#: Shingles worked on at a time (fewer for longer signatures): the orders that they have dealt so far take a byte or more a place.
 AT_ONCE = 1 << 17
 
 
@@ -60,12 +63,14 @@ def _draw(h: np.ndarray, j: int) -> np.ndarray:
     return B.mix(h + B.U((j + 1) * 0xD1B54A32D192ED03 % 2**64))
 
 
-def superminhash(sets: list[np.ndarray], places: int = PLACES) -> np.ndarray:
+def superminhash(sets: list[np.ndarray], places: int = PLACES, seed: int = 0) -> np.ndarray:
     """One row of ``places`` values for each non-empty set: the value of a place is its step and 32 random bits."""
     empty = np.iinfo(np.int64).max
     out = np.full((len(sets), places), empty, dtype=np.int64)
     flat = out.ravel()
     elements = np.concatenate(sets) if len(sets) else np.empty(0, dtype=np.uint64)
+    if seed:
+        elements = B.mix(elements + B.U(seed))
     of = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
     going, order = np.ones(len(sets), dtype=bool), None     # order: who has dealt what, only from the second step on
     for j in range(places):
@@ -93,12 +98,12 @@ def superminhash(sets: list[np.ndarray], places: int = PLACES) -> np.ndarray:
     return out
 
 
-def signature_bytes(sets: list[np.ndarray]) -> list[bytes]:
-    """Signatures with one byte a place, in pieces of at most ``AT_ONCE`` shingles or one set."""
+def signature_bytes(sets: list[np.ndarray], places: int = PLACES, seed: int = 0) -> list[bytes]:
+    """Signatures with one byte a place, in pieces of at most ``AT_ONCE`` bytes a place or one set."""
     out, piece, held = [], [], 0
     for s in [*sets, None]:
-        if piece and (s is None or held + len(s) > AT_ONCE):
-            short = (B.mix(superminhash(piece).view(np.uint64)) >> B.U(56)).astype(np.uint8)
+        if piece and (s is None or (held + len(s)) * places > AT_ONCE * PLACES):
+            short = (B.mix(superminhash(piece, places, seed).view(np.uint64)) >> B.U(56)).astype(np.uint8)
             out += [x.tobytes() for x in short]
             piece, held = [], 0
         if s is not None:
@@ -163,16 +168,20 @@ def likely(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     return both.select("a", "b", "sa", "sb").mapInArrow(agree, "a long, b long")
 
 
-def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """The pairs (a, b) of classes whose full sets link, as a forest of each task (union-find)."""
-    pairs = cut_lineage(likely(pairs, classes, percent), "likely")
-    asked = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+def texts_of(asked: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
+    """(node, text): one text of each class in ``asked``."""
     where = classes.join(asked, "node", "left_semi").select("node", F.col("rep.doc").alias("doc"), F.col("rep.mark").alias("mark"))
     row = F.xxhash64("doc", "mark").alias("__row")
     some = maybe_among(docs.select("*", row), "__row", member_filter(where.select(row)))
     x, y = where.alias("x"), some.alias("y")
-    texts = cut_lineage(y.join(x.hint("merge"), F.col("x.doc").eqNullSafe(F.col("y.doc")) & (F.col("x.mark") == F.col("y.mark")))
-                        .select("node", "text").dropDuplicates(["node"]), "texts")
+    return y.join(x.hint("merge"), F.col("x.doc").eqNullSafe(F.col("y.doc")) & (F.col("x.mark") == F.col("y.mark"))).select(
+        "node", "text").dropDuplicates(["node"])
+
+
+def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """The pairs (a, b) of classes whose full sets link, as a forest of each task (union-find)."""
+    pairs = cut_lineage(pairs, "likely")
+    texts = cut_lineage(texts_of(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), classes, docs), "texts")
     side = lambda c: texts.select(F.col("node").alias(c), F.col("text").alias(f"t{c}")).hint("merge")
 
     def linked(batches):
@@ -205,6 +214,71 @@ def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, width: int,
     return pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "ta", "tb").mapInArrow(linked, "a long, b long")
 
 
+def long_signatures(nodes: DataFrame, classes: DataFrame, docs: DataFrame, width: int) -> DataFrame:
+    """(node, long): signatures of ``LONG`` places of the classes in ``nodes``."""
+    def rows(batches):
+        for b in batches:
+            sets = [shingle_set(t, width) for t in b.column(2).cast(pa.large_binary()).to_pylist()]
+            more = signature_bytes(sets, LONG - PLACES, seed=1)
+            yield pa.record_batch([b.column(0), pa.array([x + y for x, y in zip(b.column(1).to_pylist(), more)], pa.binary())],
+                                  names=["node", "long"])
+
+    texts = texts_of(nodes, classes, docs)
+    return texts.join(classes.select("node", "sig"), "node").select("node", "sig", "text").mapInArrow(rows, "node long, long binary")
+
+
+def across_groups(still: DataFrame, long: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """Likely pairs (a, b) of different groups in the buckets ``still`` (key, node, g, most): the members outside of a bucket's largest group with all
+    of its members, in tiles of at most about ``TILE`` by ``TILE``. A pair is given once, in the first band that it shares."""
+    least = least_agreement(percent, LONG, 5.0)
+    rows = (still.join(long, "node").join(classes.select("node", "n"), "node")
+            .select("key", "node", "g", "n", "long", (F.col("g") != F.col("most")).alias("few")))
+    parts = rows.groupBy("key").agg(F.ceil(F.sum(F.col("few").cast("int")) / TILE).cast("int").alias("f_parts"),
+                                    F.ceil(F.count(F.lit(1)) / TILE).cast("int").alias("a_parts"))
+    rows = rows.join(parts, "key")
+    deal = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    cols = ("key", "i", "j", "left", "few", "node", "g", "n", "long")
+    tiles = (rows.filter("few").withColumns({"left": F.lit(True), "i": deal("f_parts")}).withColumn("j", every("a_parts")).select(*cols)
+             .unionByName(rows.withColumns({"left": F.lit(False), "j": deal("a_parts")}).withColumn("i", every("f_parts")).select(*cols)))
+
+    def compare(table):
+        key = table.column("key")[0].as_py()
+        left = table.column("left").to_numpy()
+        node, g, n = (table.column(c).to_numpy() for c in ("node", "g", "n"))
+        sig = np.frombuffer(b"".join(table.column("long").to_pylist()), dtype=np.uint8).reshape(-1, LONG)
+        ours, theirs = np.flatnonzero(left), np.flatnonzero(~left)
+        few = table.column("few").to_numpy()[theirs]         # these meet once from each side
+        out = []
+        for x in ours:
+            y = theirs[(g[theirs] != g[x]) & (~few | (node[theirs] > node[x]))
+                       & (100 * np.minimum(n[theirs], n[x]) >= percent * np.maximum(n[theirs], n[x]))]
+            y = y[(sig[y] == sig[x]).sum(axis=1) >= least]
+            same = (sig[y, :PLACES] == sig[x, :PLACES]).reshape(-1, BANDS, ROWS).all(axis=2)
+            y = y[same.argmax(axis=1) == key >> 8 * ROWS]
+            out += [(min(node[x], v), max(node[x], v)) for v in node[y]]
+        return out
+
+    def run(batches):
+        held, at = [], None
+
+        def done():
+            pairs = compare(pa.Table.from_batches(held)) if held else []
+            a, b = zip(*pairs) if pairs else ((), ())
+            return pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+        for batch in batches:
+            ids = np.stack([batch.column(c).to_numpy() for c in range(3)], axis=1)
+            edges = [0, *(np.flatnonzero((ids[1:] != ids[:-1]).any(axis=1)) + 1), len(ids)] if len(ids) else []
+            for s, e in zip(edges[:-1], edges[1:]):
+                if at != tuple(ids[s]):
+                    yield done()
+                    held, at = [], tuple(ids[s])
+                held.append(batch.slice(s, e - s))
+        yield done()
+
+    return tiles.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(run, "a long, b long")
+
+
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: ``doc_id``, ``n_shingles``, ``component_id`` (least id reachable by links, itself included) and ``kept``
     (its own id names the component)."""
@@ -215,38 +289,31 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
         .withColumn("node", F.monotonically_increasing_id()), "classes")
 
     rows = _buckets(classes)
-    leaders = rows.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.min("node").alias("leader")).filter("c > 1")
-    shared = cut_lineage(rows.join(leaders.select("key", "leader"), "key"), "buckets")
-    votes = shared.filter("node <> leader").groupBy("node", "leader").agg(F.count(F.lit(1)).alias("bands"))
-    votes = cut_lineage(votes, "leaders")
-    best = votes.groupBy("node").agg(F.max_by("leader", F.struct("bands", -F.col("leader"))).alias("leader"))
-    pair = (F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b"))
-    links = cut_lineage(verified(best.select(*pair), classes, own, width, percent), "links")
-
-    def grouped(found: DataFrame) -> DataFrame:
-        return cut_lineage(connected_components(found), "groups")
+    sizes = rows.groupBy("key").agg(F.count(F.lit(1)).alias("c")).filter("c > 1")
+    shared = cut_lineage(rows.join(sizes, "key"), "buckets")
+    weight = shared.groupBy("node").agg(F.sum("c").alias("w"))           # a text that many resemble is in large buckets
+    leaders = shared.join(weight, "node").groupBy("key").agg(F.max_by("node", F.struct("w", -F.col("node"))).alias("leader"))
+    votes = shared.join(leaders, "key").filter("node <> leader").select("node", "leader").distinct()
+    pairs = votes.select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b"))
+    links = cut_lineage(verified(likely(pairs, classes, percent), classes, own, width, percent), "links")
+    groups = cut_lineage(connected_components(links), "groups")
 
     def with_group(df: DataFrame, groups: DataFrame, col: str, name: str) -> DataFrame:
         named = groups.select(F.col("node").alias(col), F.col("root").alias("__root"))
         return df.join(named, col, "left").withColumn(name, F.coalesce("__root", col)).drop("__root")
 
-    groups = grouped(links)
-    others = with_group(with_group(votes.join(best, ["node", "leader"], "left_anti"), groups, "node", "g1"), groups, "leader", "g2")
-    links = links.unionByName(cut_lineage(verified(others.filter("g1 <> g2").select(*pair), classes, own, width, percent), "links"))
-    groups = grouped(links)
-
     placed = with_group(shared.select("key", "node"), groups, "node", "g")
     held = placed.groupBy("key", "g").agg(F.count(F.lit(1)).alias("c"))
     largest = held.groupBy("key").agg(F.max(F.struct("c", "g")).alias("m"), F.count(F.lit(1)).alias("gs")).filter("gs > 1")
     still = cut_lineage(placed.join(largest.select("key", F.col("m.g").alias("most")), "key"), "open-buckets")
-    few = still.filter("g <> most")
-    x, y = few.alias("x"), still.alias("y")
-    across = (x.join(y, (F.col("x.key") == F.col("y.key")) & ((F.col("y.g") == F.col("y.most")) | (F.col("x.g") < F.col("y.g"))))
-              .select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct())
-    met = votes.select(*pair)
-    links = links.unionByName(cut_lineage(verified(across.join(met, ["a", "b"], "left_anti"), classes, own, width, percent), "links"))
-
-    named = with_group(classes.select("s1", "s2", "node", "least"), connected_components(links), "node", "g")
+    long = cut_lineage(long_signatures(still.select("node").distinct(), classes, own, width), "long-signatures")
+    more = cut_lineage(verified(across_groups(still, long, classes, percent), classes, own, width, percent), "links")
+    between = with_group(with_group(more, groups, "a", "ga"), groups, "b", "gb").select(F.col("ga").alias("a"), F.col("gb").alias("b"))
+    tops = cut_lineage(connected_components(between), "groups").select(F.col("node").alias("root"), F.col("root").alias("top"))
+    groups = groups.join(tops, "root", "left").select("node", F.coalesce("top", "root").alias("root")).unionByName(
+        tops.select(F.col("root").alias("node"), F.col("top").alias("root")))
+
+    named = with_group(classes.select("s1", "s2", "node", "least"), groups, "node", "g")
     least = named.groupBy("g").agg(F.min("least").alias("component_id"))
     named = named.join(least, "g").select("s1", "s2", "component_id")
     out = prepared.join(named, ["s1", "s2"], "left").select(

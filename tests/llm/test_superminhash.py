@@ -93,3 +93,17 @@ def test_whole_table(spark):
     rows = [(r.doc_id, r.text or "") for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()]
     df = QUERIES["op12_superminhash"](spark, sf)
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in df.collect()} == brute(rows, 4, 80)
+
+
+def test_crowded_buckets_in_small_tiles(spark, monkeypatch):
+    """Many texts around one shared passage, of which only some link: buckets hold several groups and are searched tile by tile."""
+    monkeypatch.setattr(sm, "TILE", 3)
+    rnd = random.Random(11)
+    passage = [f"p{i}" for i in range(90)]
+    rows = []
+    for i in range(140):
+        w = list(passage)
+        for _ in range(rnd.choice((1, 2, 3, 4, 5))):
+            w[rnd.randrange(90)] = f"x{rnd.randrange(12)}"
+        rows.append((i, " ".join(w + [f"own{i // 2}-{k}" for k in range(rnd.choice((0, 4, 15)))])))
+    assert got(spark.createDataFrame(rows, "doc_id long, text string"), width=4) == brute(rows, 4, 80)
