@@ -12,8 +12,8 @@ A document's set is its distinct ``width``-word shingles. Two documents link whe
 4. *Verification.* Pairs are first held against their signatures (a pair at the threshold passes but for one in 10**9), then against
    the full sets of both texts. Every class is paired with the leaders of its buckets: in each the class that lies in most and
    largest buckets, so the text that a group of copies goes back to. Buckets that still hold several groups are then searched
-   whole: members of the smaller groups are compared with all members of other groups, ``TILE`` by ``TILE``, by signatures of
-   ``LONG`` places (a link passes but for one pair in three million), and what passes is verified too. Members of a bucket's largest
+   whole: members of the smaller groups are compared with all members of other groups, ``TILE`` by ``TILE``, by ``MORE`` further
+   signatures, ``LONG`` places in all (a link passes but for one pair in three million), and what passes is verified too. Members of a bucket's largest
    group are never compared with each other, so a group of thousands of copies costs thousands of pairs. No round has a cap.
 5. *Union-find grouping.* Each task links its pairs in a union-find forest and hands on the forest alone; the forests meet in
    alternating star contractions (``components``).
@@ -42,7 +42,8 @@ from .member_filter import maybe_among, member_filter
 ROWS, BANDS = 6, 42
 PLACES = ROWS * BANDS
 #: Places of the signatures that tell apart the members of a bucket with several groups; the first PLACES are the others'.
-LONG = 1024
+MORE = 3
+LONG = PLACES + MORE * 256
 TILE = 1024
 BASE = 0x9E3779B97F4A7C15
 #: Shingles worked on at a time (fewer for longer signatures): the orders that they have dealt so far take a byte or more a place.
@@ -181,7 +182,8 @@ def texts_of(asked: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame
 def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
     """The pairs (a, b) of classes whose full sets link, as a forest of each task (union-find)."""
     pairs = cut_lineage(pairs, "likely")
-    texts = cut_lineage(texts_of(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), classes, docs), "texts")
+    asked = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+    texts = cut_lineage(texts_of(cut_lineage(asked, "asked"), classes, docs), "texts")
     side = lambda c: texts.select(F.col("node").alias(c), F.col("text").alias(f"t{c}")).hint("merge")
 
     def linked(batches):
@@ -219,8 +221,8 @@ def long_signatures(nodes: DataFrame, classes: DataFrame, docs: DataFrame, width
     def rows(batches):
         for b in batches:
             sets = [shingle_set(t, width) for t in b.column(2).cast(pa.large_binary()).to_pylist()]
-            more = signature_bytes(sets, LONG - PLACES, seed=1)
-            yield pa.record_batch([b.column(0), pa.array([x + y for x, y in zip(b.column(1).to_pylist(), more)], pa.binary())],
+            more = [signature_bytes(sets, 256, seed) for seed in range(1, MORE + 1)]
+            yield pa.record_batch([b.column(0), pa.array(map(b"".join, zip(b.column(1).to_pylist(), *more)), pa.binary())],
                                   names=["node", "long"])
 
     texts = texts_of(nodes, classes, docs)
@@ -306,7 +308,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
     held = placed.groupBy("key", "g").agg(F.count(F.lit(1)).alias("c"))
     largest = held.groupBy("key").agg(F.max(F.struct("c", "g")).alias("m"), F.count(F.lit(1)).alias("gs")).filter("gs > 1")
     still = cut_lineage(placed.join(largest.select("key", F.col("m.g").alias("most")), "key"), "open-buckets")
-    long = cut_lineage(long_signatures(still.select("node").distinct(), classes, own, width), "long-signatures")
+    asked = cut_lineage(still.select("node").distinct(), "asked")
+    long = cut_lineage(long_signatures(asked, classes, own, width), "long-signatures")
     more = cut_lineage(verified(across_groups(still, long, classes, percent), classes, own, width, percent), "links")
     between = with_group(with_group(more, groups, "a", "ga"), groups, "b", "gb").select(F.col("ga").alias("a"), F.col("gb").alias("b"))
     tops = cut_lineage(connected_components(between), "groups").select(F.col("node").alias("root"), F.col("root").alias("top"))
