@@ -64,6 +64,7 @@ def _ranges(chars) -> str:
 
 BEYOND = _beyond()
 BEYOND_CLASS = _ranges(BEYOND)
+BEYOND_LATIN = f"[^\\x00-\\x{{{FOLD_RANGE[1]:X}}}]"
 BEYOND_PIECES = f"[{BEYOND_CLASS}]|[^{BEYOND_CLASS}]+"
 
 
@@ -72,7 +73,8 @@ def fold_ascii(c) -> Column:
     c = F.col(c) if isinstance(c, str) else c
     names = F.create_map(*[F.lit(x) for pair in BEYOND.items() for x in pair])
     pieces = F.transform(F.regexp_extract_all(c, F.lit(BEYOND_PIECES), F.lit(0)), lambda p: F.coalesce(names[p], p))
-    c = F.when(c.rlike(f"[{BEYOND_CLASS}]"), F.array_join(pieces, "")).otherwise(c)
+    # the plain range first: no character of the map lies in the Latin blocks, and the range is one comparison a character
+    c = F.when(c.rlike(BEYOND_LATIN), F.array_join(pieces, "")).otherwise(c)
     for ch, rep in MULTI:
         c = F.replace(c, F.lit(ch), F.lit(rep))
     c = F.translate(c, TRANSLATE_FROM, TRANSLATE_TO)
