@@ -1,5 +1,4 @@
-"""Learning on Spark ML: one-vs-rest balanced bagging, calibrated linear SVM, seeded randomized search,
-and prediction tables (ML-02..12, ML-19, ML-22).
+"""Bagging of any Spark ML classifier, one fit a class and bag, and prediction tables (ML-04, ML-12). Searches are in ``ovr``.
 
 Fits are Spark jobs over distributed feature tables; the driver only orchestrates (a small thread pool
 submits independent fits, as ``CrossValidator(parallelism=...)`` does).
@@ -7,13 +6,9 @@ submits independent fits, as ``CrossValidator(parallelism=...)`` does).
 
 from __future__ import annotations
 
-import random
 from concurrent.futures import ThreadPoolExecutor
 
-from pyspark.ml.classification import LinearSVC, LogisticRegression
-from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.tuning import CrossValidator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -77,53 +72,3 @@ def predict_ovr(models, test: DataFrame, id_col: str = "doc_id", kind: str = "pr
 
 def argmax(probs: DataFrame, id_col: str = "doc_id") -> DataFrame:
     return probs.groupBy(id_col).agg(F.max_by("class", F.struct("prob", F.col("class"))).alias("y_pred"))
-
-
-def calibrated_svm_factory(reg_param: float = 0.01, max_iter: int = 50):
-    """Linear SVM on class-balanced bags with a sigmoid (Platt) calibration of its margin (ML-06):
-    a pipeline of LinearSVC followed by a one-feature logistic regression on the margin."""
-    from pyspark.ml import Pipeline
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.functions import vector_to_array as v2a  # noqa: F401
-
-    class _Calibrated:
-        def fit(self, df):
-            svm = LinearSVC(regParam=reg_param, maxIter=max_iter, featuresCol="features", labelCol="label").fit(df)
-            m = svm.transform(df).withColumn("_margin", vector_to_array("rawPrediction")[1])
-            m = VectorAssembler(inputCols=["_margin"], outputCol="_mf").transform(m)
-            lr = LogisticRegression(featuresCol="_mf", labelCol="label", maxIter=50,
-                                    predictionCol="_lp", probabilityCol="_lprob", rawPredictionCol="_lraw").fit(m)
-            return _CalibratedModel(svm, lr)
-    return _Calibrated()
-
-
-class _CalibratedModel:
-    def __init__(self, svm, lr):
-        self.svm, self.lr = svm, lr
-
-    def transform(self, df):
-        from pyspark.ml.feature import VectorAssembler
-        m = self.svm.transform(df).withColumn("_margin", vector_to_array("rawPrediction")[1])
-        m = VectorAssembler(inputCols=["_margin"], outputCol="_mf").transform(m)
-        out = self.lr.transform(m.drop("probability"))
-        return out.withColumn("probability", F.col("_lprob"))
-
-
-def randomized_search(estimator, grid, n_candidates: int, train: DataFrame, label_col: str = "label",
-                      metric: str = "weightedPrecision", seed=42, parallelism: int = 4, fold_col: str = "fold",
-                      n_folds: int = 5):
-    """Seeded random subset of a parameter grid, cross-validated on precomputed stratified folds (ML-10).
-
-    Returns (best model refit on all training rows, [(params_text, mean, std)])."""
-    rng = random.Random(seed)
-    maps = list(grid)
-    cand = maps if n_candidates >= len(maps) else rng.sample(maps, n_candidates)
-    ev = MulticlassClassificationEvaluator(labelCol=label_col, metricName=metric)
-    cv = CrossValidator(estimator=estimator, estimatorParamMaps=cand, evaluator=ev, foldCol=fold_col,
-                        numFolds=n_folds, parallelism=parallelism, seed=seed)
-    model = cv.fit(train)
-    res = []
-    for pm, mean, std in zip(cand, model.avgMetrics, model.stdMetrics):
-        text = ", ".join(f"{p.name}={v}" for p, v in sorted(pm.items(), key=lambda kv: kv[0].name))
-        res.append((text, float(mean), float(std)))
-    return model.bestModel, res

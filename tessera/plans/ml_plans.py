@@ -3,12 +3,12 @@ classes), text features from the same normalisation as the text layer (ML-02..12
 
 from __future__ import annotations
 
-from pyspark.ml.classification import (LinearSVC, MultilayerPerceptronClassifier, NaiveBayes, OneVsRest,
-                                       RandomForestClassifier)
-from pyspark.ml.tuning import ParamGridBuilder
+from pyspark.ml.classification import LinearSVC, NaiveBayes, OneVsRest, RandomForestClassifier
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
-from ..operators import common, features as fe, metrics as me, models as mo, sampling as sa, vectors as ve
+from ..operators import (blockmatrix as bm, common, features as fe, kernel, metrics as me, mlp, models as mo, ovr,
+                         sampling as sa, vectors as ve)
 from ..session import cut_lineage
 from .registry import query
 from .text_plans import MAX_DF, MIN_DF, doc_term_counts, processed_docs
@@ -60,39 +60,65 @@ def _native_predictions(model, test):
     return out
 
 
-@query("nb_search", None, ops=("ML-05", "ML-10", "WIN-07"))
+def labelled_weights(spark, sf, bm25: bool = False):
+    """((doc_id, label, fold) with fold -1 for test rows, (doc_id, term_index, weight)): TF-IDF, or BM25 with negative weights clipped (Q6)."""
+    d, tf, w, model = corpus(spark, sf)
+    train = sa.assign_folds(d.filter(F.col("split") == "train"), "lang", "doc_id", 5, SEED).select("doc_id", "label", F.col("fold").cast("int"))
+    docs = cut_lineage(train.unionByName(d.filter(F.col("split") == "test").select("doc_id", "label", F.lit(-1).alias("fold"))), "labelled")
+    if bm25:
+        idf, stats = fe.fit_bm25(tf, fe.count_documents(d), model)
+        w = fe.apply_bm25(tf.join(model.select("term"), "term"), idf, stats).join(model.select("term", "term_index"), "term")
+        w = w.withColumn("weight", F.greatest(F.col("weight"), F.lit(0.0)))
+    return docs, cut_lineage(w.select("doc_id", "term_index", "weight"), "weights")
+
+
+def _test_rows(pred):
+    return pred.filter("fold < 0").select("doc_id", F.col("label").alias("y_true"), "y_pred")
+
+
+# The search grids of bags, sample fractions and model parameters, and how many candidates a run draws.
+NB_GRID = {"bags": [3, 5], "fraction": [0.8, 0.5], "value": [0.0001, 0.001, 0.01, 0.1, 0.5, 1.0]}
+SVM_GRID = {"bags": [3, 5], "fraction": [0.8, 0.5], "value": [0.01, 0.1, 1.0, 10.0]}
+DRAWN = 2
+
+
+def _records(spark, algorithm, records, best):
+    rows = [(algorithm, "TFIDF", r["bags"], r["fraction"], float(r["alpha" if algorithm == "NB" else "C"]), round(r["mean"], 6), round(r["std"], 6),
+             r["candidate"] == best["candidate"]) for r in records]
+    return spark.createDataFrame(rows, "algorithm string, feature string, bags int, fraction double, value double, cv_mean double, "
+                                       "cv_std double, winner boolean")
+
+
+@query("nb_search", None, ops=("ML-02", "ML-03", "ML-05", "ML-10", "WIN-07"))
 def nb_search(spark, sf):
-    """Randomized search over the multinomial NB smoothing grid on stratified folds; candidates table."""
-    train, test, _ = vector_table(spark, sf)
-    nb = NaiveBayes(modelType="multinomial", featuresCol="features", labelCol="label")
-    grid = ParamGridBuilder().addGrid(nb.smoothing, [0.01, 0.1, 0.5, 1.0, 2.0]).build()
-    best, res = mo.randomized_search(nb, grid, 3, train, seed=SEED)
-    rows = [("NB", "TFIDF", p, round(m, 6), round(s, 6)) for p, m, s in res]
-    return spark.createDataFrame(rows, "algorithm string, feature string, params string, cv_mean double, cv_std double")
+    """The whole grid for one-vs-rest balanced bags of multinomial NB on five stratified folds, from one training pass a sample fraction."""
+    docs, w = labelled_weights(spark, sf)
+    best, records, _ = ovr.search(w, docs, "NB", NB_GRID, seed=SEED)
+    return _records(spark, "NB", records, best)
+
+
+@query("svm_search", None, ops=("ML-02", "ML-03", "ML-06", "ML-10"))
+def svm_search(spark, sf, n=DRAWN):
+    """Randomized search (``n`` candidates of the grid; None: all) over one-vs-rest balanced bags of calibrated linear SVMs."""
+    docs, w = labelled_weights(spark, sf)
+    best, records, _ = ovr.search(w, docs, "SVM", SVM_GRID, n, seed=SEED, max_iter=20)
+    return _records(spark, "SVM", records, best)
 
 
 @query("svm_calibrated", None, ops=("ML-06", "ML-02", "ML-03", "ML-14"))
 def svm_calibrated(spark, sf):
-    """One-vs-rest balanced bagging of linear SVMs with sigmoid-calibrated margins."""
-    train, test, _ = vector_table(spark, sf)
-    classes = sorted(r.label for r in train.select("label").distinct().collect())
-    models = mo.fit_ovr_bagging(train, classes, lambda: mo.calibrated_svm_factory(0.01, 30), label_col="label",
-                                n_bags=2, fraction=0.6, seed=SEED)
-    probs = mo.predict_ovr(models, test)
-    pred = mo.argmax(probs).join(test.select("doc_id", F.col("label").alias("y_true")), "doc_id")
-    return _summary_with(pred, algorithm="SVM", feature="TFIDF")
+    """One-vs-rest balanced bagging of linear SVMs, each with sigmoids fitted on margins of five held-out inner folds."""
+    docs, w = labelled_weights(spark, sf)
+    _, _, pred = ovr.search(w, docs, "SVM", {"bags": [3], "fraction": [0.6], "value": [1.0]}, folds=0, seed=SEED)
+    return _summary_with(_test_rows(pred), algorithm="SVM", feature="TFIDF")
 
 
 @query("balanced_bagging", None, ops=("ML-02", "ML-03", "ML-11"))
 def balanced_bagging(spark, sf):
     """Untuned training: one-vs-rest balanced bagging of multinomial NB (3 bags, 60 % of rows)."""
-    train, test, _ = vector_table(spark, sf)
-    classes = sorted(r.label for r in train.select("label").distinct().collect())
-    factory = lambda: NaiveBayes(modelType="multinomial", smoothing=1.0, featuresCol="features", labelCol="label")
-    models = mo.fit_ovr_bagging(train, classes, factory, label_col="label", n_bags=3, fraction=0.6, seed=SEED)
-    probs = mo.predict_ovr(models, test)
-    pred = mo.argmax(probs).join(test.select("doc_id", F.col("label").alias("y_true")), "doc_id")
-    return _summary_with(pred, algorithm="NB", feature="TFIDF")
+    docs, w = labelled_weights(spark, sf)
+    _, _, pred = ovr.search(w, docs, "NB", {"bags": [3], "fraction": [0.6], "value": [1.0]}, folds=0, seed=SEED)
+    return _summary_with(_test_rows(pred), algorithm="NB", feature="TFIDF")
 
 
 @query("plain_bagging", None, ops=("ML-04", "ML-12", "SNK-04", "JN-13"))
@@ -109,11 +135,18 @@ def plain_bagging(spark, sf):
 
 
 @query("svm_baseline", None, ops=("ML-09", "ML-02"))
-def svm_baseline(spark, sf):
-    """Untuned linear baseline: one-vs-rest SVMs with default parameters (MLlib has no kernel SVM)."""
-    train, test, _ = vector_table(spark, sf)
+def svm_baseline(spark, sf, dimensions: int = 500):
+    """Untuned one-vs-rest SVMs: linear, and rbf by a linear SVM on random Fourier features (kernel width from the variance of the weights)."""
+    train, test, size = vector_table(spark, sf)
     model = OneVsRest(classifier=LinearSVC(maxIter=20), featuresCol="features", labelCol="label").fit(train)
-    return _summary_with(_native_predictions(model, test), algorithm="SVC", feature="TFIDF")
+    out = _summary_with(_native_predictions(model, test), algorithm="SVC", kernel="linear")
+    docs, w = labelled_weights(spark, sf)
+    gamma = kernel.scale_gamma(w, docs.count(), size)
+    matrix = bm.BlockMatrix.build(w, docs.select("doc_id"), dimensions)
+    z = cut_lineage(kernel.fourier_features(matrix, dimensions, gamma, SEED).select("doc_id", array_to_vector("z").alias("features"))
+                    .join(docs, "doc_id"), "fourier")
+    model = OneVsRest(classifier=LinearSVC(maxIter=20), featuresCol="features", labelCol="label").fit(z.filter("fold >= 0"))
+    return out.unionByName(_summary_with(_native_predictions(model, z.filter("fold < 0")), algorithm="SVC", kernel="rbf"))
 
 
 @query("rf_fit", None, ops=("ML-07",))
@@ -125,79 +158,86 @@ def rf_fit(spark, sf):
     return _summary_with(_native_predictions(rf.fit(train), test), algorithm="RF", feature="TFIDF")
 
 
-def lsa(spark, sf, k: int = 20):
-    """LSA: TF-IDF over the whole vocabulary, truncated SVD to ``k`` components, projection X·V."""
+def lsa(spark, sf, k: int = 100):
+    """LSA: TF-IDF over the whole vocabulary, truncated SVD to ``k`` components (100, 250, 500 in use) -> (documents X V, V, singular values)."""
     tf, docs = doc_term_counts(spark, sf)
     model = common.dense_index(fe.fit_tfidf(tf, fe.count_documents(docs), MIN_DF, MAX_DF), "term", "term_index")
-    w = cut_lineage(fe.apply_tfidf(tf, model).join(model.select("term", "term_index"), "term"))
-    v_long, s = ve.truncated_svd(w, "doc_id", "term_index", "weight", model.count(), k)
-    return ve.project(w, v_long), v_long, s
+    w = fe.apply_tfidf(tf, model).join(model.select("term", "term_index"), "term")
+    return _decomposed(w, docs, k)
+
+
+def _decomposed(w, docs, k: int):
+    matrix = bm.BlockMatrix.build(cut_lineage(w.select("doc_id", "term_index", "weight"), "weights"), docs.select("doc_id"), k + 10)
+    v, s = bm.truncated_svd(matrix, k, seed=SEED)
+    return bm.project(matrix, v, len(s)), v, s
 
 
 @query("lsa_topics", None, ops=("FEA-07",))
-def lsa_topics(spark, sf):
-    x, _, _ = lsa(spark, sf)
+def lsa_topics(spark, sf, k: int = 100):
+    x, _, _ = lsa(spark, sf, k)
     return x.select("doc_id", "component", F.round("value", 6).alias("value"))
 
 
+@query("lsa_topics_250", None, ops=("FEA-07",))
+def lsa_topics_250(spark, sf):
+    return lsa_topics(spark, sf, 250)
+
+
 @query("lsi_topics", None, ops=("FEA-10", "FEA-09"))
-def lsi_topics(spark, sf, k: int = 20):
-    """LSI: truncated SVD of the log2 TF-IDF matrix over the whole vocabulary."""
+def lsi_topics(spark, sf, k: int = 200):
+    """LSI: truncated SVD of the log2 TF-IDF matrix over the whole vocabulary to ``k`` topics (200, 300, 350 in use)."""
     tf, docs = doc_term_counts(spark, sf)
-    w = fe.tfidf_log2(docs, tf=tf)
+    w = cut_lineage(fe.tfidf_log2(docs, tf=tf), "weights")
     index = cut_lineage(common.dense_index(w.select("term").distinct(), "term", "term_index"), "terms")
-    w = cut_lineage(w.join(index, "term"), "weights")
-    v, _ = ve.truncated_svd(w, "doc_id", "term_index", "weight", index.count(), k)
-    return ve.project(w, v).select("doc_id", "component", F.round("value", 6).alias("value"))
+    x, _, _ = _decomposed(w.join(index, "term"), docs, k)
+    return x.select("doc_id", "component", F.round("value", 6).alias("value"))
 
 
 @query("lsa_gram", None, ops=("FEA-07",))
-def lsa_gram(spark, sf):
-    """Vᵀ V over the fitted components (identity up to rounding): a sign-free check of the SVD."""
-    _, v, _ = lsa(spark, sf)
-    a, b = v.alias("a"), v.alias("b")
-    g = a.join(b, F.col("a.term_index") == F.col("b.term_index"))
-    return g.groupBy(F.col("a.component").alias("i"), F.col("b.component").alias("j")).agg(
-        F.round(F.sum(F.col("a.value") * F.col("b.value")), 6).alias("value"))
+def lsa_gram(spark, sf, k: int = 100):
+    """V'V over the fitted components (identity up to rounding): a sign-free check of the SVD."""
+    _, v, s = lsa(spark, sf, k)
+    g = bm.gram(v, len(s))
+    rows = [(i, j, round(float(g[i, j]), 6) + 0.0) for i in range(len(s)) for j in range(len(s))]
+    return spark.createDataFrame(rows, "i int, j int, value double")
+
+
+# The grid of the perceptron search.
+MLP_GRID = {"hidden": [(10, 10), (10, 5, 10)], "activation": ["identity", "logistic", "tanh", "relu"], "solver": ["sgd", "adam", "lbfgs"],
+            "alpha": [0.001, 0.01, 0.05, 0.1], "learning_rate": ["constant", "adaptive", "invscaling"], "max_iter": [200, 300, 400]}
 
 
 @query("mlp_fit", None, ops=("ML-08", "FEA-11"))
-def mlp_fit(spark, sf):
-    """Perceptron on min-max scaled LSA features (MLlib has no activation / L2 / early-stopping knobs)."""
+def mlp_fit(spark, sf, n=DRAWN, epochs: int = 25):
+    """Randomized search (``n`` candidates of the grid, at most ``epochs`` epochs each, early stop on a held-out fold) over perceptrons on min-max scaled LSA
+    features of 100 components; the metrics of every candidate on the test rows."""
     x, _, s = lsa(spark, sf)
-    x = fe.minmax_scale(x, "component")
-    dense = ve.long_to_dense(x, "doc_id", "component", "value")
-    docs = processed_docs(spark, sf).select("doc_id", "lang")
-    labels = common.dense_index(docs.select("lang").distinct(), "lang", "label", prefix_len=1)
-    d = sa.split_train_test(docs, "lang", "doc_id", 0.8, SEED).join(labels, "lang").join(dense, "doc_id")
-    d = d.withColumn("label", F.col("label").cast("double"))
-    n_in = len(s)
-    n_out = labels.count()
-    mlp = MultilayerPerceptronClassifier(layers=[n_in, 32, n_out], maxIter=100, stepSize=0.03, seed=SEED,
-                                         featuresCol="features", labelCol="label")
-    m = mlp.fit(d.filter(F.col("split") == "train"))
-    return _summary_with(_native_predictions(m, d.filter(F.col("split") == "test")), algorithm="MLP", feature="LSA")
+    dense = (fe.minmax_scale(x, "component").groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("component", "value"))).alias("e"))
+             .select("doc_id", F.col("e.value").alias("x")))
+    docs, _ = labelled_weights(spark, sf)
+    rows = cut_lineage(docs.join(dense, "doc_id").withColumn("held", F.col("fold") == 4), "perceptron-rows")
+    grid = mlp.sample_grid(MLP_GRID, n, SEED)
+    classes = int(rows.agg(F.max("label")).first()[0]) + 1
+    cands = mlp.train(rows.filter("fold >= 0"), grid, len(s), classes, epochs=epochs, batches=2, rate=0.01, seed=SEED)
+    out, test = None, rows.filter("fold < 0")
+    for c in cands:
+        pred = mlp.predict(test, c).join(test.select("doc_id", F.col("label").alias("y_true")), "doc_id").select("doc_id", "y_true", "y_pred")
+        text = ", ".join(f"{k}={v}" for k, v in c.params.items())
+        row = _summary_with(pred, algorithm="MLP", feature="LSA", params=text).withColumn("validation", F.lit(round(c.best_score, 6)))
+        out = row if out is None else out.unionByName(row)
+    return out
 
 
 @query("transfer_best", None, ops=("ML-19", "ML-18", "FEA-06"))
 def transfer_best(spark, sf):
-    """Best NB smoothing from the TF-IDF search re-used on BM25 features (negative weights clipped, Q6)."""
-    train, test, size, (d, tf, model) = vector_table(spark, sf, with_corpus=True)
-    nb = NaiveBayes(modelType="multinomial", featuresCol="features", labelCol="label")
-    grid = ParamGridBuilder().addGrid(nb.smoothing, [0.1, 1.0]).build()
-    best, _ = mo.randomized_search(nb, grid, 2, train, seed=SEED)
-    alpha = best.getOrDefault("smoothing")
-    out = _summary_with(_native_predictions(best, test), algorithm="NB", feature="TFIDF")
-    n = fe.count_documents(d)
-    idf, stats = fe.fit_bm25(tf, n, model)
-    w = fe.apply_bm25(tf.join(model.select("term"), "term"), idf, stats).join(model.select("term", "term_index"), "term")
-    w = w.withColumn("weight", F.greatest(F.col("weight"), F.lit(0.0)))
-    vec = ve.long_to_sparse(w, "doc_id", "term_index", "weight", size)
-    t = d.join(vec, "doc_id")
-    m = NaiveBayes(modelType="multinomial", smoothing=alpha, featuresCol="features", labelCol="label").fit(
-        t.filter(F.col("split") == "train"))
-    bm = _summary_with(_native_predictions(m, t.filter(F.col("split") == "test")), algorithm="NB", feature="BM25")
-    return out.unionByName(bm)
+    """Bags, sample fraction and smoothing of the best NB on TF-IDF, carried to BM25 weights (negative ones clipped, Q6)."""
+    docs, w = labelled_weights(spark, sf)
+    best, _, pred = ovr.search(w, docs, "NB", NB_GRID, seed=SEED)
+    out = _summary_with(_test_rows(pred), algorithm="NB", feature="TFIDF")
+    docs, w = labelled_weights(spark, sf, bm25=True)
+    grid = {"bags": [best["bags"]], "fraction": [best["fraction"]], "value": [best["alpha"]]}
+    _, _, pred = ovr.search(w, docs, "NB", grid, folds=0, seed=SEED)
+    return out.unionByName(_summary_with(_test_rows(pred), algorithm="NB", feature="BM25"))
 
 
 @query("sample_size_study", None, ops=("ML-22", "AGG-19", "WIN-02"))

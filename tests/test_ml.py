@@ -20,4 +20,9 @@ def test_lsa_components_orthonormal(spark):
 
 def test_search_candidates(spark):
     rows = QS["nb_search"](spark, SF_SMALL).collect()
-    assert len(rows) == 3 and all(0.0 <= r.cv_mean <= 1.0 for r in rows)
+    assert len(rows) == 24 and all(0.0 <= r.cv_mean <= 1.0 for r in rows) and sum(r.winner for r in rows) == 1
+    assert next(r for r in rows if r.winner).cv_mean == max(r.cv_mean for r in rows)
+
+
+def test_calibrated_svm_classifies(spark):
+    assert QS["svm_calibrated"](spark, SF_SMALL).first().accuracy > 0.8
