@@ -5,7 +5,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -120,6 +120,24 @@ def chi2_sf(x: float, k: int) -> float:
     return math.exp(-z + a * math.log(z) - math.lgamma(a)) * h
 
 
+def chi2_p_value(statistic, dof) -> Column:
+    """Upper tail of the chi-square distribution as a column, for whole ``dof`` >= 1 (null otherwise): one minus the power series of the regularised lower
+    incomplete gamma function P(dof/2, statistic/2), so exact to about 1e-15 in absolute terms. The gamma function of a half number is a product."""
+    z, k = F.col(statistic).cast("double") / 2, F.col(dof).cast("int")
+    a = k / F.lit(2.0)
+    logs = lambda first, last, plus: F.when(last >= first, F.aggregate(
+        F.sequence(F.greatest(F.lit(0), first), F.greatest(last, first)), F.lit(0.0), lambda s, i: s + F.log(i + F.lit(plus)))).otherwise(0.0)
+    half = F.floor(k / 2).cast("int")
+    log_gamma = F.when(k % 2 == 0, logs(F.lit(1), half, 0.0)).otherwise(F.lit(0.5 * math.log(math.pi)) + logs(F.lit(0), half, 0.5))
+    log_first = a * F.log(z) - z - log_gamma
+    first = F.exp(log_first)
+    terms = F.sequence(F.lit(1), F.ceil(z + 12 * F.sqrt(z + 1) + 100).cast("int"))
+    series = F.aggregate(terms, F.struct(first.alias("t"), first.alias("s")), lambda x, i: F.struct(
+        (x.t * z / (a + i)).alias("t"), (x.s + x.t * z / (a + i)).alias("s")), lambda x: x.s)
+    p = F.when(z <= 0, 1.0).when(log_first < -700, F.when(z > a, 0.0).otherwise(1.0)).otherwise(F.greatest(F.lit(0.0), 1.0 - series))
+    return F.when(k >= 1, p)
+
+
 def top_k(probs: DataFrame, id_col: str, class_col: str, prob_col: str, k: int) -> DataFrame:
     """Top-k classes per row by probability, ties by class (WIN-05). A row's group holds one entry per
     class, so the window per id is bounded by the number of classes."""

@@ -287,6 +287,28 @@ def chi_square_drift(spark, sf):
     return r.select(F.round("statistic", 6).alias("statistic"), F.col("dof").cast("long"))
 
 
+@query("chi_square_test", """
+WITH d AS (SELECT lang, CAST(substr(source, 4) AS INTEGER) >= 10 AS late FROM documents),
+e AS (SELECT lang, count(*) AS expected FROM d WHERE NOT late GROUP BY lang),
+o AS (SELECT lang, count(*) AS observed FROM d WHERE late GROUP BY lang),
+j AS (SELECT coalesce(observed, 0) AS obs, expected FROM o FULL JOIN e USING (lang)),
+s AS (SELECT coalesce(sum((obs - expected) * (obs - expected) / expected) FILTER (WHERE expected > 0), 0) AS x2, count(*) - 1 AS dof,
+             count(*) FILTER (WHERE coalesce(expected, 0) = 0) AS n_without_expected FROM j)
+SELECT round(x2, 6) AS statistic, dof, n_without_expected,
+       CASE WHEN x2 <= 0 THEN 1 ELSE round(greatest(0, 1 - list_sum(list_transform(range(0, CAST(x2 AS BIGINT) + 400),
+            lambda n: exp((dof / 2 + n) * ln(x2 / 2) - x2 / 2 - lgamma(dof / 2 + n + 1))))), 9) END AS p_value
+FROM s
+""", ops=("AGG-16", "NUM-01"))
+def chi_square_test(spark, sf):
+    """The drift test with its p-value and the number of classes that no expected value is known for."""
+    d = table(spark, sf, "documents").select("lang", (F.substring("source", 4, 10).try_cast("int") >= 10).alias("late"))
+    both = d.groupBy("lang").agg(F.count_if(~F.col("late")).alias("expected"), F.count_if("late").alias("observed"))
+    missing = both.agg(F.count_if(F.col("expected") == 0).alias("n_without_expected"))
+    r = an.chi_square(both).crossJoin(missing).withColumn("x2", F.coalesce("statistic", F.lit(0.0)))
+    return r.select(F.round("x2", 6).alias("statistic"), F.col("dof").cast("long"), "n_without_expected",
+                    F.round(an.chi2_p_value("x2", "dof"), 9).alias("p_value"))
+
+
 @query("distinct_sources", "SELECT DISTINCT source FROM documents", ops=("AGG-18", "SET-02"))
 def distinct_sources(spark, sf):
     return table(spark, sf, "documents").select("source").distinct()

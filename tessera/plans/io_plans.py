@@ -123,3 +123,29 @@ def selection_sheet(spark, sf):
     p = table(spark, sf, "part")
     return corpus.selection_sheet(p, ["p_partkey", "p_name", "p_brand", "p_size", "p_type"], "p_type", "PROMO",
                                   "p_partkey").drop("p_type")
+
+
+@query("federated_scan", """
+SELECT source AS region, 'ok' AS outcome, count(*) AS n_rows FROM documents GROUP BY source
+UNION ALL SELECT 'broken', 'failed', 0 UNION ALL SELECT 'nowhere', 'failed', 0
+""", ops=("SRC-06", "SRC-02", "SET-01"))
+def federated_scan(spark, sf):
+    """One store a region, of which one holds a file that is no table and one is absent: each is read by itself, the status says what became of it."""
+    path = _out(spark, "regions")
+    table(spark, sf, "documents").write.partitionBy("source").parquet(path)
+    spark.range(1).select(F.lit("no table").alias("x")).write.text(f"{path}/source=broken")
+    regions = [r.source for r in table(spark, sf, "documents").select("source").distinct().collect()]
+    _, status = corpus.read_regions(spark, {r: (lambda s, r=r: s.read.parquet(f"{path}/source={r}")) for r in [*regions, "broken", "nowhere"]})
+    return status.select("region", "outcome", "n_rows")
+
+
+@query("report_append", """
+SELECT run, lang, count(*) AS n, CAST(sum(n_chars) AS BIGINT) AS chars FROM documents, (VALUES ('r1'), ('r2')) AS t(run) GROUP BY run, lang
+""", ops=("SNK-02", "AGG-01"))
+def report_append(spark, sf):
+    """The per-class report appended by two runs, the first of which is repeated as after a crash: one copy of each."""
+    report = table(spark, sf, "documents").groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.sum("n_chars").alias("chars"))
+    path = _out(spark, "report")
+    for run in ("r1", "r2", "r1"):
+        sinks.append_run(report, path, run)
+    return sinks.read_runs(spark, path, "lang string, n long, chars long")

@@ -3,13 +3,16 @@ classes), text features from the same normalisation as the text layer (ML-02..12
 
 from __future__ import annotations
 
+import uuid
+
+from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LinearSVC, NaiveBayes, OneVsRest, RandomForestClassifier
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
 from ..operators import (blockmatrix as bm, common, features as fe, kernel, metrics as me, mlp, models as mo, ovr,
-                         sampling as sa, vectors as ve)
-from ..session import cut_lineage
+                         sampling as sa, stages, vectors as ve)
+from ..session import cut_lineage, ensure_checkpoint_dir
 from .registry import query
 from .text_plans import MAX_DF, MIN_DF, doc_term_counts, processed_docs
 
@@ -257,3 +260,17 @@ def sample_size_study(spark, sf):
         r = _summary_with(pred, algorithm="NB", feature="TFIDF").withColumn("n_per_class", F.lit(n))
         out = r if out is None else out.unionByName(r)
     return out.orderBy("n_per_class")
+
+
+@query("stored_pipeline", None, ops=("SNK-06", "UDF-02", "FEA-02", "FEA-07", "ML-03", "ML-12"))
+def stored_pipeline(spark, sf):
+    """TF-IDF, LSA and a one-vs-rest bag fitted as one pipeline, stored, loaded again and applied to the test rows by the loaded one."""
+    docs = processed_docs(spark, sf, materialize=True).select("doc_id", "lang", "tokens")
+    labels = common.dense_index(docs.select("lang").distinct(), "lang", "label", prefix_len=1)
+    d = cut_lineage(sa.split_train_test(docs, "lang", "doc_id", 0.8, SEED).join(labels, "lang"), "split")
+    pipeline = Pipeline(stages=[stages.TextWeights(minDF=MIN_DF, maxDF=MAX_DF), stages.Lsa(k=20), stages.BaggedNaiveBayes()])
+    path = f"{ensure_checkpoint_dir(spark)}/models/{uuid.uuid4().hex}"
+    pipeline.fit(d.filter(F.col("split") == "train")).write().save(path)
+    out = PipelineModel.load(path).transform(d.filter(F.col("split") == "test"))
+    return out.select("doc_id", F.col("label").cast("int").alias("y_true"), F.col("prediction").alias("y_pred"),
+                      F.round(F.array_max("probabilities"), 6).alias("prob"), F.size("components").alias("n_components"))

@@ -23,3 +23,16 @@ def incremental_feed(spark, sf):
     inc.run_feed(spark, sf, schema, paths, STOP, glob="documents.parquet")
     inc.run_feed(spark, sf, schema, paths, STOP, glob="documents.parquet")
     return spark.read.parquet(paths["out"]).select("doc_id", "source", "n_tokens")
+
+
+@query("extraction_log", """
+SELECT doc_id, CASE WHEN text IS NULL THEN 'N' ELSE 'S' END AS in_sucesso, CASE WHEN text IS NULL THEN 'no text' END AS ds_erro,
+       CASE WHEN contains(coalesce(text, ''), '<') THEN 'HTML' ELSE 'PDF' END AS cd_tipo_documento, true AS valid
+FROM documents
+""", ops=("STM-02",))
+def extraction_log(spark, sf):
+    """The feed's log after a run and a repeated one: outcome, error and type of every document, and whether the row keeps the log's rules."""
+    paths = inc.feed_paths(spark)
+    for _ in range(2):
+        inc.run_feed(spark, sf, table(spark, sf, "documents").schema, paths, STOP, glob="documents.parquet")
+    return inc.checked_log(spark.read.parquet(paths["log"])).select("doc_id", "in_sucesso", "ds_erro", "cd_tipo_documento", "valid")

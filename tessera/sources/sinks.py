@@ -7,7 +7,7 @@ import re
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, FloatType
+from pyspark.sql.types import DoubleType, FloatType, StringType, StructField, StructType
 
 
 def write_overwrite(df: DataFrame, path: str, partition_by=("region",), fmt: str = "parquet", **opts) -> None:
@@ -23,6 +23,21 @@ def append(df: DataFrame, path: str, fmt: str = "parquet", **opts) -> None:
     df.write.mode("append").format(fmt).options(**opts).save(path)
 
 
+def append_run(df: DataFrame, path: str, run: str) -> None:
+    """Append the rows of one run (SNK-02): CSV in a folder of the run's own, which a retry replaces, so a run is never there twice. The
+    column names are written once, in ``header``."""
+    df.write.mode("overwrite").option("header", False).option("quoteAll", True).option("emptyValue", "").csv(f"{path.rstrip('/')}/rows/run={run}")
+    names = df.sparkSession.createDataFrame([(",".join(df.columns),)], "names string")
+    names.coalesce(1).write.mode("ignore").text(f"{path.rstrip('/')}/header")
+
+
+def read_runs(spark, path: str, schema: str) -> DataFrame:
+    """All runs with their key, columns bound in the order of the header."""
+    names = spark.read.text(f"{path.rstrip('/')}/header").first()[0].split(",")
+    fields = {f.name: f for f in StructType.fromDDL(schema)}
+    return spark.read.schema(StructType([*[fields[n] for n in names], StructField("run", StringType())])).csv(f"{path.rstrip('/')}/rows")
+
+
 def clean_columns(df: DataFrame) -> DataFrame:
     """Spaces (and other non-identifier characters) in column names become '_' (SNK-03)."""
     return df.toDF(*[re.sub(r"\W", "_", c.strip()) for c in df.columns])

@@ -78,3 +78,10 @@ def run_feed(spark: SparkSession, source_dir: str, schema, paths: dict, stopword
     q = (stream.writeStream.foreachBatch(lambda df, bid: process_batch(df, bid, paths, stopwords))
          .option("checkpointLocation", paths["checkpoint"]).trigger(availableNow=True).start())
     q.awaitTermination()
+
+
+def checked_log(log: DataFrame) -> DataFrame:
+    """The log with ``valid``: outcome S or N, an error exactly where it is N, a known type, a time and a duration that is not negative."""
+    ok = (F.col("in_sucesso").isin("S", "N") & ((F.col("in_sucesso") == "N") == F.col("ds_erro").isNotNull())
+          & F.col("cd_tipo_documento").isin(*LOG_TYPES) & F.col("dh_processamento").isNotNull() & (F.col("duration_us") >= 0))
+    return log.withColumn("valid", F.coalesce(ok, F.lit(False)))

@@ -53,3 +53,15 @@ def test_top_k(spark):
     rows = [(1, c, p) for c, p in [("a", .1), ("b", .5), ("c", .4)]]
     t = an.top_k(spark.createDataFrame(rows, "id long, class string, prob double"), "id", "class", "prob", 2)
     assert [r["class"] for r in t.orderBy("rank").collect()] == ["b", "c"]
+
+
+def test_p_values_of_the_published_tests(spark):
+    """Statistics and p-values of three published comparisons of 37 classes, and the textbook tail for other degrees."""
+    rows = [(107.0515, 36), (29.6340, 36), (49.0815, 36), (3.841458820694124, 1), (0.0, 4), (5000.0, 3), (2.0, 0)]
+    got = [r.p for r in spark.createDataFrame(rows, "x double, k int").select(an.chi2_p_value("x", "k").alias("p")).collect()]
+    assert abs(got[0] - 5.6e-9) < 1e-10 and abs(got[1] - 0.764) < 1e-3 and abs(got[2] - 0.0717) < 1e-4
+    assert abs(got[3] - 0.05) < 1e-12 and got[4] == 1.0 and got[5] == 0.0 and got[6] is None
+    for x in (0.3, 2.0, 11.0, 40.0):
+        for k in (1, 2, 3, 8, 25):
+            p = spark.createDataFrame([(x, k)], "x double, k int").select(an.chi2_p_value("x", "k")).first()[0]
+            assert abs(p - an.chi2_sf(x, k)) < 1e-12

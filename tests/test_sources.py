@@ -104,3 +104,35 @@ def test_no_machine_local_scratch_on_a_cluster():
     spark = SimpleNamespace(conf=conf, sparkContext=SimpleNamespace(getConf=lambda: conf, master="spark://host:7077"))
     with pytest.raises(RuntimeError):
         ensure_checkpoint_dir(spark)
+
+
+def test_a_failing_region_gets_a_status_row(spark, tmpdir_path):
+    for r in ("a", "b"):
+        spark.range(3 if r == "a" else 0).write.parquet(f"{tmpdir_path}/{r}")
+    os.makedirs(f"{tmpdir_path}/c")
+    with open(f"{tmpdir_path}/c/part.parquet", "w") as f:
+        f.write("not a table")
+    tried = []
+
+    def flaky(s):
+        tried.append(1)
+        if len(tried) == 1:
+            raise OSError("connection lost\nand more")
+        return s.range(2)
+    readers = {r: (lambda s, r=r: s.read.schema("id long").parquet(f"{tmpdir_path}/{r}")) for r in ("a", "b", "c", "missing")} | {"flaky": flaky}
+    rows, status = corpus.read_regions(spark, readers, retries=1)
+    got = {r.region: r for r in status.collect()}
+    assert {k: (v.outcome, v.n_rows, v.attempts) for k, v in got.items()} == {
+        "a": ("ok", 3, 1), "b": ("empty", 0, 1), "c": ("failed", 0, 2), "missing": ("failed", 0, 2), "flaky": ("ok", 2, 2)}
+    assert got["c"].error and got["missing"].error and got["a"].error is None and all(r.seconds >= 0 for r in got.values())
+    assert sorted((r.region, r.id) for r in rows.collect()) == [("a", 0), ("a", 1), ("a", 2), ("flaky", 0), ("flaky", 1)]
+
+
+def test_a_repeated_run_leaves_one_copy(spark, tmpdir_path):
+    out = f"{tmpdir_path}/log"
+    first, second = (spark.createDataFrame(x, "model string, score double") for x in ([("nb, \"x\"", 0.5), ("", 1.0)], [("svm", 0.25)]))
+    for df, run in ((first, "1"), (second, "2"), (first, "1")):
+        sinks.append_run(df, out, run)
+    rows = sinks.read_runs(spark, out, "score double, model string")
+    assert sorted((r.run, r.model or "", r.score) for r in rows.collect()) == [("1", "", 1.0), ("1", "nb, \"x\"", 0.5), ("2", "svm", 0.25)]
+    assert spark.read.text(f"{out}/header").count() == 1
