@@ -3,6 +3,8 @@ classes), text features from the same normalisation as the text layer (ML-02..12
 
 from __future__ import annotations
 
+import functools
+import time
 import uuid
 
 from pyspark.ml import Pipeline, PipelineModel
@@ -11,7 +13,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
 from ..operators import (blockmatrix as bm, common, features as fe, kernel, metrics as me, mlp, models as mo, ovr,
-                         sampling as sa, stages, vectors as ve)
+                         records as rec, sampling as sa, stages, vectors as ve)
 from ..session import cut_lineage, ensure_checkpoint_dir
 from .registry import query
 from .text_plans import MAX_DF, MIN_DF, doc_term_counts, processed_docs
@@ -104,7 +106,7 @@ def nb_search(spark, sf):
 def svm_search(spark, sf, n=DRAWN):
     """Randomized search (``n`` candidates of the grid; None: all) over one-vs-rest balanced bags of calibrated linear SVMs."""
     docs, w = labelled_weights(spark, sf)
-    best, records, _ = ovr.search(w, docs, "SVM", SVM_GRID, n, seed=SEED, max_iter=20)
+    best, records, _ = ovr.search(w, docs, "SVM", SVM_GRID, n, seed=SEED, max_iter=10)
     return _records(spark, "SVM", records, best)
 
 
@@ -112,7 +114,7 @@ def svm_search(spark, sf, n=DRAWN):
 def svm_calibrated(spark, sf):
     """One-vs-rest balanced bagging of linear SVMs, each with sigmoids fitted on margins of five held-out inner folds."""
     docs, w = labelled_weights(spark, sf)
-    _, _, pred = ovr.search(w, docs, "SVM", {"bags": [3], "fraction": [0.6], "value": [1.0]}, folds=0, seed=SEED)
+    _, _, pred = ovr.search(w, docs, "SVM", {"bags": [3], "fraction": [0.6], "value": [1.0]}, folds=0, seed=SEED, max_iter=15)
     return _summary_with(_test_rows(pred), algorithm="SVM", feature="TFIDF")
 
 
@@ -274,3 +276,30 @@ def stored_pipeline(spark, sf):
     out = PipelineModel.load(path).transform(d.filter(F.col("split") == "test"))
     return out.select("doc_id", F.col("label").cast("int").alias("y_true"), F.col("prediction").alias("y_pred"),
                       F.round(F.array_max("probabilities"), 6).alias("prob"), F.size("components").alias("n_components"))
+
+
+def feature_weights(spark, sf, feature: str):
+    """(documents with label and fold, entries) of a feature: TFIDF, BM25, or LSA / LSI with a number of components, min-max scaled to [0, 1]."""
+    if feature in ("TFIDF", "BM25"):
+        return labelled_weights(spark, sf, bm25=feature == "BM25")
+    docs, _ = labelled_weights(spark, sf)
+    x = (lsa(spark, sf, int(feature[3:]))[0] if feature.startswith("LSA") else lsi_topics(spark, sf, int(feature[3:])))
+    x = fe.minmax_scale(x.select("doc_id", "component", "value"), "component")
+    return docs, cut_lineage(x.filter("value <> 0").select("doc_id", F.col("component").alias("term_index"), F.col("value").alias("weight")), "weights")
+
+
+def plan_records(spark, sf, algorithms: tuple = ("NB",)):
+    """Each algorithm searched on TF-IDF, its best parameters carried to BM25, LSA100 and LSI250. ``algorithms`` may hold SVM too, whose search draws
+    one candidate."""
+    searches = [s for s in (("NB", "TFIDF", NB_GRID, None), ("SVM", "TFIDF", SVM_GRID, 1)) if s[0] in algorithms]
+    data = functools.cache(lambda feature: feature_weights(spark, sf, feature))
+    return cut_lineage(rec.run_plan(spark, searches, ["BM25", "LSA100", "LSI250"], data, uuid.uuid4().hex, time.strftime("%d/%m/%Y %H:%M:%S"), SEED,
+                                    max_iter=10), "records")
+
+
+@query("model_records", None, ops=("ML-18", "ML-19", "ML-23", "ML-10"))
+def model_records(spark, sf):
+    """The 22-field record of every model of the plan, with the metrics it wins."""
+    records = plan_records(spark, sf)
+    won = rec.winners(records).groupBy("nome").agg(F.array_join(F.array_sort(F.collect_list("metric")), ",").alias("wins"))
+    return records.join(won, "nome", "left").select(*rec.FIELDS, F.coalesce("wins", F.lit("")).alias("wins"))
