@@ -149,3 +149,42 @@ def report_append(spark, sf):
     for run in ("r1", "r2", "r1"):
         sinks.append_run(report, path, run)
     return sinks.read_runs(spark, path, "lang string, n long, chars long")
+
+
+@query("hierarchy_lookup", """
+SELECT c_nationkey AS cd_assunto_nivel_1, c_custkey AS cd_assunto_nivel_2, CASE WHEN c_custkey % 2 = 0 THEN c_custkey ELSE 0 END AS cd_assunto_nivel_3,
+       0 AS cd_assunto_nivel_4, 0 AS cd_assunto_nivel_5 FROM customer
+""", ops=("SRC-08",))
+def hierarchy_lookup(spark, sf):
+    """The lookup table of five levels read from CSV: levels that a code does not have become 0."""
+    c = table(spark, sf, "customer")
+    none = F.lit(None).cast("long")
+    levels = [F.col("c_nationkey"), F.col("c_custkey"), F.when(F.col("c_custkey") % 2 == 0, F.col("c_custkey")), none, none]
+    path = _out(spark, "hierarchy")
+    c.select(*[x.alias(f"cd_assunto_nivel_{i + 1}") for i, x in enumerate(levels)]).write.option("header", True).csv(path)
+    return corpus.read_hierarchy_lookup(spark, path)
+
+
+@query("table_load", """
+SELECT o_orderkey AS "order_key", o_orderstatus AS "status_of_order", CAST(o_totalprice AS DOUBLE) AS "total_price" FROM orders
+""", ops=("SNK-03", "PRJ-02"))
+def table_load(spark, sf):
+    """Orders under names with blanks loaded twice into a new table, which then holds them once under clean names."""
+    o = table(spark, sf, "orders").select(F.col("o_orderkey").alias("order key"), F.col("o_orderstatus").alias("status of order"),
+                                          F.col("o_totalprice").cast("double").alias("total price"))
+    name = f"load_{uuid.uuid4().hex}"
+    path = _out(spark, name)
+    for _ in range(2):
+        sinks.load_table(o, name, path)
+    return spark.table(name)
+
+
+@query("summary_sink", """
+SELECT source, count(*) AS n, round(avg(n_chars), 4) AS mean_chars FROM documents GROUP BY source
+""", ops=("SNK-07", "AGG-01"))
+def summary_sink(spark, sf):
+    """A summary by source written as one CSV file with a header and read back."""
+    s = table(spark, sf, "documents").groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("n_chars"), 4).alias("mean_chars"))
+    path = _out(spark, "summary")
+    sinks.write_summary(s, path)
+    return spark.read.option("header", True).schema("source string, n long, mean_chars double").csv(path)

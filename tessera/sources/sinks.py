@@ -19,7 +19,7 @@ def write_overwrite(df: DataFrame, path: str, partition_by=("region",), fmt: str
 
 
 def append(df: DataFrame, path: str, fmt: str = "parquet", **opts) -> None:
-    """Append rows (metrics, per-class reports) (SNK-02); CSV files each carry their own header."""
+    """Append rows without a key; a retry appends them again, which ``append_run`` does not."""
     df.write.mode("append").format(fmt).options(**opts).save(path)
 
 
@@ -43,9 +43,10 @@ def clean_columns(df: DataFrame) -> DataFrame:
     return df.toDF(*[re.sub(r"\W", "_", c.strip()) for c in df.columns])
 
 
-def load_table(df: DataFrame, name: str) -> None:
-    """Drop-and-create table load (SNK-03)."""
-    clean_columns(df).write.mode("overwrite").saveAsTable(name)
+def load_table(df: DataFrame, name: str, path: str | None = None) -> None:
+    """Drop-and-create table load (SNK-03), in the warehouse or under ``path``."""
+    w = clean_columns(df).write.mode("overwrite")
+    (w.option("path", path) if path else w).saveAsTable(name)
 
 
 def write_predictions(df: DataFrame, path: str, model_col: str = "modelo") -> None:

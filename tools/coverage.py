@@ -18,16 +18,16 @@ LIBRARY = {
     "SRC-03": "sources.corpus.read_processed_corpus",
     "SRC-04": "sources.corpus.read_jdbc_ranges; range_chunk_counts on a DataFrame",
     "SRC-05": "sources.corpus.keyset_batches",
-    "SRC-06": "sources.corpus.union_regions",
+    "SRC-06": "sources.corpus.read_regions",
     "SRC-07": "ordinary joins across sources",
     "SRC-08": "sources.corpus.read_hierarchy_lookup (tests)",
     "SRC-09": "sources.corpus.read_semicolon (golden chi-square test, ragged separator)",
     "SRC-10": "sources.corpus.selection_sheet",
     "SRC-11": "sources.corpus.keyset_batches (tests)",
     "SRC-12": "sources.corpus.flag_write_back (tests)",
-    "SNK-01": "sources.sinks.write_overwrite", "SNK-02": "sources.sinks.append",
+    "SNK-01": "sources.sinks.write_overwrite", "SNK-02": "sources.sinks.append_run",
     "SNK-03": "sources.sinks.clean_columns / load_table", "SNK-04": "sources.sinks.write_predictions",
-    "SNK-05": "sources.sinks.with_decimal_comma / write_locale_csv", "SNK-06": "operators.bm25.BM25Model.save/load; sinks.save_model",
+    "SNK-05": "sources.sinks.with_decimal_comma / write_locale_csv", "SNK-06": "operators.stages (saved PipelineModel)",
     "SNK-07": "sources.sinks.write_summary",
     "PRJ-02": "DataFrame.drop / withColumnRenamed / toDF (bind by name)",
     "JN-13": "join on document id (models.predict_ovr)",
