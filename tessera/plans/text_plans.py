@@ -218,6 +218,30 @@ def tfidf(spark, sf):
     return w.select("doc_id", "term", F.round("weight", 6).alias("weight"))
 
 
+@query("stemmed_band_tfidf", f"""
+WITH doc_tok AS (
+  WITH {sql_doc_tokens().replace("doc_tok", "raw_tok")},
+  pos AS (SELECT doc_id, unnest(tokens) AS token, unnest(range(1, len(tokens) + 1)) AS pos FROM raw_tok),
+  voc AS (SELECT DISTINCT token FROM pos),
+  {_STEM_CTES}
+  SELECT doc_id, list(stem ORDER BY pos) AS tokens FROM pos JOIN {_STEM_LAST} USING (token) GROUP BY doc_id
+  HAVING count(*) > {BAND_LO} AND count(*) < {BAND_HI}),
+{SQL_TFIDF_CORE.format(min_df=MIN_DF, max_df=MAX_DF)}
+SELECT doc_id, term, round(weight, 6) AS weight FROM tfidf
+""", ops=("FLT-03", "STR-06", "STR-09", "FEA-01", "FEA-02"))
+def stemmed_band_tfidf(spark, sf):
+    """The whole preparation in its order: normalise, stem, keep the documents whose processed text is in the length band, TF-IDF over stems."""
+    tf, _ = doc_term_counts(spark, sf)
+    vocab = tf.select(F.col("term").alias("token")).distinct()
+    stems = tf.join(stem_mod.stem_column(vocab, "token", "stem"), F.col("term") == F.col("token")).groupBy("doc_id", "stem").agg(F.sum("tf").alias("tf"))
+    stems = cut_lineage(stems.withColumnRenamed("stem", "term"), "stems")
+    words = stems.groupBy("doc_id").agg(F.sum("tf").alias("words")).filter((F.col("words") > BAND_LO) & (F.col("words") < BAND_HI))
+    words = cut_lineage(words.select("doc_id"), "band")
+    kept = stems.join(words, "doc_id", "left_semi")
+    w = fe.apply_tfidf(kept, fe.fit_tfidf(kept, fe.count_documents(words), MIN_DF, MAX_DF))
+    return w.select("doc_id", "term", F.round("weight", 6).alias("weight"))
+
+
 @query("tfidf_norms", f"""
 WITH {sql_doc_tokens()},
 {SQL_TFIDF_CORE.format(min_df=MIN_DF, max_df=MAX_DF)}
