@@ -7,7 +7,8 @@ is shorter, occur in the document with at most k edits. With 80 bytes and k = 8
 a window of w bytes shares at least ``w - q + 1 - k * q`` of its q-grams with it, on diagonals that differ by
 at most k. So the document's q-grams (q = 8: one 64-bit word each, compared exactly) are looked up among those of
 the items, and hits are counted in overlapping diagonal bands, 2(k + 1) wide and k + 1 apart, so that one band
-holds all hits of a match. Windows that begin within ``SPAN`` bytes are counted together over the stretch they cover; in
+holds all hits of a match. What the bound counts are places of the window, so a place hit on several diagonals of a band counts
+once, and only where as many of them as the bound asks for lie within one window. Windows that begin within ``SPAN`` bytes are counted together over the stretch they cover; in
 bands that reach the bound each of them is counted alone, and those that reach it are verified by banded alignment, with
 free ends in the document, neighbours first by the bytes they share, which can need no more edits than the whole.
 
@@ -84,8 +85,11 @@ class Index:
         self.first = np.append(first, len(codes)).astype(np.int64)
         self.owner, self.at = owner[order], at[order]
         self.bits = min(28, max(16, int(max(1, len(self.codes)) * 64 - 1).bit_length()))
-        self.maybe = np.zeros(1 << self.bits, dtype=bool)
-        self.maybe[self._slot(self.codes)] = True
+        self.maybe = np.zeros(1 << self.bits - 3, dtype=np.uint8)
+        slot = self._slot(self.codes)
+        np.bitwise_or.at(self.maybe, slot >> 3, (1 << (slot & 7)).astype(np.uint8))
+        self.least = int(self.bound[:, 1].min(initial=1 << 20))
+        self.reach = int((self.bound[:, 0] + self.width).max(initial=Q)) - Q
         self.longest = max(map(len, self.short), default=0)
         self.words = max((t.count(b" ") + 1 for t in self.short), default=0)
         self.sizes = np.isin(np.arange(self.longest + 1), list(map(len, self.short)))
@@ -102,15 +106,23 @@ class Index:
         place, code = [], []
         for s in range(0, len(raw) - Q + 1, CHUNK):
             g = grams(raw[s:s + CHUNK + Q - 1])
-            p = np.flatnonzero(self.maybe[self._slot(g)])
+            slot = self._slot(g)
+            p = np.flatnonzero(self.maybe[slot >> 3] >> (slot & 7).astype(np.uint8) & 1)
             if len(p):
                 i = np.searchsorted(self.codes, g[p])
                 ok = self.codes[np.minimum(i, len(self.codes) - 1)] == g[p]
                 place.append(p[ok] + s), code.append(i[ok])
         if not place:
             return np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64)
-        return np.concatenate(place), np.concatenate(code)
-
+        place, code = np.concatenate(place), np.concatenate(code)
+        # a match holds as many hits as the least bound within the bytes it can take
+        run = self.least - 1
+        open_ = np.flatnonzero(place[run:] - place[:len(place) - run] <= self.reach) if run < len(place) else np.empty(0, dtype=np.int64)
+        turn = np.zeros(len(place) + 1, dtype=np.int32)
+        turn[open_] += 1
+        turn[open_ + run + 1] -= 1
+        keep = np.cumsum(turn[:-1]) > 0
+        return place[keep], code[keep]
 
     def whole(self, raw: np.ndarray, joined: bytes):
         """(first byte, byte after the last, item) wherever a short item stands as whole words."""
@@ -183,6 +195,19 @@ def _aligned(index: Index, clean: list[bytes], begin: np.ndarray, cases: list[tu
             yield case, d, y
 
 
+def _bands(index: Index, key: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The bands, of hits sorted by band and place in the stretch, in which some window's length holds the bound's number of places."""
+    new = np.ones(len(key), dtype=bool)
+    new[1:] = (key[1:] != key[:-1]) | (at[1:] != at[:-1])
+    key, at = key[new], at[new]
+    owner = key >> 40
+    other = np.arange(len(key)) + index.bound[owner, 1] - 1
+    ok = np.flatnonzero(other < len(key))
+    other = other[ok]
+    ok = ok[(key[other] == key[ok]) & (at[other] - at[ok] <= np.array(index.width, dtype=np.int64)[owner[ok]] - Q)]
+    return np.unique(key[ok])
+
+
 def find(index: Index, texts: list[bytes]) -> list[list[tuple]]:
     """For each text its leaks (item, windows found, windows, edits, first byte, last byte)."""
     out: list[dict] = [{} for _ in texts]
@@ -220,15 +245,14 @@ def find(index: Index, texts: list[bytes]) -> list[list[tuple]]:
     key = np.concatenate((key[here], key[also] - 1))
     order = np.lexsort((at[hit], key))
     hit, key = hit[order], key[order]
-    key, first, count = np.unique(key, return_index=True, return_counts=True)
-    owner = key >> 40
-    enough = count >= index.bound[owner, 1]
+    bands = _bands(index, key, at[hit])
+    owner, first, last = bands >> 40, np.searchsorted(key, bands), np.searchsorted(key, bands, side="right")
     cases = []
-    for o, band, f, c in zip(owner[enough].tolist(), (key[enough] & ((1 << 40) - 1)).tolist(), first[enough].tolist(), count[enough].tolist()):
+    for o, band, f, c in zip(owner.tolist(), (bands & ((1 << 40) - 1)).tolist(), first.tolist(), (last - first).tolist()):
         k, least = index.bound[o].tolist()
         lo, size, text, mine = band * (k + 1) - LEAD, index.width[o], index.text[o], hit[f:f + c]
         x = index.starts[o]
-        a = at[mine]
+        a = np.unique(at[mine])
         x = x[np.searchsorted(a, x + size - Q + 1) - np.searchsorted(a, x) >= least]
         if not len(x):
             continue
