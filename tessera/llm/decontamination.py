@@ -12,10 +12,11 @@ once, and only where as many of them as the bound asks for lie within one window
 bands that reach the bound each of them is counted alone, and those that reach it are verified by banded alignment, with
 free ends in the document, neighbours first by the bytes they share, which can need no more edits than the whole.
 
-An item shorter than ``min_bytes`` when normalised is found where its normalised text stands, unchanged, as whole words.
+From ``min_bytes`` = 16 bytes on the bound is at least one, so an item of that size is searched with its edits like any window. A
+shorter one is found where its normalised text stands, unchanged, as whole words.
 
 The documents are never shuffled: a block of the benchmark's windows, at most ``block_bytes`` of text by a size check, is
-broadcast; a larger benchmark is taken block by block over the documents, a stated query set against all rows.
+broadcast (its index takes some 60 bytes a byte of it, 256 MB at most, in each Python worker); a larger benchmark is taken block by block over the documents, a stated query set against all rows.
 
 Edge cases: a null or empty text leaks nothing; an item that is null, or empty when normalised, is never found; repeated items are each reported; repeated documents each get their leaks; an empty table on
 either side gives no leaks; other columns of the documents are passed through.
@@ -282,8 +283,8 @@ def find(index: Index, texts: list[bytes]) -> list[list[tuple]]:
     return [[(index.ids[i], len(v[0]), index.of[i], v[1], v[2], v[3]) for i, v in sorted(x.items())] for x in out]
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, window: int = 80, step: int = 1, rate: float = 0.1, min_bytes: int = 32,
-          text_col: str = "text", item_col: str = "item_id", item_text: str = "text", block_bytes: int = 8_000_000) -> DataFrame:
+def leaks(docs: DataFrame, benchmark: DataFrame, window: int = 80, step: int = 1, rate: float = 0.1, min_bytes: int = 16,
+          text_col: str = "text", item_col: str = "item_id", item_text: str = "text", block_bytes: int = 4_000_000) -> DataFrame:
     """``docs`` with an array column ``leaks``: the items found, with how many of their windows, the fewest edits of
     one, and the bytes of the normalised text between which they lie."""
     items = benchmark.select(F.col(item_col).cast("long").alias("item"), F.coalesce(F.col(item_text), F.lit("")).alias("text"))

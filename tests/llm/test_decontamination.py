@@ -17,11 +17,11 @@ def edits(pattern, text):
     return min(row)
 
 
-def brute(items, text, window=80, step=40, rate=0.1):
+def brute(items, text, window=80, step=40, rate=0.1, min_bytes=32):
     out, t = {}, normalise(text.encode())
     for i, item in items:
         p = normalise(item.encode())
-        if len(p) < 32:
+        if len(p) < min_bytes:
             continue
         last = max(0, len(p) - window)
         found = sum(edits(p[s:s + window], t) <= budget(len(p[s:s + window]), rate)[0]
@@ -122,3 +122,40 @@ def test_short_items_as_whole_words(spark):
         got = {r.doc_id: r.leaks for r in leaks(docs, items, block_bytes=block_bytes).collect()}
         assert [{x.item_id for x in got[i]} for i in range(len(texts))] == want
         assert [(x.n_windows, x.of_windows, x.edits, x.first_byte, x.last_byte) for x in got[4]] == [(1, 1, 0, 3, 6)]
+
+
+def test_items_of_16_to_31_bytes_with_edits(spark):
+    """From 16 bytes on an item is found with the edits of its budget; shorter ones only unchanged."""
+    rnd = random.Random(21)
+    items = [(n, "".join(rnd.choice("abcdefghij") for _ in range(n))) for n in range(12, 40)]
+    texts = []
+    for n, item in items:
+        for changes in range(4):
+            t = list(item)
+            for at in rnd.sample(range(n), changes):
+                t[at] = rnd.choice(("", "x", "xy"))
+            texts.append(words(rnd, 4) + " " + "".join(t) + " " + words(rnd, 4))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: {x.item_id for x in r.leaks} for r in leaks(docs, spark.createDataFrame(items, "item_id long, text string")).collect()}
+    long = [(i, t) for i, t in items if len(t) >= 16]
+    for i, t in enumerate(texts):
+        assert {x for x in got[i] if x >= 16} == set(brute(long, t, min_bytes=16))
+    assert all(got[4 * j] >= {n} and not got[4 * j + 1] & {n} for j, (n, _) in enumerate(items) if n < 16)
+
+
+def test_repeated_places_do_not_fill_a_band():
+    """Text of one short pattern hits every diagonal; places count once and results stay those of brute force."""
+    rnd = random.Random(22)
+    items = [(0, "ab" * 50), (1, words(rnd, 30)), (2, "abcabcab " * 12)]
+    index = Index([(i, t.encode()) for i, t in items], 80, 1, 0.1, 16)
+    texts = ["ab" * 200, "ab" * 36, "ab" * 35, "abab x " * 40, "abcabcab " * 8, "abcab " * 40, items[1][1][5:90], "ba" * 37 + "cc" + "ab" * 9]
+    assert [{y[0]: y[1] for y in x} for x in find(index, [t.encode() for t in texts])] == [brute(items, t, step=1) for t in texts]
+
+
+def test_index_of_a_full_block_is_bounded():
+    rnd = np.random.default_rng(3)
+    items = [(i, bytes(rnd.integers(97, 123, 20_000, dtype=np.uint8))) for i in range(50)]
+    index = Index(items, 80, 1, 0.1, 16)
+    arrays = (index.codes, index.first, index.owner, index.at, index.maybe)
+    assert sum(a.nbytes for a in arrays) < 64 * 1_000_000
+    assert find(index, [b"x " + items[7][1][300:420] + b" y"])[0][0][:2] == (7, 57)
