@@ -122,13 +122,14 @@ def block_count(docs: DataFrame, text_col: str = "text", block_bytes: int = BLOC
 
 
 def in_blocks(docs: DataFrame, blocks: int, id_col: str = "doc_id", text_col: str = "text",
-              extra: tuple = ()) -> DataFrame:
-    """(block, part): the rows (doc, text, ...) of each block, a null text read as empty, in compressed parts.
+              extra: tuple = (), deal: tuple = ()) -> DataFrame:
+    """(block, part): the rows (doc, text, ...) of each block, a null text read as empty, in compressed parts. Rows are dealt by
+    their id and the columns named in ``deal``.
 
     A part holds what one batch of the scan has for a block, so similar texts are compressed together before
     they are shuffled. ``unpack`` reads the parts of a block.
     """
-    rows = docs.select(F.pmod(F.xxhash64(F.col(id_col)), F.lit(blocks)).cast("int").alias("block"),
+    rows = docs.select(F.pmod(F.xxhash64(F.col(id_col), *deal), F.lit(blocks)).cast("int").alias("block"),
                        F.col(id_col).cast("long").alias("doc"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), *extra)
     return rows.mapInArrow(_pack, "block int, part binary")
 

@@ -3,9 +3,12 @@
 A document's set is its distinct ``width``-word shingles. Two documents link when
 ``100 * |intersection| >= percent * |union|``.
 
-1. *Classes.* Equal sets (128-bit fingerprint) are one class, named by its least document.
-2. *Order.* Shingles are ordered by a sketch of ``2**SKETCH_BITS`` counters over all documents, then by hash: rare
-   ones first. Any order gives right results; this one keeps frequent shingles out of the prefixes.
+1. *Classes.* Equal sets (128-bit fingerprint) are one class, numbered when the table of classes is written; its text is that of
+   its least document.
+2. *Order.* Shingles are ordered by the number of documents that hold them, then by hash: rare ones first. The counts come from
+   a blocked lookup (``blocks.py``) of the first 48 bits of every shingle's hash, so they are as fine at any size of the input. Any order
+   gives right results; this one keeps frequent shingles out of the prefixes. A shingle that one document alone holds, links nothing, and
+   is counted but not stored.
 3. *Grouped prefixes.* A set of n shingles keeps the first ``n - ceil(percent * n / 100) + 1``: linked sets share one of
    them. Classes with the same prefix and size are collapsed into one group, and groups that share a
    prefix shingle are paired if their sizes and the shingle's places leave enough room for the overlap. Of the
@@ -19,8 +22,9 @@ A document's set is its distinct ``width``-word shingles. Two documents link whe
    of thousands of near copies costs thousands of pairs, not millions, and no link that matters is lost.
 
 Edge cases: a document with fewer words than ``width`` has its whole sequence as its one shingle; one without words or
-text has an empty set, links with nothing and is its own component; repeated rows are each returned;
-an empty table gives an empty result; other columns are ignored, whatever their names.
+text has an empty set, links with nothing and is its own component; repeated rows are each returned, and rows of one id with
+different texts are different documents whose links count each for itself; a class that only rows with a null id hold has no
+links; an empty table gives an empty result; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -38,8 +42,10 @@ from .components import connected_components
 from .member_filter import maybe_among, maybe_repeated, member_filter, repeated_filter
 
 BASE = 0x9E3779B97F4A7C15
-SKETCH_BITS = 24
-SLICES = 64
+SHIFT = B.U(16)                # of a shingle's hash 48 bits are counted
+SENT = "bucket int, block int, keys binary, counts binary"
+TOLD = "block int, bucket int, levels binary"
+PREPARED = "doc long, text_hash long, n long, s1 long, s2 long, p1 long, p2 long, lone int, prefix array<long>"
 
 
 def shingles(text: bytes, width: int) -> np.ndarray:
@@ -56,68 +62,89 @@ def need(size: int, percent: int) -> int:
     return -(-percent * size // 100)
 
 
-def _sketch(docs: DataFrame, width: int) -> np.ndarray:
-    """A level of frequency, about 8 to a doubling, for each of the counters over every shingle of every document: a fixed
-    16 MB at the end, whatever the input."""
-    size = 1 << SKETCH_BITS
-
-    def count(batches):
-        total = np.zeros(size, dtype=np.uint32)
-        for b in batches:
-            for text in b.column(0).cast(pa.large_binary()).to_pylist():
-                h = shingles(text or b"", width) >> B.U(64 - SKETCH_BITS)
-                np.add.at(total, h.astype(np.int64), 1)
-        parts = np.split(total, SLICES)
-        yield pa.record_batch([pa.array(range(SLICES), pa.int32()), pa.array([pa.compress(p.tobytes(), "zstd", asbytes=True) for p in parts],
-                                                                        pa.binary())], names=["slice", "counts"])
-
-    def add(key, table):
-        total = np.zeros(size // SLICES, dtype=np.int64)
-        for x in table.column("counts").to_pylist():
-            total += np.frombuffer(pa.decompress(x, 4 * len(total), "zstd"), dtype=np.uint32)
-        total = np.minimum(np.log2(total + 1.0) * 8, 255).astype(np.uint8)
-        return pa.table({"slice": pa.array([key[0].as_py()], pa.int32()), "counts": pa.array([total.tobytes()], pa.binary())})
-
-    rows = (docs.mapInArrow(count, "slice int, counts binary")
-            .groupBy("slice").applyInArrow(add, "slice int, counts binary").collect())
-    out = np.zeros(size, dtype=np.uint8)
-    for r in rows:
-        out[r.slice * (size // SLICES):(r.slice + 1) * (size // SLICES)] = np.frombuffer(bytes(r.counts), dtype=np.uint8)
-    return out
-
-
-def _prepared(docs: DataFrame, width: int, percent: int, sketch: np.ndarray, id_col: str, text_col: str) -> DataFrame:
-    order = docs.sparkSession.sparkContext.broadcast(sketch)            # 16 MB
-
-    def rows(batches):
-        for b in batches:
-            sizes, s1, s2, prefixes = [], [], [], []
-            for text in b.column(1).cast(pa.large_binary()).to_pylist():
-                h = np.unique(shingles(text or b"", width))
-                d = xxhash.xxh3_128_digest(h.tobytes())
-                sizes.append(len(h))
-                s1.append(int.from_bytes(d[:8], "big", signed=True)), s2.append(int.from_bytes(d[8:], "big", signed=True))
-                p = len(h) - need(len(h), percent) + 1 if len(h) else 0
-                rank = order.value[(h >> B.U(64 - SKETCH_BITS)).astype(np.int64)]
-                prefixes.append(h[np.lexsort((h, rank))[:p]].view(np.int64))
-            yield pa.record_batch([b.column(0).cast(pa.int64()), pa.array(sizes, pa.int64()), pa.array(s1, pa.int64()),
-                                   pa.array(s2, pa.int64()), pa.array(prefixes, pa.list_(pa.int64()))],
-                                  names=["doc", "n", "s1", "s2", "prefix"])
-
-    return (docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text"))
-            .mapInArrow(rows, "doc long, n long, s1 long, s2 long, prefix array<long>"))
-
-
-def verify(pairs: DataFrame, docs: DataFrame, width: int, percent: int, id_col: str, text_col: str) -> DataFrame:
-    """The distinct pairs (a, b) of documents whose texts link."""
+def fingerprint(h: np.ndarray) -> tuple[int, int]:
+    d = xxhash.xxh3_128_digest(h.tobytes())
+    return int.from_bytes(d[:8], "big", signed=True), int.from_bytes(d[8:], "big", signed=True)
+
+
+def _totals(table: pa.Table) -> pa.Table:
+    """A key range's answer to each block: for each of its keys a level of document frequency, 0 for one document alone, 8 more for
+    each doubling."""
+    keys = [B.unpack_keys(x) for x in table.column("keys").to_pylist()]
+    sizes = [len(k) for k in keys]
+    counts = np.concatenate([np.frombuffer(pa.decompress(x, 4 * n, "zstd"), dtype=np.uint32)
+                             for x, n in zip(table.column("counts").to_pylist(), sizes)])
+    keys = np.concatenate(keys)
+    order = np.argsort(keys, kind="stable")
+    new = np.ones(len(keys), dtype=bool)
+    new[1:] = keys[order[1:]] != keys[order[:-1]]
+    total = np.add.reduceat(counts[order].astype(np.int64), np.flatnonzero(new))
+    level = np.empty(len(keys), dtype=np.uint8)
+    level[order] = np.minimum(np.log2(total) * 8, 255).astype(np.uint8)[np.cumsum(new) - 1]
+    cut = np.cumsum([0, *sizes])
+    return pa.table({"block": table.column("block"), "bucket": table.column("bucket"),
+                     "levels": pa.array([pa.compress(level[s:e].tobytes(), "zstd", asbytes=True) for s, e in zip(cut[:-1], cut[1:])], pa.binary())})
+
+
+def _prepared(docs: DataFrame, width: int, percent: int, id_col: str, text_col: str, block_bytes: int) -> DataFrame:
+    n = B.block_count(docs, text_col, block_bytes)
+    texts = B.in_blocks(docs, n, id_col, text_col, (F.xxhash64(text_col).alias("text_hash"),), deal=(text_col,))
+
+    def read(t: pa.Table):
+        rows = B.unpack(t)
+        sets = [np.unique(shingles(x or b"", width)) for x in B.texts_of(rows)]
+        keys, counts = np.unique(np.concatenate(sets) >> SHIFT, return_counts=True)
+        return rows, sets, keys, counts.astype(np.uint32), B.bounds(keys << SHIFT, n)
+
+    def index(t: pa.Table) -> pa.Table:
+        block = t.column("block")[0].as_py()
+        _, _, keys, counts, b = read(t)
+        rows = [(i, block, B.pack_keys(keys[s:e]), pa.compress(counts[s:e].tobytes(), "zstd", asbytes=True))
+                for i, (s, e) in enumerate(zip(b[:-1], b[1:])) if e > s]
+        cols = list(zip(*rows)) or [[]] * 4
+        return pa.table([pa.array(c, k) for c, k in zip(cols, (pa.int32(), pa.int32(), pa.binary(), pa.binary()))],
+                        names=["bucket", "block", "keys", "counts"])
+
+    def prefixes(t: pa.Table, told: pa.Table) -> pa.Table:
+        rows, sets, keys, _, b = read(t)
+        level = np.zeros(len(keys), dtype=np.uint8)
+        for i, x in zip(told.column("bucket").to_pylist(), told.column("levels").to_pylist()):
+            level[b[i]:b[i + 1]] = np.frombuffer(pa.decompress(x, int(b[i + 1] - b[i]), "zstd"), dtype=np.uint8)
+        out = []
+        for h in sets:
+            p = len(h) - need(len(h), percent) + 1 if len(h) else 0
+            rank = level[np.searchsorted(keys, h >> SHIFT)]
+            order = np.lexsort((h, rank))[:p]
+            lone = int(np.count_nonzero(rank[order] == 0))
+            out.append((len(h), *fingerprint(h), *fingerprint(h[order]), lone, h[order[lone:]].view(np.int64)))
+        kinds = (pa.int64(),) * 5 + (pa.int32(), pa.list_(pa.int64()))
+        cols = [pa.array(c, k) for c, k in zip(zip(*out), kinds)]
+        return pa.table([rows.column("doc"), rows.column("text_hash"), *cols],
+                        names=["doc", "text_hash", "n", "s1", "s2", "p1", "p2", "lone", "prefix"])
+
+    sent = texts.groupBy("block").applyInArrow(index, SENT)
+    told = sent.groupBy("bucket").applyInArrow(_totals, TOLD)
+    return texts.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(prefixes, PREPARED)
+
+
+def verify(pairs: DataFrame, classes: DataFrame, docs: DataFrame, width: int, percent: int, id_col: str, text_col: str) -> DataFrame:
+    """The distinct pairs (a, b) of classes whose texts link."""
     pairs = cut_lineage(pairs.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
                         .distinct(), "pairs")
-    asked = pairs.select(F.explode(F.array("a", "b")).alias("doc")).distinct()
+    asked = pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
+    asked = cut_lineage(asked.join(classes.select("cls", F.col("class_id").alias("doc"), "s1", "s2"), "cls"), "asked")
     texts = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
-    texts = cut_lineage(maybe_among(texts, "doc", member_filter(asked)).join(asked.hint("merge"), "doc", "left_semi")
-                        .dropDuplicates(["doc"]), "pair-texts")
-    both = (pairs.join(texts.select(F.col("doc").alias("b"), F.col("text").alias("tb")).hint("merge"), "b")
-            .join(texts.select(F.col("doc").alias("a"), F.col("text").alias("ta")).hint("merge"), "a"))
+
+    def named(batches):
+        for batch in batches:
+            ids = [fingerprint(np.unique(shingles(t or b"", width))) for t in batch.column(1).cast(pa.large_binary()).to_pylist()]
+            yield pa.record_batch([*batch.columns, pa.array([x for x, _ in ids], pa.int64()), pa.array([x for _, x in ids], pa.int64())],
+                                  names=["doc", "text", "s1", "s2"])
+
+    texts = maybe_among(texts, "doc", member_filter(asked.select("doc"))).mapInArrow(named, "doc long, text string, s1 long, s2 long")
+    texts = cut_lineage(texts.join(asked.hint("merge"), ["doc", "s1", "s2"]).select("cls", "text").dropDuplicates(["cls"]), "pair-texts")
+    both = (pairs.join(texts.select(F.col("cls").alias("b"), F.col("text").alias("tb")).hint("merge"), "b")
+            .join(texts.select(F.col("cls").alias("a"), F.col("text").alias("ta")).hint("merge"), "a"))
 
     def linked(batches):
         last = None, None
@@ -140,27 +167,30 @@ def _postings(groups: DataFrame, shared) -> DataFrame:
         for b in batches:
             prefix = b.column("prefix")
             token, size = prefix.flatten().to_numpy(), prefix.value_lengths().to_numpy()
-            at = np.arange(len(token)) - np.repeat(np.cumsum(size) - size, size)
+            at = np.arange(len(token)) - np.repeat(np.cumsum(size) - size - b.column("lone").to_numpy(), size)
             keep = maybe_repeated(token, shared.value)
             row = np.repeat(np.arange(len(size)), size)[keep]
             yield pa.record_batch([b.column("gid").take(pa.array(row)), b.column("n").take(pa.array(row)),
                                    pa.array(at[keep].astype(np.int32)), pa.array(token[keep])], names=["gid", "n", "at", "token"])
 
-    return groups.select("gid", "n", "prefix").mapInArrow(explode, "gid long, n long, at int, token long")
+    return groups.select("gid", "n", "lone", "prefix").mapInArrow(explode, "gid long, n long, at int, token long")
 
 
 def jaccard_components(docs: DataFrame, width: int = 3, percent: int = 90, id_col: str = "doc_id",
-                       text_col: str = "text") -> DataFrame:
-    """One row per document: ``doc_id``, ``n_shingles``, ``class_id`` (least document with the same set) and
-    ``component_id`` (least document reachable by links, itself included)."""
+                       text_col: str = "text", block_bytes: int = B.BLOCK_BYTES) -> DataFrame:
+    """One row per document: ``doc_id``, ``n_shingles``, ``class_id`` (least document with the same set),
+    ``component_id`` (least document reachable by links, itself included), ``component`` (a number of the component, null for an empty
+    set) and ``text_hash`` (``xxhash64`` of the text, which tells rows of one id apart)."""
     own = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    prepared = cut_lineage(_prepared(own, width, percent, _sketch(own.select("text"), width), "doc_id", "text"), "prefixes")
+    prepared = cut_lineage(_prepared(own, width, percent, "doc_id", "text", block_bytes), "prefixes")
+    # numbered once, as the table is written; all else reads that table
     classes = cut_lineage(prepared.filter("n > 0").groupBy("s1", "s2").agg(
-        F.min("doc").alias("cls"), F.first("n").alias("n"), F.first("prefix").alias("prefix")), "classes")
-    members = classes.select("cls", "n", F.xxhash64("prefix").alias("p1"),
-                             F.xxhash64("prefix", F.lit(1)).alias("p2"), "prefix")
-    groups = cut_lineage(members.groupBy("n", "p1", "p2").agg(F.min("cls").alias("gid"), F.first("prefix").alias("prefix")), "groups")
-    in_group = cut_lineage(members.drop("prefix").join(groups.drop("prefix"), ["n", "p1", "p2"]).select("gid", "cls"), "members")
+        F.min("doc").alias("class_id"), *[F.first(c).alias(c) for c in ("n", "p1", "p2", "lone", "prefix")])
+        .withColumn("cls", F.monotonically_increasing_id()), "classes")
+    members = classes.select("cls", "n", "p1", "p2")
+    groups = cut_lineage(classes.groupBy("n", "p1", "p2").agg(F.min("cls").alias("gid"), F.first("lone").alias("lone"),
+                                                              F.first("prefix").alias("prefix")), "groups")
+    in_group = cut_lineage(members.join(groups.select("gid", "n", "p1", "p2"), ["n", "p1", "p2"]).select("gid", "cls"), "members")
 
     postings = _postings(groups, repeated_filter(groups.select("prefix")))
     shared = postings.groupBy("token").agg(F.count(F.lit(1)).alias("c"), F.min("gid").alias("hub")).filter("c > 1")
@@ -182,7 +212,7 @@ def jaccard_components(docs: DataFrame, width: int = 3, percent: int = 90, id_co
             .filter(room("x", "y")).select(F.col("x.gid").alias("gid"), F.col("y.gid").alias("a")).distinct())
     pairs = (star.join(in_group, "gid").select("a", F.col("cls").alias("b"))
              .unionByName(in_group.select(F.col("gid").alias("a"), F.col("cls").alias("b"))))
-    links = cut_lineage(verify(pairs, own, width, percent, "doc_id", "text"), "links")
+    links = cut_lineage(verify(pairs, classes, own, width, percent, "doc_id", "text"), "links")
     # groundwork for the second round: documents known to be connected, by the hub of their hub (any such
     # relation will do, a coarser one only leaves more pairs to look at)
     up = links.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("root"))
@@ -210,11 +240,12 @@ def jaccard_components(docs: DataFrame, width: int = 3, percent: int = 90, id_co
     one = parts.select(F.col("gid").alias("g1"), F.col("comp").alias("c1"), F.col("cls").alias("a"))
     two = parts.select(F.col("gid").alias("g2"), F.col("comp").alias("c2"), F.col("cls").alias("b"))
     rest = across.unionByName(inside).distinct().join(one, ["g1", "c1"]).join(two, ["g2", "c2"]).select("a", "b")
-    more = cut_lineage(verify(rest, own, width, percent, "doc_id", "text"), "links")
+    more = cut_lineage(verify(rest, classes, own, width, percent, "doc_id", "text"), "links")
     roots = connected_components(links.unionByName(more))
 
     named = classes.join(roots, F.col("cls") == F.col("node"), "left").select(
-        "s1", "s2", F.col("cls").alias("class_id"), F.coalesce("root", "cls").alias("component_id"))
+        "s1", "s2", "class_id", F.coalesce("root", "cls").alias("component"))
+    named = named.join(named.groupBy("component").agg(F.min("class_id").alias("component_id")), "component")
     return prepared.join(named, ["s1", "s2"], "left").select(
-        F.col("doc").alias("doc_id"), F.col("n").alias("n_shingles"),
-        F.coalesce("class_id", "doc").alias("class_id"), F.coalesce("component_id", "doc").alias("component_id"))
+        F.col("doc").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("class_id", "doc").alias("class_id"),
+        F.coalesce("component_id", "doc").alias("component_id"), "component", "text_hash")

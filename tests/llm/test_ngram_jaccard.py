@@ -63,3 +63,20 @@ def test_components_of_chains_and_rings(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 105), (105, 103), (103, 100), (7, 7), (200, 201), (201, 200)]
     got = {r.node: r.root for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {**{i: 0 for i in range(1, 41)}, 105: 100, 103: 100, 201: 200}
+
+
+def test_rows_of_one_id_in_any_order(spark):
+    """Links of every text count, whatever row of a repeated id comes first."""
+    a, b = ([f"{c}{i}" for i in range(60)] for c in "ab")
+    near = a[:59] + ["other"]
+    rows = [(5, " ".join(a)), (5, " ".join(b)), (7, " ".join(near)), (3, " ".join(b)), (None, " ".join(a)), (5, " ".join(a)), (9, None), (9, "")]
+    for order in (rows, rows[::-1]):
+        out = jaccard_components(spark.createDataFrame(order, "doc_id long, text string").repartition(3)).collect()
+        got = sorted((str(r.doc_id), r.n_shingles, r.component_id) for r in out)
+        assert got == sorted([("5", 58, 5), ("5", 58, 5), ("5", 58, 3), ("7", 58, 5), ("3", 58, 3), ("None", 58, 5), ("9", 0, 9), ("9", 0, 9)])
+        assert len({r.component for r in out if r.n_shingles}) == 2
+
+
+def test_block_sizes_do_not_change_the_result(spark, docs, rows):
+    out = jaccard_components(docs, block_bytes=3_000)
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in out.collect()} == brute(rows, 3, 90)
