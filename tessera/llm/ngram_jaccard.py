@@ -91,6 +91,7 @@ def _prepared(docs: DataFrame, width: int, percent: int, id_col: str, text_col:
     texts = B.in_blocks(docs, n, id_col, text_col, (F.xxhash64(text_col).alias("text_hash"),), deal=(text_col,))
 
     def read(t: pa.Table):
+        pa.default_memory_pool().release_unused()            # of the block before
         rows = B.unpack(t)
         sets = [np.unique(shingles(x or b"", width)) for x in B.texts_of(rows)]
         keys, counts = np.unique(np.concatenate(sets) >> SHIFT, return_counts=True)
@@ -132,17 +133,11 @@ def verify(pairs: DataFrame, classes: DataFrame, docs: DataFrame, width: int, pe
     pairs = cut_lineage(pairs.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
                         .distinct(), "pairs")
     asked = pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
-    asked = cut_lineage(asked.join(classes.select("cls", F.col("class_id").alias("doc"), "s1", "s2"), "cls"), "asked")
-    texts = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
+    asked = cut_lineage(asked.join(classes.select("cls", F.col("class_id").alias("doc"), "text_hash"), "cls"), "asked")
+    texts = docs.select(F.col(id_col).cast("long").alias("doc"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("text"))
 
-    def named(batches):
-        for batch in batches:
-            ids = [fingerprint(np.unique(shingles(t or b"", width))) for t in batch.column(1).cast(pa.large_binary()).to_pylist()]
-            yield pa.record_batch([*batch.columns, pa.array([x for x, _ in ids], pa.int64()), pa.array([x for _, x in ids], pa.int64())],
-                                  names=["doc", "text", "s1", "s2"])
-
-    texts = maybe_among(texts, "doc", member_filter(asked.select("doc"))).mapInArrow(named, "doc long, text string, s1 long, s2 long")
-    texts = cut_lineage(texts.join(asked.hint("merge"), ["doc", "s1", "s2"]).select("cls", "text").dropDuplicates(["cls"]), "pair-texts")
+    texts = maybe_among(texts, "doc", member_filter(asked.select("doc")))
+    texts = cut_lineage(texts.join(asked.hint("merge"), ["doc", "text_hash"]).select("cls", "text").dropDuplicates(["cls"]), "pair-texts")
     both = (pairs.join(texts.select(F.col("cls").alias("b"), F.col("text").alias("tb")).hint("merge"), "b")
             .join(texts.select(F.col("cls").alias("a"), F.col("text").alias("ta")).hint("merge"), "a"))
 
@@ -185,7 +180,7 @@ def jaccard_components(docs: DataFrame, width: int = 3, percent: int = 90, id_co
     prepared = cut_lineage(_prepared(own, width, percent, "doc_id", "text", block_bytes), "prefixes")
     # numbered once, as the table is written; all else reads that table
     classes = cut_lineage(prepared.filter("n > 0").groupBy("s1", "s2").agg(
-        F.min("doc").alias("class_id"), *[F.first(c).alias(c) for c in ("n", "p1", "p2", "lone", "prefix")])
+        F.min("doc").alias("class_id"), F.min_by("text_hash", "doc").alias("text_hash"), *[F.first(c).alias(c) for c in ("n", "p1", "p2", "lone", "prefix")])
         .withColumn("cls", F.monotonically_increasing_id()), "classes")
     members = classes.select("cls", "n", "p1", "p2")
     groups = cut_lineage(classes.groupBy("n", "p1", "p2").agg(F.min("cls").alias("gid"), F.first("lone").alias("lone"),

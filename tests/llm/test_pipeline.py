@@ -89,3 +89,13 @@ def test_empty_tables(spark, tmpdir_path):
     none = spark.read.parquet(f"{tmpdir_path}/documents.parquet").filter(F.lit(False))
     for _, f in P.STAGES:
         assert f(spark, none, tmpdir_path).count() == 0
+
+
+def test_near_copies_of_repeated_ids(spark):
+    """Rows of one id with different texts are judged each for itself; rows that repeat both stay once."""
+    a, b = (" ".join(f"{c}{i}" for i in range(80)) for c in "ab")
+    rows = [(5, a), (5, b), (7, a + " more"), (3, b), (5, a), (None, a), (9, None), (9, "")]
+    for order in (rows, rows[::-1]):
+        out = P.without_near_copies(spark, spark.createDataFrame(order, "doc_id long, text string"), "")
+        assert sorted(map(str, out.collect())) == sorted(map(str, spark.createDataFrame(
+            [(5, a), (3, b), (None, a), (9, None), (9, "")], "doc_id long, text string").collect()))
