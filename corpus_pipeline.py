@@ -5,7 +5,8 @@ SQL cannot express the first, third, fourth and last stage, so ``ORACLE_SQL`` is
 brute-force versions.
 
 Awkward rows: null texts pass as null up to the last stage, where they have no tokens; empty tables give empty results;
-rows with a null id are never near duplicates; of repeated rows with one id the near-duplicate stage keeps one.
+rows with a null id are never near duplicates; of rows that repeat both id and text the near-duplicate stage keeps one, and
+rows of one id with different texts are different documents to it.
 """
 
 from __future__ import annotations
@@ -38,10 +39,13 @@ def without_common_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents linked by a 5-word shingle similarity of 0.8 or more, the one with the least id stays."""
-    groups = ngram_jaccard.jaccard_components(docs, width=5, percent=80)
-    stays = groups.filter("doc_id = component_id").select("doc_id").distinct()
-    one = docs.join(stays.hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return one.unionByName(docs.filter(F.col("doc_id").isNull())).select(*docs.columns)
+    groups = ngram_jaccard.jaccard_components(docs, width=5, percent=80).filter("doc_id = component_id")
+    alone = F.when(F.col("component").isNull(), F.col("text_hash"))          # texts without words link with nothing
+    stays = groups.groupBy("component", "doc_id", alone.alias("alone")).agg(F.min("text_hash").alias("__text_hash"))
+    one = (docs.withColumn("__text_hash", F.xxhash64("text"))
+           .join(stays.select("doc_id", "__text_hash").hint("merge"), ["doc_id", "__text_hash"], "left_semi")
+           .dropDuplicates(["doc_id", "__text_hash"]))
+    return one.select(*docs.columns).unionByName(docs.filter(F.col("doc_id").isNull()))
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
