@@ -14,8 +14,9 @@ A document's set is its distinct ``width``-word shingles. Two documents link whe
    prefix shingle are paired if their sizes and the shingle's places leave enough room for the overlap. Of the
    shingles before a shared one, only those that other groups have in their prefix too can be common, so places are
    also counted among these alone.
-4. *Hubs first, then the rest.* Groups are first paired only with the least group of each shingle's list, and a group's
-   members with its least one; the pairs are verified on the texts. Then, per shingle, groups are split by the
+4. *Hubs first, then the rest.* Groups are first paired only with the hubs of each shingle's list, one to a band of sizes that
+   can link: the group with the fewest rarer shingles before this one, of near copies the text that differs least from all
+   others. A group meets the hubs of its own band and of the one below, its members meet its least one; the pairs are verified on the texts. Then, per shingle, groups are split by the
    components so far and all pairs of parts from different components are expanded to their members and
    verified; a pair is taken up where its last shared shingle is not the same on both sides, so once and not for every
    shingle. Pairs within the largest component of a list are never formed: they cannot change a component. So a group
@@ -29,6 +30,8 @@ links; an empty table gives an empty result; other columns are ignored, whatever
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -188,9 +191,9 @@ def jaccard_components(docs: DataFrame, width: int = 3, percent: int = 90, id_co
     in_group = cut_lineage(members.join(groups.select("gid", "n", "p1", "p2"), ["n", "p1", "p2"]).select("gid", "cls"), "members")
 
     postings = _postings(groups, repeated_filter(groups.select("prefix")))
-    shared = postings.groupBy("token").agg(F.count(F.lit(1)).alias("c"), F.min("gid").alias("hub")).filter("c > 1")
+    shared = postings.groupBy("token").agg(F.count(F.lit(1)).alias("c")).filter("c > 1")
     by_group = Window.partitionBy("gid").orderBy("at")                 # at most one prefix a group
-    lists = cut_lineage(postings.join(shared.select("token", "hub"), "token")
+    lists = cut_lineage(postings.join(shared.select("token"), "token")
                         .withColumn("among", F.row_number().over(by_group) - 1)
                         .withColumn("prev", F.lag("token").over(by_group)), "lists")
 
@@ -202,17 +205,18 @@ def jaccard_components(docs: DataFrame, width: int = 3, percent: int = 90, id_co
         return ((100 * F.least(n1, n2) >= percent * F.greatest(n1, n2))
                 & ((100 + percent) * most >= percent * (n1 + n2)))
 
-    hubs = lists.filter("gid = hub")
-    star = (lists.filter("gid <> hub").alias("x").join(hubs.alias("y"), F.col("x.token") == F.col("y.token"))
-            .filter(room("x", "y")).select(F.col("x.gid").alias("gid"), F.col("y.gid").alias("a")).distinct())
+    # sizes of one band are within the ratio that links allow, so linked sizes are in the same band or in neighbouring ones
+    band = F.floor(F.log(F.col("n").cast("double")) / -math.log(min(percent, 99) / 100)).cast("int")
+    hubs = lists.groupBy("token", band.alias("band")).agg(F.min_by(F.struct("gid", "n", "at", "among"), F.struct("at", "gid")).alias("hub"))
+    hubs = hubs.select("token", F.col("hub.*"), F.explode(F.array("band", F.col("band") + 1)).alias("band"))
+    star = (lists.withColumn("band", band).alias("x").join(hubs.alias("y"), ["token", "band"])
+            .filter((F.col("x.gid") != F.col("y.gid")) & room("x", "y"))
+            .select(F.col("x.gid").alias("gid"), F.col("y.gid").alias("a")).distinct())
     pairs = (star.join(in_group, "gid").select("a", F.col("cls").alias("b"))
              .unionByName(in_group.select(F.col("gid").alias("a"), F.col("cls").alias("b"))))
     links = cut_lineage(verify(pairs, classes, own, width, percent, "doc_id", "text"), "links")
-    # groundwork for the second round: documents known to be connected, by the hub of their hub (any such
-    # relation will do, a coarser one only leaves more pairs to look at)
-    up = links.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("root"))
-    roots = up.join(up.select(F.col("node").alias("root"), F.col("root").alias("above")), "root", "left").select(
-        "node", F.coalesce("above", "root").alias("root"))
+    # groundwork for the second round: the components so far
+    roots = connected_components(links)
 
     parts = cut_lineage(in_group.join(roots, F.col("cls") == F.col("node"), "left")
                         .select("gid", "cls", F.coalesce("root", "cls").alias("comp")), "parts")
@@ -236,7 +240,7 @@ def jaccard_components(docs: DataFrame, width: int = 3, percent: int = 90, id_co
     two = parts.select(F.col("gid").alias("g2"), F.col("comp").alias("c2"), F.col("cls").alias("b"))
     rest = across.unionByName(inside).distinct().join(one, ["g1", "c1"]).join(two, ["g2", "c2"]).select("a", "b")
     more = cut_lineage(verify(rest, classes, own, width, percent, "doc_id", "text"), "links")
-    roots = connected_components(links.unionByName(more))
+    roots = connected_components(roots.filter("node <> root").select(F.col("root").alias("a"), F.col("node").alias("b")).unionByName(more))
 
     named = classes.join(roots, F.col("cls") == F.col("node"), "left").select(
         "s1", "s2", "class_id", F.coalesce("root", "cls").alias("component"))
