@@ -1,16 +1,17 @@
-"""Substring dedup by relative Lempel-Ziv factors.
+"""Substring dedup by windows looked up in all reference blocks.
 
 Every block of documents is a reference block. Its index entries are the minimizers of its windows: of each
 ``window`` consecutive words, the ``gram``-word piece with the least hash. Equal windows have equal
 minimizers at the same place, so a document can only copy from a block at a minimizer it shares with it.
 
-1. *Factoring.* Blocks send their distinct minimizers to key buckets; a bucket answers which of them occur
-   again, and the first block that holds them. A document is parsed greedily from left to right: a factor
-   starts at a minimizer that occurs elsewhere and runs on as long as the next ones do; its reference is the
-   block that its first minimizer points to, and a new factor starts where the reference changes.
-2. *Boundary check.* A factor only says that its pieces occur elsewhere; whether a window does, in particular
-   one that reaches over the boundary of two factors, is asked of all blocks at once by a 96-bit
-   fingerprint of the window. What is confirmed and long enough is a duplicate span.
+1. *Candidates.* Blocks send their distinct minimizers to key buckets; a bucket answers which of them occur
+   again, and the first block that holds them. Every window whose minimizer occurs again is a candidate.
+2. *Check.* Each candidate window is asked of all blocks at once by a 96-bit fingerprint. Words of confirmed
+   windows form the duplicate spans.
+
+No greedy left-to-right factor parse decides what is cut: a factor ends where its one reference ends, while a window
+counts wherever it occurs. ``reference_blocks`` names for each span the first block that holds the minimizer of its first
+window, which need not hold the whole span.
 
 The whole text takes part, and windows are judged on the input. Windows equal by 96-bit fingerprint are
 taken to be equal (expected false pairs at 10**13 windows: below 0.001).
@@ -68,7 +69,7 @@ class Parsed:
         self.key_of = np.searchsorted(self.keys, B.mix(self.least))
 
     def windows(self, repeated: np.ndarray):
-        """Distinct fingerprints of the windows in factors: order, first keys, second keys, group of each window."""
+        """Distinct fingerprints of the candidate windows: order, first keys, second keys, group of each window."""
         at = self.valid[repeated[self.key_of]] if len(self.valid) else self.valid
         if not len(at):
             e = np.empty(0, dtype=np.uint64)
