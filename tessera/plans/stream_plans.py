@@ -11,6 +11,11 @@ from .registry import query
 from .text_plans import STOP, _sql_stop_list
 
 
+def _documents(sf: str) -> str:
+    """The table's file or folder of files: as a pattern, since a stream takes no plain path of one file."""
+    return f"{sf.rstrip('/')}/{{documents.parquet}}"
+
+
 @query("incremental_feed", f"""
 SELECT doc_id, source, CAST(len(list_filter(string_split({q.token_string('text')}, ' '),
        lambda x: length(x) > 3 AND NOT list_contains({_sql_stop_list(STOP)}, x))) AS INTEGER) AS n_tokens
@@ -20,8 +25,8 @@ def incremental_feed(spark, sf):
     """Stream the documents file through the feed twice; the second run must add nothing."""
     schema = table(spark, sf, "documents").schema
     paths = inc.feed_paths(spark)
-    inc.run_feed(spark, sf, schema, paths, STOP, glob="documents.parquet")
-    inc.run_feed(spark, sf, schema, paths, STOP, glob="documents.parquet")
+    for _ in range(2):
+        inc.run_feed(spark, _documents(sf), schema, paths, STOP)
     return spark.read.parquet(paths["out"]).select("doc_id", "source", "n_tokens")
 
 
@@ -34,5 +39,5 @@ def extraction_log(spark, sf):
     """The feed's log after a run and a repeated one: outcome, error and type of every document, and whether the row keeps the log's rules."""
     paths = inc.feed_paths(spark)
     for _ in range(2):
-        inc.run_feed(spark, sf, table(spark, sf, "documents").schema, paths, STOP, glob="documents.parquet")
+        inc.run_feed(spark, _documents(sf), table(spark, sf, "documents").schema, paths, STOP)
     return inc.checked_log(spark.read.parquet(paths["log"])).select("doc_id", "in_sucesso", "ds_erro", "cd_tipo_documento", "valid")

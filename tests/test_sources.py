@@ -136,3 +136,12 @@ def test_a_repeated_run_leaves_one_copy(spark, tmpdir_path):
     rows = sinks.read_runs(spark, out, "score double, model string")
     assert sorted((r.run, r.model or "", r.score) for r in rows.collect()) == [("1", "", 1.0), ("1", "nb, \"x\"", 0.5), ("2", "svm", 0.25)]
     assert spark.read.text(f"{out}/header").count() == 1
+
+
+def test_feed_queries_read_a_table_of_several_files(spark, tmpdir_path):
+    """The documents table may be one file or a folder of files."""
+    import __spark_entry__ as entry
+    rows = [(i, None if i == 3 else f"words of document {i}", "s") for i in range(6)]
+    spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3).write.parquet(os.path.join(tmpdir_path, "documents.parquet"))
+    out = entry.queries()["extraction_log"](spark, tmpdir_path).collect()
+    assert {r.doc_id for r in out} == set(range(6)) and [r.doc_id for r in out if r.in_sucesso == "N"] == [3, 3] and all(r.valid for r in out)
