@@ -85,3 +85,35 @@ def test_sums_carry_over_batches(spark):
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     want = {t: [float(sum(1 for i in range(5000) if i % 7 == t)), float(sum(i for i in range(5000) if i % 7 == t))] for t in range(7)}
     assert got == want
+
+
+def test_iteration_on_documents_gives_the_same(spark, x, monkeypatch):
+    w, docs = frame(spark, x)
+    monkeypatch.setattr(bm, "WORK", 4_000)                  # several blocks
+    m = bm.BlockMatrix.build(w, docs, 8)
+    v, s = bm.truncated_svd(m, 4, 4)
+    want = {(r.doc_id, r.component): r.value for r in bm.project(m, v, len(s)).collect()}
+    xs, vt, st = bm.transposed_svd(w, docs, 4, 4)
+    got = {(r.doc_id, r.component): r.value for r in xs.collect()}
+    assert np.allclose(s, st) and got.keys() == want.keys() and max(abs(got[k] - want[k]) for k in want) < 1e-8
+    assert np.allclose(bm.gram(vt, 4), np.eye(4), atol=1e-9)
+
+
+def test_size_of_blocks_follows_term_rows(spark, monkeypatch):
+    """A few terms that every document has: the rows that travel are few, so blocks are as large as their entries allow."""
+    df = spark.createDataFrame([(i, 400) for i in range(10)], "term long, df long")
+    monkeypatch.setattr(bm, "WORK", 200_000)
+    n, rows = bm.block_rows(df, 4_000, 1_000)
+    assert n == 1 and rows == 10
+    n, rows = bm.block_rows(spark.range(4_000).selectExpr("id", "1L as df"), 4_000, 1_000)
+    assert n >= 80 and abs(rows - 4_000) < 1
+
+
+def test_blocks_of_one_part(spark, x):
+    w, docs = frame(spark, x)
+    m = bm.BlockMatrix.build(w, docs, 5, meta=("label",), parts=4, part=lambda about: about["label"].astype(int))
+    rows = [bm.Block(r.asDict(), m.meta) for r in m.blocks.collect()]
+    numbers = [r.block for r in m.blocks.collect()]
+    assert all((b.meta["label"] == n % 4).all() for b, n in zip(rows, numbers)) and sorted(i for b in rows for i in b.ids) == [3 * i for i in range(60)]
+    found = {i: t for b in rows for i, t in zip(b.ids, b.times(np.ones((len(b.terms), 1)))[:, 0])}
+    assert np.allclose([found[3 * i] for i in range(60)], x.sum(axis=1))

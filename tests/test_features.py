@@ -65,3 +65,23 @@ def test_ngrams(spark):
     out = [sorted(r.g) for r in df.select(fe.ngrams("tokens", 1, 3).alias("g")).collect()]
     assert out[0] == sorted(["a", "b", "c", "a b", "b c", "a b c"])
     assert out[1] == ["x"]
+
+
+def test_pooled_vectors_with_nulls_and_several_vectors(spark):
+    tf = spark.createDataFrame([(1, "a", 2), (1, "b", 1), (2, "b", 3), (2, "x", 9), (None, "a", 1)], "doc_id long, term string, tf long")
+    tv = spark.createDataFrame([("a", 0, [1.0, None]), ("a", 0, [3.0, None]), ("b", 1, [5.0, 6.0])], "term string, rank long, embedding array<float>")
+    got = {(r.doc_id, r.dim): r.value for r in fe.pooled_vectors_wide(tf, tv, 2, "mean").collect()}
+    assert got == {(1, 0): 13 / 5, (1, 1): 6 / 5, (2, 0): 5.0, (2, 1): 6.0, (None, 0): 2.0, (None, 1): None}
+    assert fe.pooled_vectors_wide(tf, tv, 2, "sum").filter("doc_id = 1 and dim = 0").first().value == 13.0
+
+
+def test_pooling_keeps_vectors_out_of_the_entries(spark):
+    """The rows joined with the entries are ids and counts: vectors reach the documents by blocks."""
+    from unittest import mock
+
+    from tessera.operators import blockmatrix
+    tf = spark.createDataFrame([(1, "a", 2)], "doc_id long, term string, tf long")
+    tv = spark.createDataFrame([("a", 0, [1.0, 2.0])], "term string, rank long, embedding array<float>")
+    with mock.patch.object(blockmatrix.BlockMatrix, "build", wraps=blockmatrix.BlockMatrix.build) as build:
+        fe.pooled_vectors_wide(tf, tv, 2)
+    assert build.call_args.args[0].columns == ["doc_id", "term_index", "tf"]
