@@ -22,23 +22,38 @@ SEED = 42
 TRUE_BONUS = 0.6
 
 
-def scores(spark, sf, models=("m1",)):
-    """(doc_id, y_true, model, class, prob): each model's probabilities, normalised to sum 1 per document."""
+def _class_scores():
+    """Column: one (class, score) a class, from doc_id, model and y_true alone."""
+    def of(c):
+        h = F.md5(F.concat_ws("|", F.col("doc_id").cast("string"), c, F.col("model")))
+        s = (F.conv(F.substring(h, 1, 8), 16, 10).cast("long") / F.lit(4294967295.0)
+             + F.when(c == F.col("y_true"), TRUE_BONUS).otherwise(0.0))
+        return F.struct(c.alias("class"), s.alias("score"))
+    return F.transform(F.array(*[F.lit(c) for c in CLASSES]), of)
+
+
+def score_lists(spark, sf, models=("m1",)):
+    """(doc_id, y_true, model, list of (class, prob)). A document's sum is a window over rows of a document and model that carry no class
+    list: the scores are worked out again behind it."""
     d = table(spark, sf, "documents").select("doc_id", F.col("source").alias("y_true"))
     d = d.select("doc_id", "y_true", F.explode(F.array(*[F.lit(m) for m in models])).alias("model"))
-    d = d.select("doc_id", "y_true", "model", F.explode(F.array(*[F.lit(c) for c in CLASSES])).alias("class"))
-    h = F.md5(F.concat_ws("|", F.col("doc_id").cast("string"), F.col("class"), F.col("model")))
-    s = (F.conv(F.substring(h, 1, 8), 16, 10).cast("long") / F.lit(4294967295.0)
-         + F.when(F.col("class") == F.col("y_true"), TRUE_BONUS).otherwise(0.0))
-    d = d.withColumn("score", s)
-    w = Window.partitionBy("doc_id", "model")          # one row per class: bounded group
-    return d.withColumn("prob", F.col("score") / F.sum("score").over(w)).drop("score")
+    own = F.aggregate(_class_scores(), F.lit(0.0), lambda a, x: a + x["score"])
+    d = d.withColumn("_own", own).withColumn("_all", F.sum("_own").over(Window.partitionBy("doc_id", "model")))
+    return d.select("doc_id", "y_true", "model", F.transform(_class_scores(), lambda x: F.struct(
+        x["class"].alias("class"), (x["score"] / F.col("_all")).alias("prob"))).alias("probs"))
+
+
+def scores(spark, sf, models=("m1",)):
+    """(doc_id, y_true, model, class, prob): each model's probabilities, normalised to sum 1 per document."""
+    return score_lists(spark, sf, models).select("doc_id", "y_true", "model", F.inline("probs"))
 
 
 def predictions(spark, sf, models=("m1",)):
-    """(doc_id, model, y_true, y_pred): argmax class per document (partial-aggregated max_by)."""
-    p = scores(spark, sf, models)
-    return p.groupBy("doc_id", "model", "y_true").agg(F.max_by("class", "prob").alias("y_pred"))
+    """(doc_id, model, y_true, y_pred): argmax class per document, of each row's list and then of a document's rows."""
+    best = F.array_max(F.transform("probs", lambda x: F.struct(x["prob"].alias("prob"), x["class"].alias("class"))))
+    p = score_lists(spark, sf, models).select("doc_id", "model", "y_true", best.alias("best"))
+    return p.groupBy("doc_id", "model", "y_true").agg(F.max("best").alias("best")).select(
+        "doc_id", "model", "y_true", F.col("best.class").alias("y_pred"))
 
 
 def _sql_values(vals):
