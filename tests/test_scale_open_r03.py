@@ -44,3 +44,50 @@ def test_ngrams_with_keys_in_common_are_counted_by_their_words(spark, monkeypatc
     monkeypatch.setattr(fe, "_key_counts", few)
     got = fe.text_ngram_tfidf(d, "text", [], 3, 3, 2, 0.9, 6).select("doc_id", "term", F.round("weight", 9).alias("w")).collect()
     assert sorted(map(str, got)) == sorted(map(str, want))
+
+
+def sent(monkeypatch) -> list:
+    """Types of the term rows that passes over block matrices send; None: none."""
+    from tessera.operators.blockmatrix import BlockMatrix
+    seen, real = [], BlockMatrix._pass
+    monkeypatch.setattr(BlockMatrix, "_pass", lambda self, v, *a: (seen.append(None if v is None else v.schema["v"].dataType.simpleString()), real(self, v, *a))[1])
+    return seen
+
+
+def test_random_rows_are_drawn_where_they_are_needed(spark, monkeypatch):
+    import numpy as np
+
+    from tessera.operators import blockmatrix as bm, kernel
+    w = spark.createDataFrame([(i, j, 0.1 * (i + j) + 0.1) for i in range(6) for j in range(i % 3 + 1)], "doc_id long, term_index long, weight double")
+    matrix = bm.BlockMatrix.build(w, spark.range(7).withColumnRenamed("id", "doc_id"), 1)
+    seen = sent(monkeypatch)
+    monkeypatch.setattr(kernel, "COLUMNS_AT_ONCE", 12)          # a few columns at a time
+    got = {r.doc_id: r.z for r in kernel.fourier_features(matrix, 50, 0.5, 42).collect()}
+    assert seen == [None]
+    x = np.zeros((7, 3))
+    for r in w.collect():
+        x[r.doc_id, r.term_index] = r.weight
+    shift = np.random.default_rng(42).uniform(0, 2 * np.pi, 50)
+    want = np.sqrt(2.0 / 50) * np.cos(x @ bm.normal_numbers(np.arange(3), 50, 42) + shift)
+    assert len(got) == 7 and all(np.allclose(got[i], want[i]) for i in got)
+
+
+def test_vectors_stored_as_floats_are_sent_as_floats(spark, monkeypatch):
+    tf = spark.createDataFrame([(1, "a", 2), (1, "b", 1), (2, "b", 3)], "doc_id long, term string, tf long")
+    seen = sent(monkeypatch)
+    for value, kind in ((0.1, "float"), (0.1, "double")):
+        tv = spark.createDataFrame([("a", 0, [value, 1.0]), ("b", 1, [3.0, -1.0])], f"term string, rank long, embedding array<{kind}>")
+        stored = tv.first().embedding[0]
+        got = {(r.doc_id, r.dim): r.value for r in fe.pooled_vectors_wide(tf, tv, 2, "sum").collect()}
+        assert got == {(1, 0): 2 * stored + 3.0, (1, 1): 1.0, (2, 0): 9.0, (2, 1): -3.0}
+    assert seen == ["array<float>", "array<double>"]
+
+
+def test_entries_are_not_sorted_by_term_for_their_weights(spark):
+    tf = spark.createDataFrame([(1, "a", 2, "x"), (1, "b", 1, "x"), (2, "b", 3, "y")], "doc_id long, term string, tf long, lang string")
+    docs = spark.range(4)
+    model = fe.fit_tfidf(tf, fe.count_documents(docs), 1, 1.0)
+    for df in (fe.tfidf_log2(docs, tf=tf), fe.apply_tfidf(tf, model, keep=("lang",), hashed=True)):
+        assert "ShuffledHashJoin" in df._jdf.queryExecution().executedPlan().toString()
+    plain = fe.apply_tfidf(tf, model, keep=("lang",))
+    assert sorted(map(str, plain.collect())) == sorted(map(str, fe.apply_tfidf(tf, model, keep=("lang",), hashed=True).collect()))
