@@ -12,6 +12,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
 from .common import hash_key
 
 
@@ -58,11 +59,24 @@ def fit_ovr_bagging(train: DataFrame, classes, base_factory, id_col: str = "doc_
         return list(ex.map(fit, jobs))
 
 
+def each_ovr_bag(train: DataFrame, classes, base_factory, id_col: str = "doc_id", label_col: str = "label_str", n_bags: int = 3, fraction: float = 0.6,
+                 seed=42, balanced: bool = True):
+    """The models of ``fit_ovr_bagging`` one after the other, for readers that keep none: a model is as large as the vocabulary, and all of them
+    do not fit the driver."""
+    for c in classes:
+        for b in range(n_bags):
+            yield c, b, base_factory().fit(bag_members(train, id_col, label_col, c, b, fraction, seed, balanced))
+
+
 def predict_ovr(models, test: DataFrame, id_col: str = "doc_id", kind: str = "probability") -> DataFrame:
-    """(id, class, prob): mean positive probability over bags, normalised to sum 1 over classes (ML-12)."""
-    parts = None
+    """(id, class, prob): mean positive probability over bags, normalised to sum 1 over classes (ML-12). Of models that come one by one (no list) the
+    predictions are written before the next is fitted."""
+    parts, keep = None, isinstance(models, (list, tuple))
     for c, b, m in models:
         p = m.transform(test).select(id_col, F.lit(c).alias("class"), positive_probability(None, kind).alias("_p"))
+        if not keep:
+            p = cut_lineage(p, "bag")
+        del m
         parts = p if parts is None else parts.unionByName(p)
     avg = parts.groupBy(id_col, "class").agg(F.avg("_p").alias("_p"))
     tot = avg.groupBy(id_col).agg(F.sum("_p").alias("_t"))
